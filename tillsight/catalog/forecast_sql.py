@@ -7,7 +7,7 @@ single month, where the library adds up moments per block.
 from __future__ import annotations
 
 _SOLVE = """
-  CASE WHEN det > 1e-11 * sec * tr THEN ({adjoint}) / det
+  CASE WHEN sec > 1e-11 * tr * tr AND det > 1e-11 * sec * tr THEN ({adjoint}) / det
        WHEN sec > 1e-11 * tr * tr THEN (tr * {right} - ({row})) / sec
        WHEN tr > 0 THEN {right} / tr ELSE 0.0 END"""
 
@@ -133,7 +133,7 @@ FROM points WHERE n > 1 OR step = 1
 """
 
 
-def summary_select(keys: list[str]) -> str:
+def summary_select(keys: list[str], digits: tuple[int, int] = (2, 1)) -> str:
     k = "".join(f'"{key}", ' for key in keys)
     return f"""
 , nexts AS (SELECT *, CASE WHEN n = 1 THEN last_y ELSE forecast END AS value,
@@ -141,9 +141,9 @@ def summary_select(keys: list[str]) -> str:
                         ELSE 0.0 END AS trend
             FROM points WHERE step = 1)
 SELECT {k}n, CASE WHEN n = 1 THEN 'fallback' ELSE model END AS model,
-       round(value, 2) AS forecast_value,
+       round(value, {digits[0]}) AS forecast_value,
        CASE WHEN n = 1 THEN 75.0 ELSE round(greatest(0.0, least(99.0, r2 * 100)), 1) END AS forecast_accuracy,
-       round(trend, 1) AS forecast_trend,
+       round(trend, {digits[1]}) AS forecast_trend,
        CASE WHEN trend >= 0 THEN 'up' ELSE 'down' END AS trend_class
 FROM nexts
 """

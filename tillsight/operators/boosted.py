@@ -7,6 +7,9 @@ libraries, so its numbers agree with theirs in kind, not digit by digit.
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -54,24 +57,31 @@ def boosted_forecast(series: DataFrame, horizon: int = fc.HORIZON) -> DataFrame:
     Driver-side values are a handful of counts and scores; the data stay in Spark.
     """
     data = _vectors(fc.features(series)).select("period", "month_num", "t", "y", "features")
-    data = data.persist()
+    data = data.coalesce(1).persist()  # one row per month
     try:
         n, last_period, last_month = data.agg(
             F.count(F.lit(1)), F.max("period"), F.max_by("month_num", "t")
         ).first()
         if n < 2:
             raise ValueError("a boosted fit needs at least two months")
-        model = _trained(data, n)
-        r2 = _score(model.transform(data))
         count = min(fc.MOST_FOLDS, n // 4) if n >= fc.FULL_CV_LENGTH else 0
         size = n // (count + 1)
-        scores = []
-        for fold in range(count):
-            start = n - (count - fold) * size
+        starts = [n - (count - fold) * size for fold in range(count)]
+
+        @inheritable_thread_target(data.sparkSession)
+        def scored(start: int):
+            """Model on the months before ``start``, scored on those from there on."""
+            if start == n:
+                whole = _trained(data, n)
+                return whole, _score(whole.transform(data))
             trained = _trained(data.where(F.col("t") < start), start)
-            scores.append(
-                _score(trained.transform(data.where(F.col("t").between(start, start + size - 1))))
-            )
+            tested = data.where(F.col("t").between(start, start + size - 1))
+            return trained, _score(trained.transform(tested))
+
+        # the fits are independent small jobs, so they run side by side
+        with ThreadPool(count + 1) as pool:
+            (model, r2), *folds = pool.map(scored, [n, *starts])
+        scores = [score for _, score in folds]
         future = data.sparkSession.range(1, horizon + 1).select(
             F.col("id").cast("int").alias("step"),
             (F.lit(n - 1) + F.col("id")).alias("t"),

@@ -102,39 +102,32 @@ def index_series(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 # Moments --------------------------------------------------------------------------------
 
 
-def folds(n: Column) -> tuple[Column, Column, Column]:
-    """Number of folds, test months per fold, and months before the first test month."""
-    count = F.when(n < FULL_CV_LENGTH, 0).otherwise(
-        F.least(F.lit(MOST_FOLDS), F.floor(n / 4).cast("int"))
-    )
-    size = F.floor(n / (count + 1)).cast("int")
-    return count, size, F.when(count == 0, n).otherwise(n - count * size)
+def folds(n: str) -> tuple[str, str, str]:
+    """SQL for the number of folds, the test months per fold, and the months before them."""
+    count = f"if({n} < {FULL_CV_LENGTH}, 0L, least({MOST_FOLDS}L, {n} div 4))"
+    size = f"({n} div ({count} + 1))"
+    return count, size, f"if({n} < {FULL_CV_LENGTH}, {n}, {n} - {count} * {size})"
 
 
 def block_moments(indexed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Sums of products per key and cross-validation block (0 = before the first test)."""
-    _, size, first = folds(F.col("n"))
-    block = F.when(F.col("index") < first, 0).otherwise(
-        F.floor((F.col("index") - first) / size).cast("int") + 1
-    )
-    x = {"t": F.col("t"), "s": F.col("s"), "c": F.col("c"), "y": F.col("yc")}
-    sums = [F.count(F.lit(1)).cast("double").alias("m_n")]
+    _, size, first = folds("n")
+    block = F.expr(f"cast(if(index < {first}, 0, (index - {first}) div {size} + 1) as int)")
+    x = {"t": "t", "s": "s", "c": "c", "y": "yc"}
+    sums = ["cast(count(1) as double) as m_n"]
     for name in _SUMS[1:]:
-        product = x[name[0]] * x[name[1]] if len(name) == 2 else x[name]
-        sums.append(F.sum(product).alias(f"m_{name}"))
-    last = {
-        "last_y": F.max_by("y", "index"),
-        "last_period": F.max("period"),
-        "last_month": F.max_by("month_num", "index"),
-    }
+        product = " * ".join(x[letter] for letter in name)
+        sums.append(f"sum({product}) as m_{name}")
     return (
         indexed.withColumn("block", block)
         .groupBy(*[named(k) for k in keys], "block")
         .agg(
             F.first("n").alias("length"),
             F.first("level").alias("level"),
-            *[column.alias(name) for name, column in last.items()],
-            *sums,
+            F.max_by("y", "index").alias("last_y"),
+            F.max("period").alias("last_period"),
+            F.max_by("month_num", "index").alias("last_month"),
+            *[F.expr(text) for text in sums],
         )
     )
 
@@ -151,83 +144,84 @@ def _running(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _centred() -> dict[str, Column]:
-    """Centred sums of squares and products of the running data."""
-    n = F.col("r_n")
+# Solving --------------------------------------------------------------------------------
+#
+# The algebra is written as SQL text: one expression each instead of hundreds of columns.
+
+_CENTRED = {
+    f"q_{a}{b}": f"r_{a}{b} - r_{a} * r_{b} / r_n"
+    for a, b in (*_PAIRS, "ty", "sy", "cy", "yy")
+}
+
+
+def _matrix(name: str, penalty: float) -> dict[str, str]:
+    """Penalised normal equations of a candidate: cofactors, trace and determinants."""
+    tt, ss, cc = (f"(q_{p} + {penalty}D)" for p in ("tt", "ss", "cc"))
+    ts, tc, sc = "q_ts", "q_tc", "q_sc"
     return {
-        f"q_{a}{b}": F.col(f"r_{a}{b}") - F.col(f"r_{a}") * F.col(f"r_{b}") / n
-        for a, b in (*_PAIRS, "ty", "sy", "cy", "yy")
+        f"{name}_adj": f"""named_struct(
+            'tt', {ss} * {cc} - {sc} * {sc}, 'ts', {tc} * {sc} - {ts} * {cc},
+            'tc', {ts} * {sc} - {tc} * {ss}, 'ss', {tt} * {cc} - {tc} * {tc},
+            'sc', {ts} * {tc} - {tt} * {sc}, 'cc', {tt} * {ss} - {ts} * {ts})""",
+        f"{name}_trace": f"{tt} + {ss} + {cc}",
     }
 
 
-# Solving --------------------------------------------------------------------------------
+def _determinants(name: str, penalty: float) -> dict[str, str]:
+    adj = f"{name}_adj"
+    return {
+        f"{name}_second": f"{adj}.tt + {adj}.ss + {adj}.cc",
+        f"{name}_third": f"(q_tt + {penalty}D) * {adj}.tt + q_ts * {adj}.ts + q_tc * {adj}.tc",
+    }
 
 
-def _solve(penalty: float) -> Column:
+def _solution(name: str, penalty: float) -> str:
     """Coefficients of the three features as a struct.
 
-    Cramer's rule on the normal equations. Where features are mixtures of each other, as
-    with very few months, the solution of least norm is taken; for a symmetric matrix it
-    follows from the characteristic polynomial restricted to the non-zero eigenvalues.
+    Cramer's rule where the matrix has full rank. Where features are mixtures of each
+    other, as with very few months, the solution of least norm is taken; for a symmetric
+    matrix it follows from the characteristic polynomial of its non-zero eigenvalues.
     """
-    tt, ss, cc = (F.col(f"q_{p}") + penalty for p in ("tt", "ss", "cc"))
-    ts, tc, sc = (F.col(f"q_{p}") for p in ("ts", "tc", "sc"))
-    rows = ((tt, ts, tc), (ts, ss, sc), (tc, sc, cc))
-    right = tuple(F.col(f"q_{f}y") for f in FEATURES)
-
-    minor_tt, minor_ss, minor_cc = ss * cc - sc * sc, tt * cc - tc * tc, tt * ss - ts * ts
-    minor_ts, minor_tc, minor_sc = tc * sc - ts * cc, ts * sc - tc * ss, ts * tc - tt * sc
-    adjoint = (
-        (minor_tt, minor_ts, minor_tc),
-        (minor_ts, minor_ss, minor_sc),
-        (minor_tc, minor_sc, minor_cc),
-    )
-    trace = tt + ss + cc
-    second = minor_tt + minor_ss + minor_cc
-    third = tt * minor_tt + ts * minor_ts + tc * minor_tc
-
-    def dot(row):
-        return row[0] * right[0] + row[1] * right[1] + row[2] * right[2]
-
-    coefficients = []
-    for i, feature in enumerate(FEATURES):
-        coefficients.append(
-            F.when(third > RANK_TOLERANCE * second * trace, dot(adjoint[i]) / third)
-            .when(
-                second > RANK_TOLERANCE * trace * trace,
-                (trace * right[i] - dot(rows[i])) / second,
-            )
-            .when(trace > 0, right[i] / trace)
-            .otherwise(F.lit(0.0))
-            .alias(feature)
+    trace, second, third = f"{name}_trace", f"{name}_second", f"{name}_third"
+    entries = []
+    for f in FEATURES:
+        pairs = ["".join(sorted((f, g), key=FEATURES.index)) for g in FEATURES]
+        cofactors = " + ".join(f"{name}_adj.{p} * q_{g}y" for p, g in zip(pairs, FEATURES))
+        row = " + ".join(f"q_{p} * q_{g}y" for p, g in zip(pairs, FEATURES))
+        entries.append(
+            f"""'{f}', case
+            when {second} > {RANK_TOLERANCE} * {trace} * {trace} then
+                if({third} > {RANK_TOLERANCE} * {second} * {trace},
+                   ({cofactors}) / {third},
+                   (({trace} - {penalty}D) * q_{f}y - ({row})) / {second})
+            when {trace} > 0 then q_{f}y / {trace}
+            else 0.0D end"""
         )
-    return F.struct(*coefficients)
+    return f"named_struct({', '.join(entries)})"
 
 
-def _r2(prefix: str, weights: str, offset: str) -> Column:
-    """R² of a fit on the data whose sums have the given prefix.
+def _r2(prefix: str, name: str) -> str:
+    """R² of a candidate on the data whose sums have the given prefix.
 
     Without any variance it is 1 for an exact fit and 0 otherwise.
     """
-
-    def m(name):
-        return F.col(f"{prefix}_{name}")
-
-    w = {f: F.col(f"{weights}.{f}") for f in FEATURES}
-    b, n = F.col(offset), m("n")
-    squares = (
-        w["t"] * w["t"] * m("tt") + w["s"] * w["s"] * m("ss") + w["c"] * w["c"] * m("cc")
-    ) + 2 * (w["t"] * w["s"] * m("ts") + w["t"] * w["c"] * m("tc") + w["s"] * w["c"] * m("sc"))
-    cross = w["t"] * m("ty") + w["s"] * m("sy") + w["c"] * m("cy")
-    along = w["t"] * m("t") + w["s"] * m("s") + w["c"] * m("c")
-    residual = m("yy") - 2 * (b * m("y") + cross) + n * b * b + 2 * b * along + squares
-    spread = m("yy") - m("y") * m("y") / n
-    nothing = FLAT_TOLERANCE * n * F.col("level") * F.col("level")
-    return (
-        F.when(spread > nothing, 1 - residual / spread)
-        .when(residual <= nothing, F.lit(1.0))
-        .otherwise(F.lit(0.0))
+    m, w, b = f"{prefix}_", f"w_{name}.", f"b_{name}"
+    squares = " + ".join(
+        f"{1 if p[0] == p[1] else 2} * {w}{p[0]} * {w}{p[1]} * {m}{p}" for p in _PAIRS
+    )
+    cross = " + ".join(f"{w}{f} * {m}{f}y" for f in FEATURES)
+    along = " + ".join(f"{w}{f} * {m}{f}" for f in FEATURES)
+    residual = (
+        f"({m}yy - 2 * ({b} * {m}y + {cross}) + {m}n * {b} * {b} + 2 * {b} * ({along}) + {squares})"
     )
+    spread = f"({m}yy - {m}y * {m}y / {m}n)"
+    nothing = f"{FLAT_TOLERANCE} * {m}n * level * level"
+    return f"""case when {spread} > {nothing} then 1 - {residual} / {spread}
+        when {residual} <= {nothing} then 1.0D else 0.0D end"""
+
+
+def _with(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return frame.withColumns({name: F.expr(text) for name, text in columns.items()})
 
 
 def block_fits(moments: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -235,25 +229,24 @@ def block_fits(moments: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
     The last row of a key holds the fit on all its data; its score is the in-sample R².
     """
-    fits = _running(moments, keys).withColumns(_centred())
-    fits = fits.withColumns({f"w_{name}": _solve(p) for name, p in PENALTIES.items()})
-    fits = fits.withColumns(
-        {
-            f"b_{name}": (
-                F.col("r_y") - sum(F.col(f"w_{name}.{f}") * F.col(f"r_{f}") for f in FEATURES)
-            )
-            / F.col("r_n")
-            for name in PENALTIES
-        }
-    )
-    complete = F.col("v_n").isNull()
-    scored = {
-        f"r2_{name}": F.when(complete, _r2("r", f"w_{name}", f"b_{name}")).otherwise(
-            _r2("v", f"w_{name}", f"b_{name}")
+    fits = _with(_running(moments, keys), _CENTRED)
+    for step in (_matrix, _determinants):
+        fits = _with(
+            fits, {k: v for name, p in PENALTIES.items() for k, v in step(name, p).items()}
         )
+    fits = _with(fits, {f"w_{name}": _solution(name, p) for name, p in PENALTIES.items()})
+    offsets = {
+        f"b_{name}": f"(r_y - {' - '.join(f'w_{name}.{f} * r_{f}' for f in FEATURES)}) / r_n"
         for name in PENALTIES
     }
-    return fits.withColumn("complete", complete).withColumns(scored)
+    fits = _with(fits, {**offsets, "complete": "v_n is null"})
+    return _with(
+        fits,
+        {
+            f"r2_{name}": f"if(complete, {_r2('r', name)}, {_r2('v', name)})"
+            for name in PENALTIES
+        },
+    )
 
 
 def fit_candidates(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -264,43 +257,27 @@ def fit_candidates(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """
     fits = block_fits(block_moments(index_series(series, keys), keys), keys)
     aggregates = [
-        F.max(F.when(F.col("complete"), F.col(c))).alias(c)
+        F.expr(f"max(if(complete, {c}, null)) as {c}")
         for c in ("length", "level", "last_y", "last_period", "last_month")
     ]
     for name in PENALTIES:
-        whole = F.struct(
-            F.col(f"w_{name}").alias("w"), F.col(f"b_{name}").alias("b"), F.col(f"r2_{name}").alias("r2")
-        )
-        aggregates.append(F.max(F.when(F.col("complete"), whole)).alias(f"f_{name}"))
-        aggregates.append(
-            F.avg(F.when(~F.col("complete"), F.col(f"r2_{name}"))).alias(f"cv_{name}")
-        )
+        whole = f"named_struct('w', w_{name}, 'b', b_{name}, 'r2', r2_{name})"
+        aggregates.append(F.expr(f"max(if(complete, {whole}, null)) as f_{name}"))
+        aggregates.append(F.expr(f"avg(if(complete, null, r2_{name})) as cv_{name}"))
     per_key = fits.groupBy(*[named(k) for k in keys]).agg(*aggregates)
-    candidates = F.array(
-        *[
-            F.struct(
-                F.lit(order).alias("candidate_order"),
-                F.lit(name).alias("model"),
-                F.coalesce(F.col(f"cv_{name}"), F.col(f"f_{name}.r2")).alias("score"),
-                F.col(f"f_{name}.r2").alias("r2"),
-                F.col(f"f_{name}.w.t").alias("slope"),
-                F.col(f"f_{name}.w.s").alias("coef_sin"),
-                F.col(f"f_{name}.w.c").alias("coef_cos"),
-                (
-                    F.col("level")
-                    + F.col(f"f_{name}.b")
-                    - F.col(f"f_{name}.w.t") * (F.col("length") - 1) / 2
-                ).alias("intercept"),
-            )
-            for order, name in enumerate(PENALTIES)
-        ]
+    candidates = ", ".join(
+        f"""named_struct('candidate_order', {order}, 'model', '{name}',
+            'score', coalesce(cv_{name}, f_{name}.r2), 'r2', f_{name}.r2,
+            'slope', f_{name}.w.t, 'coef_sin', f_{name}.w.s, 'coef_cos', f_{name}.w.c,
+            'intercept', level + f_{name}.b - f_{name}.w.t * (length - 1) / 2)"""
+        for order, name in enumerate(PENALTIES)
     )
     return per_key.select(
         *[named(k) for k in keys],
         F.coalesce(F.col("length"), F.lit(0)).alias("n"),
         *("last_y", "last_period", "last_month"),
-        F.explode(candidates).alias("candidate"),
-    ).select("*", "candidate.*").drop("candidate")
+        F.inline(F.expr(f"array({candidates})")),
+    )
 
 
 def fit_one(series: DataFrame, model: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -405,25 +382,34 @@ def _next_value() -> Column:
     )
 
 
-def forecast_summary(picked: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Next value, accuracy and trend per key."""
-    short = F.col("n") < 2
+def next_values(picked: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Next value, accuracy and trend per key, before any rounding for display."""
     value = _next_value()
-    trend = F.when(short, F.lit(0.0)).otherwise(trend_percent(value, F.col("last_y")))
+    trend = F.when(F.col("n") < 2, F.lit(0.0)).otherwise(trend_percent(value, F.col("last_y")))
     return picked.select(
         *[named(k) for k in keys],
         "n",
         "model",
-        F.round(value, 2).alias("forecast_value"),
+        value.alias("forecast_value"),
         F.when(F.col("n") == 0, F.lit(0.0))
         .when(F.col("n") == 1, F.lit(SHORT_ACCURACY))
         .otherwise(accuracy(F.col("r2")))
         .alias("forecast_accuracy"),
-        F.round(trend, 1).alias("forecast_trend"),
+        trend.alias("forecast_trend"),
         trend_class(trend).alias("trend_class"),
     )
 
 
+def forecast_summary(picked: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Next value, accuracy and trend per key, rounded for display."""
+    return next_values(picked, keys).withColumns(
+        {
+            "forecast_value": F.round("forecast_value", 2),
+            "forecast_trend": F.round("forecast_trend", 1),
+        }
+    )
+
+
 def forecast_points(
     picked: DataFrame, keys: Sequence[str] = (), horizon: int = HORIZON, calendar: bool = True
 ) -> DataFrame:
