@@ -159,14 +159,20 @@ _SHORT = ["o_custkey", "o_orderpriority"]
            month(o_orderdate) AS month_num, sum(o_totalprice) AS y FROM orders GROUP BY ALL""",
         _SHORT,
     )
-    + summary_select(_SHORT, digits=(3, 3))
+    + summary_select(_SHORT, whole=True)
 )
 def forecast_short(spark, root):
     orders = table(spark, root, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
     series = fc.monthly_series(orders, _SHORT, "o_orderdate", "o_totalprice")
-    # three decimals: with so few months many exact values end in half a cent
     values = fc.next_values(fc.pick_for(series, _SHORT), _SHORT)
-    return _rounded(values, 3, "forecast_value", "forecast_trend")
+    # whole units and tenths of a percent, cut off the usual boundary: with so few months
+    # many exact values end in a half
+    return values.withColumns(
+        {
+            "forecast_value": F.floor(F.col("forecast_value") + 0.123),
+            "forecast_trend": F.floor(F.col("forecast_trend") * 10 + 0.123),
+        }
+    )
 
 
 @CATALOG.query(

@@ -27,8 +27,10 @@ FROM sales
 """
 )
 def kpi_summary(spark, root):
-    sales = sales_view(spark, root, ("Order ID", "Sales", "Profit", "Discount"))
-    return cents(bd.kpi_summary(sales), "total_sales", "total_profit")
+    totals = sales_totals(
+        spark, root, ("Sales", "Profit", "orders", "discount_sum", "discount_count")
+    )
+    return cents(bd.kpis_of_totals(totals), "total_sales", "total_profit")
 
 
 @CATALOG.query(SALES + """SELECT round(sum("Sales"), 2) AS total_sales FROM sales""")

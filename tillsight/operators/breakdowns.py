@@ -29,6 +29,21 @@ def kpi_summary(sales: DataFrame) -> DataFrame:
     )
 
 
+def kpis_of_totals(totals: DataFrame) -> DataFrame:
+    """The key figures from rows that already are sums over several order lines.
+
+    Such rows count their lines in ``orders`` and carry the sum and the number of their
+    discounts; see :func:`tillsight.sources.star.sales_totals`.
+    """
+    mean = F.sum("discount_sum") / F.nullif(F.sum("discount_count"), F.lit(0))
+    return totals.agg(
+        _sum("Sales").alias("total_sales"),
+        _sum("Profit").alias("total_profit"),
+        F.coalesce(F.sum("orders"), F.lit(0)).alias("total_orders"),
+        F.round(or_zero(mean) * 100, 2).alias("avg_discount"),
+    )
+
+
 def total_sales(sales: DataFrame) -> DataFrame:
     return sales.agg(F.round(_sum("Sales"), 2).alias("total_sales"))
 

@@ -111,8 +111,9 @@ def sales_view(
 def sales_totals(spark: SparkSession, root: str, columns: Iterable[str]) -> DataFrame:
     """Amounts summed per order or per part, joined to the wanted labels.
 
-    Fits questions that only add up ``Sales`` (and, by part, ``Profit``): the sums of these
-    sums are the sums of the lines. Summing before the join means that a key which holds
+    Fits questions that only add up ``Sales`` (and, by part, ``Profit``) or the counts
+    ``orders``, ``discount_sum`` and ``discount_count``: the sums of these sums are the sums
+    of the lines. Summing before the join means that a key which holds
     much of the table has collapsed to one row per task before anything is shuffled.
     Columns of orders and of parts cannot be mixed here; :func:`sales_view` mixes them.
     """
@@ -122,7 +123,13 @@ def sales_totals(spark: SparkSession, root: str, columns: Iterable[str]) -> Data
     if by_order and by_part:
         raise ValueError("sales_totals takes columns of orders or of parts, not both")
     lines = _table(spark, root, "lineitem").withColumn("Sales", _line_sales())
+    counted = {
+        "orders": F.count("l_orderkey"),
+        "discount_sum": F.sum("l_discount"),
+        "discount_count": F.count("l_discount"),
+    }
     sums = [F.sum("Sales").alias("Sales")]
+    sums += [column.alias(name) for name, column in counted.items() if name in wanted]
     if by_part:
         if "Profit" in wanted:
             sums.append(F.sum("l_quantity").alias("l_quantity"))
