@@ -134,7 +134,7 @@ def test_reuse_reads_again_only_after_a_change(spark, tmp_path):
     os.utime(path, (time.time() + 5, time.time() + 5))
     again = kept.load(path)
     assert again is not first and again.count() == 2
-    assert not first.is_cached or first.storageLevel.useMemory
+    assert not first.is_cached
     kept.clear(path)
     assert not again.is_cached
     kept.clear()
