@@ -1,12 +1,16 @@
 import datetime
+import json
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from conftest import rows
 from tillsight.operators import adaptive as ad
 from tillsight.operators.roles import classify
-from tillsight.plans.analysis import analyze
+from tillsight.plans.analysis import analyze, analyze_path
+from tillsight.sources.readers import scan_csv
+from tillsight.sources.reuse import DatasetReuse
 
 
 @pytest.fixture(scope="module")
@@ -127,6 +131,28 @@ def test_analysis_of_a_web_shop(spark):
         assert analysis.forecast().count() == 1
 
 
+def test_documents_of_an_analysis(spark):
+    with analyze(online(spark), {"Region": "Asia"}) as analysis:
+        found = {}
+        for section, text in rows(analysis.documents()):
+            found.setdefault(section, []).append(json.loads(text))
+    assert found["shape"] == [{"shape": "48 rows × 8 columns"}]
+    assert {c["chart_id"] for c in found["charts"]} == {f"chart_{i}" for i in range(4)}
+    assert {f["column"] for f in found["filters"]} == {"Product Category", "Region", "Payment Method"}
+    assert len(found["preview"]) == 10 and found["preview"][0]["Region"] == "Asia"
+    assert found["forecast"][0]["accuracy"].endswith("%")
+
+
+def test_analysis_of_a_path(spark, tmp_path):
+    (tmp_path / "up.csv").write_text("kind,v\na,1\nb,2\nb,4\n")
+    reuse = DatasetReuse(spark, scan_csv)
+    with analyze_path(reuse, str(tmp_path / "up.csv"), {"kind": "b"}) as analysis:
+        assert rows(analysis.kpis()) == [(0, "kpi_0", "Total v", 6.0, "6")]
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        analyze_path(reuse, str(tmp_path / "none.csv"))
+    reuse.clear()
+
+
 def test_analysis_of_a_ledger_keeps_the_oldest_periods(spark):
     with analyze(grocery(spark)) as analysis:
         charts = rows(analysis.charts())

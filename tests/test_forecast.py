@@ -192,6 +192,25 @@ def test_labels_without_a_calendar(series):
     assert [r["label"] for r in found.collect()] == ["Next +1", "Next +2"]
 
 
+def test_boosted_trees_can_win(spark):
+    """Two levels without any trend or season: trees follow the repeated pattern."""
+    days = months_from(datetime.date(2020, 1, 1), 48)
+    data = [(d, 100.0 if d.month in (3, 4, 8) else 10.0, d.month) for d in days]
+    one = spark.createDataFrame(data, "period date, y double, month_num int")
+    summary, points = boosted.best_of_three(one)
+    assert summary.first()["model"] == boosted.BOOSTED
+    found = [r["forecast"] for r in points.orderBy("step").collect()]
+    assert found[2] > 50 > max(found[:2])
+
+
+def test_history(series):
+    one = series.where(F.col("key") == "n3").drop("key")
+    dated = [r["label"] for r in fc.history(one).orderBy("period").collect()]
+    assert dated == ["May 2019", "Jun 2019", "Jul 2019"]
+    plain = [r["label"] for r in fc.history(one, calendar=False).orderBy("period").collect()]
+    assert plain == ["Period 1", "Period 2", "Period 3"]
+
+
 def test_monthly_series(sales):
     found = rows(fc.monthly_series(sales).orderBy("period"))
     assert [(str(p), y, m) for p, y, m in found] == [
@@ -215,11 +234,13 @@ def test_month_model_saves_and_predicts(spark, tmp_path):
 def test_boosted_candidate(series):
     one = series.where(F.col("key") == "n13").drop("key")
     found = boosted.boosted_forecast(one).orderBy("step").collect()
-    assert [r["label"] for r in found] == ["Jun 2020", "Jul 2020", "Aug 2020"] or len(found) == 3
+    assert [r["label"] for r in found] == ["Jun 2020", "Jul 2020", "Aug 2020"]
     assert all(r["forecast"] >= 0 and r["r2"] <= 1 for r in found)
-    best = boosted.forecast_best_of_three(one).orderBy("step").collect()
     linear = fc.pick_for(one).first()
     wins = found[0]["score"] > linear["score"]
-    assert {r["model"] for r in best} == {boosted.BOOSTED if wins else linear["model"]}
+    summary, points = boosted.best_of_three(one)
+    assert summary.first()["model"] == (boosted.BOOSTED if wins else linear["model"])
+    assert summary.columns == fc.forecast_summary(fc.pick_for(one)).columns
+    assert summary.first()["forecast_value"] == points.orderBy("step").first()["forecast"]
     with pytest.raises(ValueError):
         boosted.boosted_forecast(one.limit(1))

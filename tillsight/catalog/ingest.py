@@ -11,7 +11,7 @@ from tillsight.operators import clean
 from tillsight.sources.readers import scan_csv
 from tillsight.sources.reuse import DatasetReuse
 from tillsight.sources.sales import type_sales
-from tillsight.sources.shared import shared_folder
+from tillsight.sources.shared import delete_at_exit, shared_folder
 
 CATALOG = Catalog()
 
@@ -49,6 +49,7 @@ def scan_csv_table(spark, root):
     orders = table(spark, root, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
     folder = shared_folder(spark)
     orders.write.option("header", True).csv(folder)
+    delete_at_exit(spark, folder)
     return scan_csv(spark, folder, orders.schema)
 
 

@@ -15,6 +15,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.functions.numbers import trend_class
 from tillsight.operators import forecast as fc
 
 BOOSTED = "gbr_seasonal"
@@ -51,7 +52,9 @@ def _score(predictions: DataFrame):
     ).first()[0]
 
 
-def boosted_forecast(series: DataFrame, horizon: int = fc.HORIZON) -> DataFrame:
+def boosted_forecast(
+    series: DataFrame, horizon: int = fc.HORIZON, calendar: bool = True
+) -> DataFrame:
     """Fit on one series: (step, label, month_num, forecast, score, r2).
 
     Driver-side values are a handful of counts and scores; the data stay in Spark.
@@ -91,7 +94,7 @@ def boosted_forecast(series: DataFrame, horizon: int = fc.HORIZON) -> DataFrame:
         ahead = model.transform(_vectors(future.withColumns({"sin_m": sin_m, "cos_m": cos_m})))
         return ahead.select(
             "step",
-            fc.future_label(F.lit(last_period), F.col("step")).alias("label"),
+            _label(last_period, calendar).alias("label"),
             "month_num",
             F.round(F.greatest(F.lit(0.0), F.col("prediction")), 2).alias("forecast"),
             F.lit(sum(scores) / count if count else r2).alias("score"),
@@ -101,16 +104,35 @@ def boosted_forecast(series: DataFrame, horizon: int = fc.HORIZON) -> DataFrame:
         data.unpersist()
 
 
-def forecast_best_of_three(series: DataFrame, horizon: int = fc.HORIZON) -> DataFrame:
-    """Forecast of one series by the best of ridge, least squares and boosted trees."""
+def _label(last_period, calendar: bool):
+    if calendar:
+        return fc.future_label(F.lit(last_period), F.col("step"))
+    return F.concat(F.lit("Next +"), F.col("step").cast("string"))
+
+
+def best_of_three(
+    series: DataFrame, horizon: int = fc.HORIZON, calendar: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Summary and points of one series by the best of ridge, least squares and boosted trees.
+
+    The candidates keep their order of preference: boosted trees must score higher than
+    the other two to be chosen.
+    """
     picked = fc.pick_for(series)
-    linear = picked.select("n", "model", "score").first()
+    linear = picked.select("n", "score", "last_y").first()
     if linear["n"] >= 2:
-        boosted = boosted_forecast(series, horizon)
-        if boosted.first()["score"] > linear["score"]:
-            return boosted.select(
-                F.lit(BOOSTED).alias("model"), "step", "label", "month_num", "forecast"
+        boosted = boosted_forecast(series, horizon, calendar)
+        found = boosted.where(F.col("step") == 1).select("score", "r2", "forecast").first()
+        if found["score"] > linear["score"]:
+            last = F.lit(linear["last_y"])
+            trend = fc.trend_percent(F.col("forecast"), last)
+            summary = boosted.where(F.col("step") == 1).select(
+                F.lit(linear["n"]).alias("n"),
+                F.lit(BOOSTED).alias("model"),
+                F.col("forecast").alias("forecast_value"),
+                fc.accuracy(F.col("r2")).alias("forecast_accuracy"),
+                F.round(trend, 1).alias("forecast_trend"),
+                trend_class(trend).alias("trend_class"),
             )
-    return fc.forecast_points(picked, horizon=horizon).select(
-        F.lit(linear["model"]).alias("model"), "step", "label", "month_num", "forecast"
-    )
+            return summary, boosted.select("step", "label", "month_num", "forecast")
+    return fc.forecast_summary(picked), fc.forecast_points(picked, (), horizon, calendar)

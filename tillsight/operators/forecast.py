@@ -340,6 +340,23 @@ def pick_model(candidates: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def history(series: DataFrame, keys: Sequence[str] = (), calendar: bool = True) -> DataFrame:
+    """Past months of every series: (period, label, value).
+
+    Without ``calendar`` the labels are "Period 1", "Period 2", …
+    """
+    if calendar:
+        labelled = series.withColumn("label", dates.month_label(F.col("period")))
+    else:
+        number = (F.col("t") + 1).cast("string")
+        labelled = series_index(series, keys).withColumn(
+            "label", F.concat(F.lit("Period "), number)
+        )
+    return labelled.select(
+        *[named(k) for k in keys], "period", "label", F.round("y", 2).alias("value")
+    )
+
+
 # Prediction -------------------------------------------------------------------------------
 
 

@@ -15,6 +15,8 @@ from tillsight.operators import adaptive as ad
 from tillsight.operators import profile
 from tillsight.operators.filters import filter_columns
 from tillsight.operators.roles import Roles, classify, column_roles
+from tillsight.plans.dashboard import json_lines
+from tillsight.sources.reuse import DatasetReuse
 
 PERIOD, FIRST, SECOND, THIRD = "period", "first", "second", "third"
 
@@ -158,6 +160,31 @@ class Analysis:
         return ad.insights_of(groups, self._scalars(), self.roles)
 
 
+    def documents(self) -> DataFrame:
+        """The sections as JSON lines: (section, json); absent sections have no lines."""
+        sections = {
+            "shape": self.shape().select("shape"),
+            "kpis": self.kpis(),
+            "charts": self.charts(),
+            "top_items": self.top_items(),
+            "forecast": self.forecast(),
+            "insights": self.insights(),
+            "filters": self.filter_values(),
+            "preview": self.preview(),
+        }
+        return json_lines({k: v for k, v in sections.items() if v is not None})
+
+
+def analyze_path(
+    reuse: DatasetReuse, path: str, filters: Mapping[str, str] | None = None, **options
+) -> Analysis:
+    """Analysis of a file or folder that is kept in memory between requests.
+
+    A path with nothing in it fails with Spark's own error.
+    """
+    return Analysis(reuse.load(path), filters, **options)
+
+
 def analyze(frame: DataFrame, filters: Mapping[str, str] | None = None, **options) -> Analysis:
     """Analysis of a table; ``filters`` maps columns to the chosen text values."""
     return Analysis(frame, filters, **options)

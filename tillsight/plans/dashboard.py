@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from collections.abc import Mapping
+from functools import cached_property, reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.functions import dates
 from tillsight.functions.columns import named
 from tillsight.functions.numbers import (
     compact_currency,
@@ -20,6 +20,7 @@ from tillsight.functions.numbers import (
 )
 from tillsight.operators import breakdowns as bd
 from tillsight.operators import forecast as fc
+from tillsight.operators.boosted import best_of_three
 from tillsight.operators.filters import filter_sales
 
 SECTIONS = (bd.REGION, bd.CATEGORY, bd.SEGMENT, bd.MONTH, bd.PRODUCT, bd.PERIOD, bd.TOTAL)
@@ -33,10 +34,14 @@ class Dashboard:
     sales frame itself is never touched, so a dataset kept for reuse stays kept.
     """
 
-    def __init__(self, sales, year=None, region=None, category=None, search=None):
+    def __init__(
+        self, sales, year=None, region=None, category=None, search=None, boosted=False
+    ):
+        """``boosted`` adds boosted trees to the forecast's candidates, at the cost of
+        training them with Spark ML on each request."""
         self._sales = sales
         self._rows = filter_sales(sales, year, region, category, search)
-        self._picked = None
+        self._boosted = boosted
 
     def __enter__(self) -> "Dashboard":
         return self
@@ -98,20 +103,21 @@ class Dashboard:
         )
 
     def history(self) -> DataFrame:
-        return self.series().select(
-            "period",
-            dates.month_label(F.col("period")).alias("label"),
-            F.round("y", 2).alias("value"),
-        )
+        return fc.history(self.series())
 
-    def picked(self) -> DataFrame:
-        return fc.pick_for(self.series())
+    @cached_property
+    def _three(self) -> tuple[DataFrame, DataFrame]:
+        return best_of_three(self.series())
 
     def forecast(self) -> DataFrame:
-        return fc.forecast_summary(self.picked())
+        if self._boosted:
+            return self._three[0]
+        return fc.forecast_summary(fc.pick_for(self.series()))
 
-    def forecast_points(self, horizon: int = fc.HORIZON) -> DataFrame:
-        return fc.forecast_points(self.picked(), horizon=horizon)
+    def forecast_points(self) -> DataFrame:
+        if self._boosted:
+            return self._three[1]
+        return fc.forecast_points(fc.pick_for(self.series()))
 
     def documents(self) -> DataFrame:
         """The dashboard as JSON lines: (section, json).
@@ -152,13 +158,16 @@ class Dashboard:
             ),
             "history": self.history().select("label", _amount(F.col("value")).alias("value")),
         }
-        lines = None
-        for name, frame in sections.items():
-            part = frame.select(
-                F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("json")
-            )
-            lines = part if lines is None else lines.unionByName(part)
-        return lines
+        return json_lines(sections)
+
+
+def json_lines(sections: Mapping[str, DataFrame]) -> DataFrame:
+    """Rows of all sections as (section, json)."""
+    parts = [
+        frame.select(F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("json"))
+        for name, frame in sections.items()
+    ]
+    return reduce(lambda lines, part: lines.unionByName(part), parts)
 
 
 def _amount(value: Column) -> Column:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import threading
+from collections import defaultdict
 from collections.abc import Callable
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ class DatasetReuse:
         self._reader = reader
         self._level = level
         self._kept: dict[str, tuple[tuple, DataFrame]] = {}
-        self._lock = threading.Lock()
+        self._locks: defaultdict[str, threading.RLock] = defaultdict(threading.RLock)
 
     def fingerprint(self, path: str) -> tuple | None:
         """Newest change, number and total size of the files; None where nothing lies.
@@ -51,8 +53,8 @@ class DatasetReuse:
         return tuple(state) if state["files"] else None
 
     def load(self, path: str, use_cache: bool = True) -> DataFrame:
-        state = self.fingerprint(path)
-        with self._lock:
+        with self._locks[path]:
+            state = self.fingerprint(path)
             kept = self._kept.get(path)
             if use_cache and kept is not None and kept[0] == state:
                 return kept[1]
@@ -67,16 +69,16 @@ class DatasetReuse:
         try:
             if self.fingerprint(path) is None:
                 return False
-        except Exception as error:  # the path does not exist
-            if "PATH_NOT_FOUND" in str(error):
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
                 return False
             raise
         self.load(path).count()
         return True
 
     def clear(self, path: str | None = None) -> None:
-        with self._lock:
-            for key in [path] if path is not None else list(self._kept):
+        for key in [path] if path is not None else list(self._kept):
+            with self._locks[key]:
                 kept = self._kept.pop(key, None)
                 if kept is not None:
                     kept[1].unpersist()

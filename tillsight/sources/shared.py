@@ -20,3 +20,10 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="tillsight-")
     return f"{base.rstrip('/')}/tillsight-{uuid.uuid4().hex}"
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a written folder when the application ends, on whichever file system it lies."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(target)
