@@ -133,6 +133,16 @@ FROM points WHERE n > 1 OR step = 1
 """
 
 
+NEXTS = """
+nexts AS (SELECT *, CASE WHEN n = 1 THEN last_y ELSE forecast END AS value,
+                 CASE WHEN n > 1 AND last_y > 0 THEN (forecast - last_y) / last_y * 100
+                      ELSE 0.0 END AS trend,
+                 CASE WHEN n = 1 THEN 75.0
+                      ELSE round(greatest(0.0, least(99.0, r2 * 100)), 1) END AS accuracy
+          FROM points WHERE step = 1)
+"""
+
+
 def summary_select(keys: list[str], whole: bool = False) -> str:
     k = "".join(f'"{key}", ' for key in keys)
     value, trend = "round(value, 2)", "round(trend, 1)"
@@ -140,14 +150,9 @@ def summary_select(keys: list[str], whole: bool = False) -> str:
         value = "CAST(floor(value + 0.123) AS BIGINT)"
         trend = "CAST(floor(trend * 10 + 0.123) AS BIGINT)"
     return f"""
-, nexts AS (SELECT *, CASE WHEN n = 1 THEN last_y ELSE forecast END AS value,
-                   CASE WHEN n > 1 AND last_y > 0 THEN (forecast - last_y) / last_y * 100
-                        ELSE 0.0 END AS trend
-            FROM points WHERE step = 1)
+, {NEXTS}
 SELECT {k}n, CASE WHEN n = 1 THEN 'fallback' ELSE model END AS model,
-       {value} AS forecast_value,
-       CASE WHEN n = 1 THEN 75.0 ELSE round(greatest(0.0, least(99.0, r2 * 100)), 1) END AS forecast_accuracy,
-       {trend} AS forecast_trend,
+       {value} AS forecast_value, accuracy AS forecast_accuracy, {trend} AS forecast_trend,
        CASE WHEN trend >= 0 THEN 'up' ELSE 'down' END AS trend_class
 FROM nexts
 """

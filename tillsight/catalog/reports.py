@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillsight.catalog.forecast_sql import forecast_ctes, points_select
+from tillsight.catalog.forecast_sql import NEXTS, forecast_ctes, points_select
 from tillsight.catalog.forecasts import _sales_series_sql
-from tillsight.catalog.registry import SALES, Catalog, compact_sql
+from tillsight.catalog.registry import SALES, SALES_BODY, Catalog, compact_sql
 from tillsight.plans import reports
 from tillsight.plans.dashboard import Dashboard
 from tillsight.sources.star import sales_view
@@ -23,7 +23,47 @@ def _rounded(frame, *names):
     return frame.withColumns({name: F.round(name, 2) for name in names})
 
 
-@CATALOG.query()
+_AMOUNT = "CAST(round({}, 2) AS DECIMAL(38, 2))"
+
+
+def _groups_json(section: str, column: str) -> str:
+    return f"""SELECT '{section}' AS section,
+  CAST(to_json({{'label': "{column}", 'value': {_AMOUNT.format('sum("Sales")')}}}) AS VARCHAR) AS json
+FROM sales GROUP BY "{column}\""""
+
+
+@CATALOG.query(
+    "WITH "
+    + forecast_ctes(_sales_series_sql([]), [])
+    + f""", {NEXTS}, ahead AS ({points_select([])}), sales AS ({SALES_BODY}),
+k AS (SELECT sum("Sales") AS s, sum("Profit") AS p, count("Order ID") AS n,
+             round(avg("Discount") * 100, 2) AS d FROM sales),
+t AS (SELECT "Product Name" AS label, sum("Sales") AS s, sum("Profit") AS p FROM sales
+      GROUP BY ALL ORDER BY s DESC, label LIMIT 5)
+SELECT 'kpis' AS section, CAST(to_json({{
+    'total_sales': {compact_sql('s', '₹')}, 'total_profit': {compact_sql('p', '₹')},
+    'total_orders': format('{{:,}}', n),
+    'avg_discount': regexp_replace(format('{{:.2f}}', d), '0$', '') || '%'}}) AS VARCHAR) AS json FROM k
+UNION ALL SELECT DISTINCT 'years', CAST(to_json({{'year': CAST("Year" AS VARCHAR)}}) AS VARCHAR) FROM sales
+UNION ALL {_groups_json('regions', 'Region')}
+UNION ALL {_groups_json('categories', 'Category')}
+UNION ALL {_groups_json('segments', 'Segment')}
+UNION ALL SELECT 'months', CAST(to_json({{'position': month_num, 'label': "Month",
+    'value': {_AMOUNT.format('sum("Sales")')}}}) AS VARCHAR) FROM sales GROUP BY month_num, "Month"
+UNION ALL SELECT 'top_products', CAST(to_json({{'product_name': label,
+    'total_sales': {compact_sql('s', '₹')}, 'total_profit': {compact_sql('p', '₹')},
+    'profit_class': CASE WHEN p >= 0 THEN 'text-green' ELSE 'text-danger' END}}) AS VARCHAR) FROM t
+UNION ALL SELECT 'forecast', CAST(to_json({{'forecast_value': {compact_sql('round(value, 2)', '₹')},
+    'forecast_trend': CASE WHEN round(trend, 1) >= 0 THEN '+' ELSE '' END
+      || format('{{:.1f}}', round(trend, 1)) || '%',
+    'trend_class': CASE WHEN trend >= 0 THEN 'up' ELSE 'down' END,
+    'forecast_accuracy': format('{{:.1f}}', accuracy) || '%'}}) AS VARCHAR) FROM nexts
+UNION ALL SELECT 'forecast_points', CAST(to_json({{'position': step, 'label': label,
+    'value': {_AMOUNT.format('forecast')}}}) AS VARCHAR) FROM ahead
+UNION ALL SELECT 'history', CAST(to_json({{'period': CAST(period AS VARCHAR),
+    'label': strftime(period, '%b %Y'), 'value': {_AMOUNT.format('y')}}}) AS VARCHAR) FROM series
+"""
+)
 def dashboard_json(spark, root):
     return board(spark, root).documents()
 

@@ -30,8 +30,8 @@ class Dashboard:
     """Sections of one dashboard request, each a DataFrame.
 
     All but ``years`` derive from ``cells``, the grouping sets of the filtered rows. The
-    cells are persisted by this object on first use and released by :meth:`close`; the
-    sales frame itself is never touched, so a dataset kept for reuse stays kept.
+    cells, and the model picked from them, are persisted by this object on first use and
+    released by :meth:`close`; the sales frame itself is never touched, so a dataset kept for reuse stays kept.
     """
 
     def __init__(
@@ -54,8 +54,9 @@ class Dashboard:
         return bd.sales_cells(self._rows, SECTIONS).persist(StorageLevel.MEMORY_AND_DISK)
 
     def close(self) -> None:
-        if "cells" in self.__dict__:
-            self.__dict__.pop("cells").unpersist()
+        for name in ("cells", "picked"):
+            if name in self.__dict__:
+                self.__dict__.pop(name).unpersist()
 
     def _section(self, name: str) -> DataFrame:
         return self.cells.where(F.col("section") == name)
@@ -105,6 +106,11 @@ class Dashboard:
     def history(self) -> DataFrame:
         return fc.history(self.series())
 
+    @cached_property
+    def picked(self) -> DataFrame:
+        """The chosen model, one row; persisted because several sections predict from it."""
+        return fc.pick_for(self.series()).persist(StorageLevel.MEMORY_AND_DISK)
+
     @cached_property
     def _three(self) -> tuple[DataFrame, DataFrame]:
         return best_of_three(self.series())
@@ -112,12 +118,12 @@ class Dashboard:
     def forecast(self) -> DataFrame:
         if self._boosted:
             return self._three[0]
-        return fc.forecast_summary(fc.pick_for(self.series()))
+        return fc.forecast_summary(self.picked)
 
     def forecast_points(self) -> DataFrame:
         if self._boosted:
             return self._three[1]
-        return fc.forecast_points(fc.pick_for(self.series()))
+        return fc.forecast_points(self.picked)
 
     def documents(self) -> DataFrame:
         """The dashboard as JSON lines: (section, json).
@@ -156,7 +162,7 @@ class Dashboard:
             "forecast_points": self.forecast_points().select(
                 F.col("step").alias("position"), "label", _amount(F.col("forecast")).alias("value")
             ),
-            "history": self.history().select("label", _amount(F.col("value")).alias("value")),
+            "history": self.history().select("period", "label", _amount(F.col("value")).alias("value")),
         }
         return json_lines(sections)
 
