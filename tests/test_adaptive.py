@@ -26,15 +26,13 @@ def card_edges(spark):
     )
 
 
-@pytest.mark.parametrize("prescreen", [True, False])
-def test_filter_candidates(card_edges, prescreen):
-    found = ad.filter_candidates(card_edges, classify(card_edges), prescreen)
-    assert rows(found) == [(1, "c2", 2), (2, "c40", 40), (4, "c2n", 2)]
+def test_filter_candidates(card_edges):
+    found = ad.filter_candidates(card_edges, classify(card_edges))
+    assert sorted(rows(found)) == [(1, "c2", 2), (2, "c40", 40), (4, "c2n", 2)]
 
 
-@pytest.mark.parametrize("prescreen", [True, False])
-def test_filter_values(card_edges, prescreen):
-    found = rows(ad.filter_values(card_edges, classify(card_edges), prescreen))
+def test_filter_values(card_edges):
+    found = rows(ad.filter_values(card_edges, classify(card_edges)))
     assert [v for _, c, v in found if c == "c2"] == ["0", "1"]
     assert [v for _, c, v in found if c == "c40"] == sorted(str(i) for i in range(40))
     assert [v for _, c, v in found if c == "c2n"] == ["y"]
@@ -42,7 +40,7 @@ def test_filter_values(card_edges, prescreen):
 
 def test_at_most_three_filters(spark):
     frame = spark.createDataFrame([tuple("abcd"), tuple("efgh")], "a string, b string, c string, d string")
-    assert [c for _, c, _ in rows(ad.filter_candidates(frame, classify(frame)))] == ["a", "b", "c"]
+    assert [c for _, c, _ in sorted(rows(ad.filter_candidates(frame, classify(frame))))] == ["a", "b", "c"]
 
 
 def test_no_filter_without_text(spark):
@@ -105,7 +103,7 @@ def grocery(spark):
 def test_analysis_of_a_web_shop(spark):
     with analyze(online(spark)) as analysis:
         assert analysis.roles.primary == "Transaction ID"
-        assert [c for _, c, _ in rows(analysis.filter_candidates())] == [
+        assert [c for _, c, _ in sorted(rows(analysis.filter_candidates()))] == [
             "Product Category", "Region", "Payment Method",
         ]
         cards = rows(analysis.kpis())

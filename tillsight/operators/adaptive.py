@@ -28,6 +28,21 @@ TREND_PERIODS = 36
 TOP_GROUPS = 10
 PIE_GROUPS = 8
 PREVIEW_ROWS = 10
+
+# Titles and texts of the sections; {} stands for a column name.
+TREND_TITLE, TREND_CHART = "{} Trend Over Time", "line"
+TOP_TITLE, TOP_CHART = "Top {} by {}", "bar"
+SECOND_CHART, THIRD_CHART = "doughnut", "pie"
+DISTRIBUTION_TITLE = "Distribution by {}"
+TOTAL_TITLE = "Total {}"
+RECORDS_TITLE = "Total Records"
+MODE_TITLE, MODE_TEXT = "Top {}", "Highest frequency — %s records"
+MEAN_TITLE, MEAN_TEXT = "Avg {}", "Dataset average across all records"
+PEAK_TITLE, PEAK_TEXT = "Peak {}", "Maximum single value in dataset"
+FORECAST_TITLE = "Next Period {}"
+NULL_LABEL = "None"
+
+# Relative error of the sketches that pre-select filter columns.
 SKETCH_ERROR = 0.05
 
 
@@ -57,15 +72,15 @@ def _narrow(frame: DataFrame, columns: list[str]) -> list[str]:
     return [c for i, c in enumerate(columns) if estimates[f"c{i}"] <= limit]
 
 
-def column_values(frame: DataFrame, roles: Roles, prescreen: bool = True) -> DataFrame:
-    """Distinct values, null included, of the columns that may become filters.
+def column_values(frame: DataFrame, roles: Roles) -> DataFrame:
+    """Distinct values, null included, of the text columns that may become filters.
 
-    ``prescreen`` runs one pass with a fixed-size sketch per column and leaves out the
-    columns whose number of values is certain to be too large; otherwise a nearly unique
-    column would send all its values through the shuffle only to be rejected.
+    A first pass with a fixed-size sketch per column leaves out the columns that are certain
+    to have too many values; otherwise a nearly unique column would send all its values
+    through the shuffle only to be rejected. What is left is a few dozen values per column.
     """
     columns = list(roles.categorical[:FILTER_SCAN])
-    kept = _narrow(frame, columns) if prescreen and columns else columns
+    kept = _narrow(frame, columns) if columns else columns
     if not kept:
         return frame.sparkSession.createDataFrame([], "ordinal int, column string, value string")
     ordinal = F.create_map(
@@ -77,36 +92,30 @@ def column_values(frame: DataFrame, roles: Roles, prescreen: bool = True) -> Dat
     return pairs.distinct().select(ordinal[F.col("column")].alias("ordinal"), "column", "value")
 
 
-def candidates_of(values: DataFrame) -> DataFrame:
-    """The first columns with few enough values; null counts as a value."""
-    return (
-        values.groupBy("ordinal", "column")
-        .agg(F.count(F.lit(1)).alias("n_distinct"))
-        .where(F.col("n_distinct").between(FILTER_LEAST, FILTER_MOST))
-        .orderBy("ordinal")
-        .limit(FILTER_KEPT)
-    )
+def _of_candidates(values: DataFrame) -> DataFrame:
+    """Values of the first columns with few enough of them; null counts as a value."""
+    counted = values.withColumn("n_distinct", F.count(F.lit(1)).over(Window.partitionBy("column")))
+    fitting = counted.where(F.col("n_distinct").between(FILTER_LEAST, FILTER_MOST))
+    place = F.dense_rank().over(Window.orderBy("ordinal"))
+    return fitting.withColumn("place", place).where(F.col("place") <= FILTER_KEPT)
+
+
+def filter_candidates(frame: DataFrame, roles: Roles) -> DataFrame:
+    """The filter columns with their number of values."""
+    found = _of_candidates(column_values(frame, roles))
+    return found.groupBy("ordinal", "column").agg(F.max("n_distinct").alias("n_distinct"))
 
 
-def choices_of(values: DataFrame) -> DataFrame:
+def filter_values(frame: DataFrame, roles: Roles) -> DataFrame:
     """The values to choose from in each filter column, sorted."""
-    kept = candidates_of(values).select("column")
     return (
-        values.where(F.col("value").isNotNull())
-        .join(kept, "column", "left_semi")
+        _of_candidates(column_values(frame, roles))
+        .where(F.col("value").isNotNull())
         .select("ordinal", "column", "value")
         .orderBy("ordinal", "value")
     )
 
 
-def filter_candidates(frame: DataFrame, roles: Roles, prescreen: bool = True) -> DataFrame:
-    return candidates_of(column_values(frame, roles, prescreen))
-
-
-def filter_values(frame: DataFrame, roles: Roles, prescreen: bool = True) -> DataFrame:
-    return choices_of(column_values(frame, roles, prescreen))
-
-
 # Sums --------------------------------------------------------------------------------
 
 
@@ -157,7 +166,7 @@ def _positioned(frame: DataFrame, *order: Column) -> DataFrame:
 
 
 def _points(frame: DataFrame, value: Column, *order: Column) -> DataFrame:
-    text = F.coalesce(F.col("label"), F.lit("None"))
+    text = F.coalesce(F.col("label"), F.lit(NULL_LABEL))
     return _positioned(frame, *order).select(
         "pos", text.alias("label"), F.coalesce(value.cast("double"), F.lit(0.0)).alias("value")
     )
@@ -181,12 +190,13 @@ def chart_specs(roles: Roles) -> list[tuple[str, str, str]]:
     """(section, title, type) of each chart the roles allow, in order."""
     specs = []
     if roles.date and roles.primary:
-        specs.append(("trend", f"{roles.primary} Trend Over Time", "line"))
+        specs.append(("trend", TREND_TITLE.format(roles.primary), TREND_CHART))
     if roles.categorical and roles.primary:
-        specs.append(("top", f"Top {roles.categorical[0]} by {roles.primary}", "bar"))
-    for place, section, kind in ((1, "second", "doughnut"), (2, "third", "pie")):
+        title = TOP_TITLE.format(roles.categorical[0], roles.primary)
+        specs.append(("top", title, TOP_CHART))
+    for place, section, kind in ((1, "second", SECOND_CHART), (2, "third", THIRD_CHART)):
         if len(roles.categorical) > place:
-            specs.append((section, f"Distribution by {roles.categorical[place]}", kind))
+            specs.append((section, DISTRIBUTION_TITLE.format(roles.categorical[place]), kind))
     return specs
 
 
@@ -216,7 +226,7 @@ def top_items_of(groups: DataFrame, roles: Roles) -> DataFrame:
         "label", F.col("total").cast("double").alias("value"), text.alias("value_text")
     )
     ranked = ranked_top(totals, "label", "value", TOP_GROUPS, carry=("value_text",))
-    return ranked.withColumn("label", F.coalesce(F.col("label"), F.lit("None")))
+    return ranked.withColumn("label", F.coalesce(F.col("label"), F.lit(NULL_LABEL)))
 
 
 def mode_of(groups: DataFrame) -> DataFrame:
@@ -239,7 +249,7 @@ def forecast_of(periods: DataFrame, roles: Roles, keep: str = "oldest") -> DataF
     """Next period as display texts; no row with fewer than two points."""
     summary = fc.forecast_summary(fc.pick_for(series_of(periods, keep)))
     return summary.where(F.col("n") >= 2).select(
-        F.lit(f"Next Period {roles.primary}").alias("label"),
+        F.lit(FORECAST_TITLE.format(roles.primary)).alias("label"),
         F.col("forecast_value").alias("value"),
         thousands(F.col("forecast_value"), T.DoubleType()).alias("value_text"),
         trend_text(F.col("forecast_trend")).alias("trend"),
@@ -286,7 +296,7 @@ def kpis_of(scalars: DataFrame, roles: Roles) -> DataFrame:
             {
                 "pos": F.lit(i),
                 "id": F.lit(f"kpi_{i}"),
-                "title": F.lit(f"Total {name}"),
+                "title": F.lit(TOTAL_TITLE.format(name)),
                 "value": total.cast("double"),
                 "value_text": _sum_text(total, roles.type_of(name)),
                 "shown": total.isNotNull(),
@@ -299,7 +309,7 @@ def kpis_of(scalars: DataFrame, roles: Roles) -> DataFrame:
         {
             "pos": F.lit(0),
             "id": F.lit("kpi_0"),
-            "title": F.lit("Total Records"),
+            "title": F.lit(RECORDS_TITLE),
             "value": F.col("records").cast("double"),
             "value_text": whole(F.col("records")),
             "shown": none_shown,
@@ -325,11 +335,9 @@ def insights_of(groups: DataFrame | None, scalars: DataFrame, roles: Roles) -> D
         frames.append(
             mode_of(groups).select(
                 F.lit(0).alias("pos"),
-                F.lit(f"Top {roles.categorical[0]}").alias("title"),
-                F.coalesce(F.col("label"), F.lit("None")).alias("value"),
-                F.concat(
-                    F.lit("Highest frequency — "), whole(F.col("records")), F.lit(" records")
-                ).alias("description"),
+                F.lit(MODE_TITLE.format(roles.categorical[0])).alias("title"),
+                F.coalesce(F.col("label"), F.lit(NULL_LABEL)).alias("value"),
+                F.format_string(MODE_TEXT, whole(F.col("records"))).alias("description"),
             )
         )
     if roles.primary is not None:
@@ -341,15 +349,15 @@ def insights_of(groups: DataFrame | None, scalars: DataFrame, roles: Roles) -> D
                 [
                     {
                         "pos": F.lit(1),
-                        "title": F.lit(f"Avg {name}"),
+                        "title": F.lit(MEAN_TITLE.format(name)),
                         "value": thousands(F.col("mean"), mean_type),
-                        "description": F.lit("Dataset average across all records"),
+                        "description": F.lit(MEAN_TEXT),
                     },
                     {
                         "pos": F.lit(2),
-                        "title": F.lit(f"Peak {name}"),
+                        "title": F.lit(PEAK_TITLE.format(name)),
                         "value": thousands(F.col("peak"), dtype),
-                        "description": F.lit("Maximum single value in dataset"),
+                        "description": F.lit(PEAK_TEXT),
                     },
                 ],
             )

@@ -107,7 +107,7 @@ def boosted_forecast(
 def _label(last_period, calendar: bool):
     if calendar:
         return fc.future_label(F.lit(last_period), F.col("step"))
-    return F.concat(F.lit("Next +"), F.col("step").cast("string"))
+    return F.concat(F.lit(fc.STEP_LABEL), F.col("step").cast("string"))
 
 
 def best_of_three(

@@ -38,6 +38,8 @@ MOST_FOLDS = 3
 HORIZON = 3
 SHORT_ACCURACY = 75.0
 MOST_ACCURACY = 99.0
+NEXT_LABEL = "Next Period"
+STEP_LABEL, PAST_LABEL = "Next +", "Period "
 
 # Below this share a determinant counts as zero, i.e. a feature as a mixture of others.
 RANK_TOLERANCE = 1e-11
@@ -350,7 +352,7 @@ def history(series: DataFrame, keys: Sequence[str] = (), calendar: bool = True)
     else:
         number = (F.col("t") + 1).cast("string")
         labelled = series_index(series, keys).withColumn(
-            "label", F.concat(F.lit("Period "), number)
+            "label", F.concat(F.lit(PAST_LABEL), number)
         )
     return labelled.select(
         *[named(k) for k in keys], "period", "label", F.round("y", 2).alias("value")
@@ -439,14 +441,14 @@ def forecast_points(
         F.col("n") > 1, F.sequence(F.lit(1), F.lit(horizon))
     )
     step = F.col("step")
-    label = future_label(F.col("last_period"), step) if calendar else F.concat(F.lit("Next +"), step)
+    label = future_label(F.col("last_period"), step) if calendar else F.concat(F.lit(STEP_LABEL), step)
     return (
         picked.withColumn("step", F.explode(steps))
         .withColumn("month_num", future_month(F.col("last_month"), step))
         .select(
             *[named(k) for k in keys],
             "step",
-            F.when(F.col("n") == 1, F.lit("Next Period")).otherwise(label).alias("label"),
+            F.when(F.col("n") == 1, F.lit(NEXT_LABEL)).otherwise(label).alias("label"),
             "month_num",
             F.round(
                 F.when(F.col("n") == 1, F.col("last_y")).otherwise(

@@ -11,6 +11,8 @@ from tillsight.operators.ranking import with_position
 from tillsight.plans.dashboard import Dashboard
 
 HISTORY_POINTS = 12
+# Names of the key figures in the summary sheet.
+FIGURES = ("Total Sales", "Total Profit", "Total Orders", "Average Discount")
 # Texts of the forecast table by position, and the one for later positions.
 RECOMMENDATIONS = (
     "Normal operation. Review inventory limits.",
@@ -33,11 +35,14 @@ def report_summary(board: Dashboard) -> DataFrame:
                 "profit": F.lit(None).cast("double"),
             }
             for pos, (label, value) in enumerate(
-                (
-                    ("Total Sales", F.col("total_sales")),
-                    ("Total Profit", F.col("total_profit")),
-                    ("Total Orders", F.col("total_orders")),
-                    ("Average Discount", F.col("avg_discount") / 100),
+                zip(
+                    FIGURES,
+                    (
+                        F.col("total_sales"),
+                        F.col("total_profit"),
+                        F.col("total_orders"),
+                        F.col("avg_discount") / 100,
+                    ),
                 ),
                 start=1,
             )
