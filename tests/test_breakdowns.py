@@ -74,6 +74,11 @@ def test_one_pass_equals_separate_queries(sales):
     assert [v for s, _, _, v in cells if s == "total"] == [650.75]
 
 
+def test_sides_equal_one_pass(sales):
+    found = bd.breakdowns_by_side(sales.drop("Category"), sales.select("Category", "Sales"))
+    assert sorted(map(str, rows(found))) == sorted(map(str, rows(bd.breakdowns_one_pass(sales))))
+
+
 def test_cells_do_not_confuse_null_groups_with_other_sections(sales):
     cells = bd.sales_cells(sales).where(F.col("section") == "region")
     assert cells.count() == 4

@@ -37,6 +37,13 @@ def test_nothing_left_after_the_filter(sales):
         assert rows(board.years()) == [("2016",), ("2017",)]
 
 
+def test_sections_can_be_narrowed(sales):
+    with Dashboard(sales.select("Region", "Sales"), sections=(bd.REGION,)) as board:
+        assert board.regions().count() == 4
+        with pytest.raises(ValueError):
+            board.months()
+
+
 def test_closing_leaves_a_kept_dataset_alone(sales):
     kept = sales.persist()
     try:

@@ -7,16 +7,24 @@ from pyspark.sql import functions as F
 from tillsight.catalog.forecast_sql import NEXTS, forecast_ctes, points_select
 from tillsight.catalog.forecasts import _sales_series_sql
 from tillsight.catalog.registry import SALES, SALES_BODY, Catalog, compact_sql
+from tillsight.operators import breakdowns as bd
 from tillsight.plans import reports
-from tillsight.plans.dashboard import Dashboard
-from tillsight.sources.star import sales_view
+from tillsight.plans.dashboard import SECTIONS, Dashboard
+from tillsight.sources.star import SALES_COLUMNS, sales_totals, sales_view
 
 CATALOG = Catalog()
 
 
-def board(spark, root, **filters) -> Dashboard:
-    """The dashboard of the sales table. The cells it persists stay for the returned frames."""
-    return Dashboard(sales_view(spark, root), **filters)
+def board(spark, root, sections=None, columns=SALES_COLUMNS) -> Dashboard:
+    """The dashboard of the sales table, narrowed to what a report asks for.
+
+    The cells it persists stay for the returned frames.
+    """
+    return Dashboard(sales_view(spark, root, columns), sections=sections or SECTIONS)
+
+
+def forecast_board(spark, root) -> Dashboard:
+    return Dashboard(sales_totals(spark, root, ("Order Date", "Sales")), sections=(bd.PERIOD,))
 
 
 def _rounded(frame, *names):
@@ -85,7 +93,8 @@ UNION ALL SELECT 'product', CAST(row_number() OVER (ORDER BY s DESC, label) AS I
 """
 )
 def report_summary(spark, root):
-    sheet = reports.report_summary(board(spark, root))
+    columns = ("Order ID", "Sales", "Profit", "Discount", "Product Name")
+    sheet = reports.report_summary(board(spark, root, (bd.TOTAL, bd.PRODUCT), columns))
     digits = F.when(F.col("label") == "Average Discount", F.round("value", 4))
     return _rounded(sheet.withColumn("value", digits.otherwise(F.round("value", 2))), "profit")
 
@@ -100,7 +109,9 @@ UNION ALL SELECT 'region', NULL, "Region", round(sum("Sales"), 2) FROM sales GRO
 """
 )
 def report_trends(spark, root):
-    return _rounded(reports.report_trends(board(spark, root)), "value")
+    columns = ("Region", "Category", "Month", "month_num", "Sales")
+    sections = (bd.MONTH, bd.CATEGORY, bd.REGION)
+    return _rounded(reports.report_trends(board(spark, root, sections, columns)), "value")
 
 
 @CATALOG.query(
@@ -117,7 +128,8 @@ FROM r FULL JOIN s ON r.pos = s.pos
 """
 )
 def report_breakdown(spark, root):
-    return reports.report_breakdown(board(spark, root))
+    totals = sales_totals(spark, root, ("Region", "Segment", "Sales"))
+    return reports.report_breakdown(Dashboard(totals, sections=(bd.REGION, bd.SEGMENT)))
 
 
 @CATALOG.query(
@@ -132,7 +144,8 @@ FROM t
 """
 )
 def report_products(spark, root):
-    return reports.report_products(board(spark, root))
+    totals = sales_totals(spark, root, ("Product Name", "Sales", "Profit"))
+    return reports.report_products(Dashboard(totals, sections=(bd.PRODUCT,)))
 
 
 _TOTAL = "WITH " + forecast_ctes(_sales_series_sql([]), [])
@@ -151,7 +164,7 @@ FROM table_rows
 """
 )
 def report_forecast(spark, root):
-    return reports.report_forecast(board(spark, root))
+    return reports.report_forecast(forecast_board(spark, root))
 
 
 @CATALOG.query(
@@ -169,4 +182,4 @@ SELECT line, CAST(pos AS INTEGER) AS pos, label, value, value / 1000 AS thousand
 """
 )
 def forecast_overlay(spark, root):
-    return reports.forecast_overlay(board(spark, root))
+    return reports.forecast_overlay(forecast_board(spark, root))

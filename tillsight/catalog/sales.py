@@ -144,10 +144,9 @@ FROM cells
 """
 )
 def breakdowns_one_pass(spark, root):
-    sales = sales_view(
-        spark, root, ("Region", "Category", "Segment", "Month", "month_num", "Sales")
-    )
-    return cents(bd.breakdowns_one_pass(sales), "total_sales")
+    order_totals = sales_totals(spark, root, ("Region", "Segment", "Month", "month_num", "Sales"))
+    part_totals = sales_totals(spark, root, ("Category", "Sales"))
+    return cents(bd.breakdowns_by_side(order_totals, part_totals), "total_sales")
 
 
 # Filters ---------------------------------------------------------------------------------

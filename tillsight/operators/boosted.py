@@ -60,7 +60,8 @@ def boosted_forecast(
     Driver-side values are a handful of counts and scores; the data stay in Spark.
     """
     data = _vectors(fc.features(series)).select("period", "month_num", "t", "y", "features")
-    data = data.coalesce(1).persist()  # one row per month
+    # one row per month; the order fixes the random sample of each tree
+    data = data.coalesce(1).sortWithinPartitions("t").persist()
     try:
         n, last_period, last_month = data.agg(
             F.count(F.lit(1)), F.max("period"), F.max_by("month_num", "t")

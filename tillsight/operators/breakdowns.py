@@ -179,12 +179,27 @@ def sales_cells(
     )
 
 
-def breakdowns_one_pass(sales: DataFrame) -> DataFrame:
-    """Region, category, segment and month breakdowns and the total, as (section, label)."""
+def labelled(cells: DataFrame) -> DataFrame:
+    """Cells of one-label sections as (section, label, month_num, total_sales)."""
     label = (
         F.when(F.col("section") == REGION, F.col("Region"))
         .when(F.col("section") == CATEGORY, F.col("Category"))
         .when(F.col("section") == SEGMENT, F.col("Segment"))
         .when(F.col("section") == MONTH, F.col("Month"))
     )
-    return sales_cells(sales).select("section", label.alias("label"), "month_num", "total_sales")
+    return cells.select("section", label.alias("label"), "month_num", "total_sales")
+
+
+def breakdowns_one_pass(sales: DataFrame) -> DataFrame:
+    """Region, category, segment and month breakdowns and the total."""
+    return labelled(sales_cells(sales))
+
+
+def breakdowns_by_side(order_totals: DataFrame, part_totals: DataFrame) -> DataFrame:
+    """The same breakdowns from amounts that were summed per order and per part.
+
+    One pass per side of a star schema: neither side ever joins single order lines.
+    """
+    by_order = sales_cells(order_totals, (REGION, SEGMENT, MONTH, TOTAL))
+    by_part = sales_cells(part_totals, (CATEGORY,))
+    return labelled(by_order.unionByName(by_part, allowMissingColumns=True))

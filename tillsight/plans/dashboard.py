@@ -35,13 +35,22 @@ class Dashboard:
     """
 
     def __init__(
-        self, sales, year=None, region=None, category=None, search=None, boosted=False
+        self,
+        sales: DataFrame,
+        year: int | str | None = None,
+        region: str | None = None,
+        category: str | None = None,
+        search: str | None = None,
+        boosted: bool = False,
+        sections: tuple[str, ...] = SECTIONS,
     ):
         """``boosted`` adds boosted trees to the forecast's candidates, at the cost of
-        training them with Spark ML on each request."""
+        training them with Spark ML on each request. ``sections`` narrows the cells to what
+        will be asked for; then only the columns of those sections need to be present."""
         self._sales = sales
         self._rows = filter_sales(sales, year, region, category, search)
         self._boosted = boosted
+        self._sections = sections
 
     def __enter__(self) -> "Dashboard":
         return self
@@ -51,7 +60,7 @@ class Dashboard:
 
     @cached_property
     def cells(self) -> DataFrame:
-        return bd.sales_cells(self._rows, SECTIONS).persist(StorageLevel.MEMORY_AND_DISK)
+        return bd.sales_cells(self._rows, self._sections).persist(StorageLevel.MEMORY_AND_DISK)
 
     def close(self) -> None:
         for name in ("cells", "picked"):
@@ -59,6 +68,8 @@ class Dashboard:
                 self.__dict__.pop(name).unpersist()
 
     def _section(self, name: str) -> DataFrame:
+        if name not in self._sections:
+            raise ValueError(f"this dashboard was made without the section {name!r}")
         return self.cells.where(F.col("section") == name)
 
     def years(self) -> DataFrame:
