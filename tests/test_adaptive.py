@@ -179,6 +179,14 @@ def test_one_pass_equals_single_sections(spark, filters):
         assert rows(analysis.forecast()) == rows(ad.dyn_forecast(single, roles))
 
 
+def test_boosted_trees_as_a_third_candidate(spark):
+    with analyze(grocery(spark), boosted=True) as analysis:
+        forecast = analysis.forecast().first()
+    # a straight line: the linear candidates fit it exactly, trees do not
+    assert forecast["value"] == pytest.approx(136.0, abs=1.0)
+    assert forecast["accuracy"] == "99.0%"
+
+
 def test_analysis_of_no_rows(spark):
     with analyze(online(spark), {"Region": "Nowhere"}) as analysis:
         assert rows(analysis.kpis()) == [(0, "kpi_0", "Total Records", 0.0, "0")]

@@ -171,3 +171,7 @@ def test_sales_view_joins_only_what_it_needs(spark):
 def test_sales_totals_do_not_mix_orders_and_parts(spark):
     with pytest.raises(ValueError):
         sales_totals(spark, ROOT, ("Region", "Category", "Sales"))
+
+
+def test_totals_of_everything_are_one_row(spark):
+    assert sales_totals(spark, ROOT, ("Sales", "orders")).count() == 1

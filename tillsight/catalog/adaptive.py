@@ -12,8 +12,8 @@ from tillsight.sources.star import sales_view
 
 CATALOG = Catalog()
 
-# The sales table as an uploaded table would come: date, numbers and four categories.
-UPLOAD = ("Order Date", "Sales", "Profit", "Discount", "Region", "Category", "Segment", "Product Name")
+# The sales table as an uploaded table would come: a date, a number and three categories.
+UPLOAD = ("Order Date", "Sales", "Region", "Category", "Segment")
 
 
 def roles_sql(source: str, columns: list[tuple[str, str, str]]) -> str:

@@ -17,6 +17,7 @@ from tillsight.functions import dates
 from tillsight.functions.columns import named, rows_from
 from tillsight.functions.numbers import percent_text, thousands, trend_text, whole
 from tillsight.operators import forecast as fc
+from tillsight.operators.boosted import best_of_three
 from tillsight.operators.ranking import ranked_top
 from tillsight.operators.roles import Roles
 
@@ -245,9 +246,15 @@ def series_of(periods: DataFrame, keep: str = "oldest") -> DataFrame:
     ).select("period", "y", dates.period_month(F.col("period"), F.col("i")).alias("month_num"))
 
 
-def forecast_of(periods: DataFrame, roles: Roles, keep: str = "oldest") -> DataFrame:
+def forecast_of(
+    periods: DataFrame, roles: Roles, keep: str = "oldest", boosted: bool = False
+) -> DataFrame:
     """Next period as display texts; no row with fewer than two points."""
-    summary = fc.forecast_summary(fc.pick_for(series_of(periods, keep)))
+    series = series_of(periods, keep)
+    if boosted:
+        summary, _ = best_of_three(series, 1, calendar=False)
+    else:
+        summary = fc.forecast_summary(fc.pick_for(series))
     return summary.where(F.col("n") >= 2).select(
         F.lit(FORECAST_TITLE.format(roles.primary)).alias("label"),
         F.col("forecast_value").alias("value"),

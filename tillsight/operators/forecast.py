@@ -136,13 +136,14 @@ def block_moments(indexed: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def _running(moments: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per block: the sums up to it (``r_``) and those of the next block (``v_``)."""
-    in_order = Window.partitionBy(*[named(k) for k in keys]).orderBy("block")
-    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = ", ".join("`" + k.replace("`", "``") + "`" for k in keys)
+    in_order = f"{'partition by ' + part if keys else ''} order by block"
+    so_far = f"{in_order} rows between unbounded preceding and current row"
     return moments.select(
         *[named(k) for k in keys],
         *("block", "length", "level", "last_y", "last_period", "last_month"),
-        *[F.sum(f"m_{name}").over(so_far).alias(f"r_{name}") for name in _SUMS],
-        *[F.lead(f"m_{name}").over(in_order).alias(f"v_{name}") for name in _SUMS],
+        *[F.expr(f"sum(m_{name}) over ({so_far}) as r_{name}") for name in _SUMS],
+        *[F.expr(f"lead(m_{name}) over ({in_order}) as v_{name}") for name in _SUMS],
     )
 
 

@@ -37,12 +37,14 @@ class Analysis:
         primary: str | None = None,
         keep: str = "oldest",
         raw_text_period: bool = False,
+        boosted: bool = False,
     ):
         self.base = frame
         self.rows = filter_columns(frame, filters)
         self.roles: Roles = classify(frame, primary)
         self._keep = keep
         self._raw = raw_text_period
+        self._boosted = boosted
 
     def __enter__(self) -> "Analysis":
         return self
@@ -151,7 +153,7 @@ class Analysis:
     def forecast(self) -> DataFrame | None:
         if not self.roles.date or self.roles.primary is None:
             return None
-        return ad.forecast_of(self._groups(PERIOD), self.roles, self._keep)
+        return ad.forecast_of(self._groups(PERIOD), self.roles, self._keep, self._boosted)
 
     def insights(self) -> DataFrame | None:
         groups = self._groups(FIRST) if self.roles.categorical else None

@@ -130,6 +130,8 @@ def sales_totals(spark: SparkSession, root: str, columns: Iterable[str]) -> Data
     }
     sums = [F.sum("Sales").alias("Sales")]
     sums += [column.alias(name) for name, column in counted.items() if name in wanted]
+    if not by_order and not by_part:
+        return lines.agg(*sums).select(*[named(c) for c in columns])
     if by_part:
         if "Profit" in wanted:
             sums.append(F.sum("l_quantity").alias("l_quantity"))
