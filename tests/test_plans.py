@@ -9,7 +9,7 @@ from conftest import rows
 from tillsight.operators import breakdowns as bd
 from tillsight.operators.filters import filter_sales
 from tillsight.plans import reports
-from tillsight.plans.dashboard import Dashboard
+from tillsight.plans.dashboard import SECTIONS, Dashboard
 
 
 @pytest.mark.parametrize(
@@ -37,6 +37,26 @@ def test_nothing_left_after_the_filter(sales):
         assert rows(board.years()) == [("2016",), ("2017",)]
 
 
+def test_cells_made_elsewhere(sales):
+    parts = sales.withColumns({
+        "orders": F.col("`Order ID`").isNotNull().cast("int"),
+        "discount_sum": F.col("Discount"),
+        "discount_count": F.col("Discount").isNotNull().cast("int"),
+    }).drop("Order ID", "Discount", "Region", "Segment", "Month", "month_num", "Order Date")
+    orders = sales.select("Region", "Segment", "Month", "month_num", "Order Date", "Sales")
+    cells = bd.cells_by_side(orders, parts, SECTIONS)
+    with Dashboard(None, cells=cells) as one, Dashboard(sales) as other:
+        for section in ("kpis", "months", "top_products", "years", "forecast", "history"):
+            assert rows(getattr(one, section)()) == rows(getattr(other, section)())
+        for section in ("regions", "categories", "segments"):
+            found = [sorted(map(str, rows(getattr(b, section)()))) for b in (one, other)]
+            assert found[0] == found[1]
+    with pytest.raises(ValueError):
+        Dashboard(None)
+    with pytest.raises(ValueError):
+        Dashboard(sales, cells=cells)
+
+
 def test_sections_can_be_narrowed(sales):
     with Dashboard(sales.select("Region", "Sales"), sections=(bd.REGION,)) as board:
         assert board.regions().count() == 4

@@ -2,7 +2,6 @@ import math
 import statistics
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import rows
 from tillsight.operators import clean, profile

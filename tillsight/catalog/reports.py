@@ -10,17 +10,24 @@ from tillsight.catalog.registry import SALES, SALES_BODY, Catalog, compact_sql
 from tillsight.operators import breakdowns as bd
 from tillsight.plans import reports
 from tillsight.plans.dashboard import SECTIONS, Dashboard
-from tillsight.sources.star import SALES_COLUMNS, sales_totals, sales_view
+from tillsight.sources.star import sales_totals
 
 CATALOG = Catalog()
 
+TREND_SECTIONS = (bd.MONTH, bd.CATEGORY, bd.REGION)
 
-def board(spark, root, sections=None, columns=SALES_COLUMNS) -> Dashboard:
-    """The dashboard of the sales table, narrowed to what a report asks for.
+
+def board(spark, root, sections=SECTIONS) -> Dashboard:
+    """The unfiltered dashboard of the star schema, one pass per side.
 
     The cells it persists stay for the returned frames.
     """
-    return Dashboard(sales_view(spark, root, columns), sections=sections or SECTIONS)
+    orders = ("Region", "Segment", "Month", "month_num", "Order Date", "Sales")
+    parts = ("Category", "Product Name", "Sales", "Profit", "orders", "discount_sum", "discount_count")
+    cells = bd.cells_by_side(
+        sales_totals(spark, root, orders), sales_totals(spark, root, parts), sections
+    )
+    return Dashboard(None, sections=sections, cells=cells)
 
 
 def forecast_board(spark, root) -> Dashboard:
@@ -93,8 +100,9 @@ UNION ALL SELECT 'product', CAST(row_number() OVER (ORDER BY s DESC, label) AS I
 """
 )
 def report_summary(spark, root):
-    columns = ("Order ID", "Sales", "Profit", "Discount", "Product Name")
-    sheet = reports.report_summary(board(spark, root, (bd.TOTAL, bd.PRODUCT), columns))
+    parts = ("Product Name", "Sales", "Profit", "orders", "discount_sum", "discount_count")
+    totals = sales_totals(spark, root, parts)
+    sheet = reports.report_summary(Dashboard(totals, sections=(bd.TOTAL, bd.PRODUCT)))
     digits = F.when(F.col("label") == "Average Discount", F.round("value", 4))
     return _rounded(sheet.withColumn("value", digits.otherwise(F.round("value", 2))), "profit")
 
@@ -109,9 +117,13 @@ UNION ALL SELECT 'region', NULL, "Region", round(sum("Sales"), 2) FROM sales GRO
 """
 )
 def report_trends(spark, root):
-    columns = ("Region", "Category", "Month", "month_num", "Sales")
-    sections = (bd.MONTH, bd.CATEGORY, bd.REGION)
-    return _rounded(reports.report_trends(board(spark, root, sections, columns)), "value")
+    cells = bd.cells_by_side(
+        sales_totals(spark, root, ("Region", "Month", "month_num", "Sales")),
+        sales_totals(spark, root, ("Category", "Sales")),
+        TREND_SECTIONS,
+    )
+    trends = reports.report_trends(Dashboard(None, sections=TREND_SECTIONS, cells=cells))
+    return _rounded(trends, "value")
 
 
 @CATALOG.query(

@@ -29,18 +29,21 @@ def kpi_summary(sales: DataFrame) -> DataFrame:
     )
 
 
+def _mean_discount() -> Column:
+    return F.sum("discount_sum") / F.nullif(F.sum("discount_count"), F.lit(0))
+
+
 def kpis_of_totals(totals: DataFrame) -> DataFrame:
     """The key figures from rows that already are sums over several order lines.
 
     Such rows count their lines in ``orders`` and carry the sum and the number of their
     discounts; see :func:`tillsight.sources.star.sales_totals`.
     """
-    mean = F.sum("discount_sum") / F.nullif(F.sum("discount_count"), F.lit(0))
     return totals.agg(
         _sum("Sales").alias("total_sales"),
         _sum("Profit").alias("total_profit"),
         F.coalesce(F.sum("orders"), F.lit(0)).alias("total_orders"),
-        F.round(or_zero(mean) * 100, 2).alias("avg_discount"),
+        F.round(or_zero(_mean_discount()) * 100, 2).alias("avg_discount"),
     )
 
 
@@ -137,6 +140,9 @@ _SECTION_KEYS = {
     PERIOD: ("period",),
     TOTAL: (),
 }
+ORDER_SIDE = (REGION, SEGMENT, MONTH, PERIOD)
+# Columns of order lines, and of rows that already sum several lines.
+_MEASURED = ("Order ID", "Sales", "Profit", "Discount", "orders", "discount_sum", "discount_count")
 
 
 def sales_cells(
@@ -150,17 +156,23 @@ def sales_cells(
     which carries at most one row per group and task.
     """
     keys = [key for section in sections for key in _SECTION_KEYS[section]]
-    used = {"Order ID", "Sales", "Profit", "Discount", *keys} - {"period"}
+    used = {*_MEASURED, *keys} - {"period"}
     frame = sales.select(
         *[named(c) for c in sales.columns if c in used],
         *([dates.month_start(named("Order Date")).alias("period")] if "period" in keys else []),
     )
-    measured = [
-        _sum("Sales").alias("total_sales"),
-        *([_sum("Profit").alias("total_profit")] if "Profit" in frame.columns else []),
-        *([F.count(named("Order ID")).alias("total_orders")] if "Order ID" in frame.columns else []),
-        *([F.avg("Discount").alias("avg_discount")] if "Discount" in frame.columns else []),
-    ]
+    present = set(frame.columns)
+    measured = [_sum("Sales").alias("total_sales")]
+    if "Profit" in present:
+        measured.append(_sum("Profit").alias("total_profit"))
+    if "orders" in present:
+        measured.append(F.sum("orders").alias("total_orders"))
+    elif "Order ID" in present:
+        measured.append(F.count(named("Order ID")).alias("total_orders"))
+    if "discount_count" in present:
+        measured.append(_mean_discount().alias("avg_discount"))
+    elif "Discount" in present:
+        measured.append(F.avg("Discount").alias("avg_discount"))
     top = 2 ** len(keys) - 1
     number = {
         section: top - sum(2 ** (len(keys) - 1 - keys.index(k)) for k in _SECTION_KEYS[section])
@@ -195,11 +207,22 @@ def breakdowns_one_pass(sales: DataFrame) -> DataFrame:
     return labelled(sales_cells(sales))
 
 
-def breakdowns_by_side(order_totals: DataFrame, part_totals: DataFrame) -> DataFrame:
-    """The same breakdowns from amounts that were summed per order and per part.
+def cells_by_side(
+    order_totals: DataFrame, part_totals: DataFrame, sections: tuple[str, ...]
+) -> DataFrame:
+    """The cells from amounts that were summed per order and per part.
 
-    One pass per side of a star schema: neither side ever joins single order lines.
+    One pass per side of a star schema: neither side ever joins single order lines, and a
+    key with many lines has become few rows before the join.
     """
-    by_order = sales_cells(order_totals, (REGION, SEGMENT, MONTH, TOTAL))
-    by_part = sales_cells(part_totals, (CATEGORY,))
-    return labelled(by_order.unionByName(by_part, allowMissingColumns=True))
+    by_order = tuple(s for s in sections if s in ORDER_SIDE)
+    by_part = tuple(s for s in sections if s not in ORDER_SIDE)
+    return sales_cells(order_totals, by_order).unionByName(
+        sales_cells(part_totals, by_part), allowMissingColumns=True
+    )
+
+
+def breakdowns_by_side(order_totals: DataFrame, part_totals: DataFrame) -> DataFrame:
+    """The breakdowns of :func:`breakdowns_one_pass`, one pass per side."""
+    sections = (REGION, SEGMENT, MONTH, CATEGORY, TOTAL)
+    return labelled(cells_by_side(order_totals, part_totals, sections))

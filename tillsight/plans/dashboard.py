@@ -36,19 +36,27 @@ class Dashboard:
 
     def __init__(
         self,
-        sales: DataFrame,
+        sales: DataFrame | None,
         year: int | str | None = None,
         region: str | None = None,
         category: str | None = None,
         search: str | None = None,
         boosted: bool = False,
         sections: tuple[str, ...] = SECTIONS,
+        cells: DataFrame | None = None,
     ):
         """``boosted`` adds boosted trees to the forecast's candidates, at the cost of
         training them with Spark ML on each request. ``sections`` narrows the cells to what
-        will be asked for; then only the columns of those sections need to be present."""
+        will be asked for; then only the columns of those sections need to be present.
+        ``cells`` gives unfiltered cells that were made elsewhere, e.g. per side of a star
+        schema, in place of a sales frame."""
+        if (sales is None) == (cells is None):
+            raise ValueError("a dashboard is made either from sales or from cells")
+        self._given = cells
         self._sales = sales
         self._rows = filter_sales(sales, year, region, category, search)
+        if cells is not None and self._rows is not None:
+            raise ValueError("filters need the sales rows")
         self._boosted = boosted
         self._sections = sections
 
@@ -60,7 +68,10 @@ class Dashboard:
 
     @cached_property
     def cells(self) -> DataFrame:
-        return bd.sales_cells(self._rows, self._sections).persist(StorageLevel.MEMORY_AND_DISK)
+        made = self._given
+        if made is None:
+            made = bd.sales_cells(self._rows, self._sections)
+        return made.persist(StorageLevel.MEMORY_AND_DISK)
 
     def close(self) -> None:
         for name in ("cells", "picked"):
@@ -74,6 +85,8 @@ class Dashboard:
 
     def years(self) -> DataFrame:
         """Years to choose from: those of all sales, whatever the filter."""
+        if self._rows is self._sales and bd.PERIOD in self._sections:
+            return bd.years(self.series().select(F.year("period").alias("Year")))
         return bd.years(self._sales)
 
     def kpis(self) -> DataFrame:
@@ -115,7 +128,7 @@ class Dashboard:
         )
 
     def history(self) -> DataFrame:
-        return fc.history(self.series())
+        return fc.history(self.series()).orderBy("period")
 
     @cached_property
     def picked(self) -> DataFrame:

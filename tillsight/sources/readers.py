@@ -28,8 +28,8 @@ def scan_text_columns(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("pathGlobFilter", "*.csv").csv(path)
 
 
-def scan(spark: SparkSession, path: str, **options) -> DataFrame:
-    """CSV or Parquet, told apart by the ending of the path."""
-    if path.rstrip("/").endswith(".parquet"):
+def scan(spark: SparkSession, path: str, form: str | None = None, **options) -> DataFrame:
+    """CSV or Parquet; without ``form`` they are told apart by the ending of the path."""
+    if form == "parquet" or (form is None and path.rstrip("/").endswith(".parquet")):
         return spark.read.parquet(path)
     return scan_csv(spark, path, **options)
