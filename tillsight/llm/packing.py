@@ -9,8 +9,11 @@ every group those of its last one; they meet in fewer groups and are packed agai
 
 from __future__ import annotations
 
+import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,7 @@ GROUP_PIECES = 40_000
 #: Groups that meet in one for the next round.
 MERGE = 16
 #: Words whose ids a worker remembers; beyond, it starts anew.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 800_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -48,6 +51,8 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        # Spark runs a task on each core; more threads would only wait for each other.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_file(path)
         self.part = Tokenizer.from_file(path)
         self.part.normalizer = normalizers.Sequence([])
@@ -73,7 +78,10 @@ class WordIds:
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        packed = array("I", ids)
+        if sys.byteorder != "little":
+            packed.byteswap()
+        return packed.tobytes()
 
     def _learn(self, words: list[str]) -> None:
         new = [w for w in dict.fromkeys(words) if w not in self.words]
