@@ -32,7 +32,7 @@ MISS = 1e-6
 #: Shingles hashed at once; bounds the memory for long documents.
 BLOCK = 4096
 #: Pivots of a candidate group in each round; the last number holds for all further rounds.
-PIVOTS = (8, 64, 512, 4096)
+PIVOTS = (1, 4, 16, 64, 256, 1024, 4096)
 
 _RNG = np.random.default_rng(20)
 _LETTER = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
@@ -201,14 +201,16 @@ def linked_classes(
         for band in range(BANDS)
     ]
     banded = classes.select("id", "n", F.explode(F.array(*keys)).alias("key"))
-    shared = banded.groupBy("key").agg(
-        F.count(F.lit(1)).alias("members"), F.min(F.struct("id", "n")).alias("pivot")
-    ).where("members > 1")
-    members = stored(
-        banded.join(shared.select("key", "pivot"), "key").select("key", "id", "n", "pivot"), "members"
-    )
-    ids = members.select("id").distinct()
-    signatures = stored(classes.join(ids, "id").select("id", "signature"), "signatures")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    grouped = stored(banded.join(shared, "key"), "grouped")
+    # How many candidates a class has over all bands: the text that others are copies of
+    # has most of them, and as a pivot it links most.
+    ids = stored(grouped.groupBy("id").agg(F.sum("members").alias("degree")), "degrees")
+    ranked = grouped.join(ids, "id").select("key", "id", "n", "degree")
+    first = F.max(F.struct("degree", (-F.col("id")).alias("order"), "id", "n")).alias("pivot")
+    pivots = ranked.groupBy("key").agg(first)
+    members = stored(ranked.join(pivots, "key"), "members")
+    signatures = stored(classes.join(ids, "id", "left_semi").select("id", "signature"), "signatures")
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
     sets = stored(set_arrays(texts, words), "sets")
 
@@ -219,7 +221,7 @@ def linked_classes(
     pairs = stars.where(_sized(threshold)).select("a", "b").distinct()
     labels = stored(components(_links(pairs, signatures, sets, threshold, miss)), "labels")
     # Pivots have met all others of their group and need not come again.
-    active = members.where(F.col("id") != F.col("pivot.id")).select("key", "id", "n")
+    active = members.where(F.col("id") != F.col("pivot.id")).select("key", "id", "n", "degree")
     for step in range(10**6):
         most = PIVOTS[min(step, len(PIVOTS) - 1)]
         named = active.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
@@ -232,11 +234,13 @@ def linked_classes(
             .where("labels > 1")
             .select("key", "main")
         )
-        open_ = stored(named.join(split, "key").select("key", "id", "n", "label", "main"), "open")
+        open_ = stored(
+            named.join(split, "key").select("key", "id", "n", "degree", "label", "main"), "open"
+        )
         if open_.isEmpty():
             return labels.withColumnRenamed("node", "id")
         outside = open_.where("label <> main")
-        ranked = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+        ranked = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "id"))
         pivots = outside.withColumn("rank", ranked).where(F.col("rank") <= most)
         pivots = stored(pivots.select("key", "id", "n", "label"), "pivots")
         one = pivots.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
@@ -250,7 +254,9 @@ def linked_classes(
         found = _links(pairs, signatures, sets, threshold, miss)
         edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found)
         labels = stored(components(edges), "labels")
-        active = open_.join(pivots.select("key", "id"), ["key", "id"], "left_anti").select("key", "id", "n")
+        active = open_.join(pivots.select("key", "id"), ["key", "id"], "left_anti").select(
+            "key", "id", "n", "degree"
+        )
 
 
 def near_duplicates(
