@@ -1,5 +1,6 @@
 import datetime
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -11,9 +12,13 @@ from tillsight.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(
-        4, "tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"}
-    )
+    with tempfile.TemporaryDirectory(prefix="tests-") as shared:
+        settings = {
+            "spark.sql.shuffle.partitions": "4",
+            "spark.driver.memory": "4g",
+            "spark.checkpoint.dir": f"file://{shared}",
+        }
+        yield local_session(4, "tests", **settings)
 
 
 SALES_SCHEMA = (

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from tillsight.operators import breakdowns as bd
-from tillsight.operators.ranking import ranked_top, share_of_total, with_position
+from tillsight.operators.ranking import ranked_top, share_of_total
 
 
 def test_kpis(sales):
@@ -109,7 +109,15 @@ def test_share_of_all_groups(groups):
     assert found == {"a": 25.0, "b": 15.0, "c": 10.0, "d": 0.0, None: 50.0}
 
 
-def test_positions_run_over_all_partitions(spark):
-    frame = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v")).repartition(7)
-    found = rows(with_position(frame, F.asc("v")))
-    assert sorted(found) == [(i + 1, i) for i in range(1000)]
+def test_cells_of_one_side_only(sales):
+    found = bd.cells_by_side(sales.drop("Category"), sales.select("Category", "Sales"), ("region",))
+    assert {r["section"] for r in found.collect()} == {"region"} and found.count() == 4
+    found = bd.cells_by_side(sales.drop("Category"), sales.select("Category", "Sales"), ("category",))
+    assert {r["section"] for r in found.collect()} == {"category"}
+
+
+def test_shown_cells_keep_the_best_products_and_all_else(sales):
+    cells = bd.sales_cells(sales, ("region", "product", "total"))
+    best = [r["Product Name"] for r in bd.shown(cells, 2).where("section = 'product'").collect()]
+    assert sorted(best) == ["Phone", "Red Chair"]
+    assert bd.shown(cells, 2).where("section <> 'product'").count() == 5

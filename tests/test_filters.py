@@ -74,3 +74,8 @@ def test_dynamic_filters(odd, filters, count):
 def test_request_parameters():
     request = {"filter_Region": "East", "filter_Kind": "All", "filter_x": "", "page": "2"}
     assert parse_filters(request) == {"Region": "East"}
+
+
+def test_a_year_filter_needs_a_date(sales):
+    with pytest.raises(ValueError, match="Order Date"):
+        filter_sales(sales.select("Region"), year=2016)

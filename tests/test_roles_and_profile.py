@@ -105,6 +105,18 @@ def test_summary_is_one_row_per_column(gappy):
     ]
 
 
+def test_summary_is_one_pass(gappy):
+    parts = summary(gappy)
+    try:
+        for name, part in parts.items():
+            text = part._jdf.queryExecution().withCachedData().toString()
+            assert "InMemoryRelation" in text and "count_if" not in text.split("InMemoryRelation")[0], name
+        assert rows(parts["shape"]) == rows(profile.shape(gappy))
+        assert sorted(map(str, rows(parts["statistics"]))) == sorted(map(str, rows(profile.describe_text(gappy))))
+    finally:
+        parts["columns"].unpersist()
+
+
 def test_clean(spark):
     frame = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (2, None), (2, "b")], "n int, s string")
     assert sorted(rows(clean.clean(frame))) == [(1, "a"), (2, "b")]

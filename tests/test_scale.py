@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tillsight import catalog
 from tillsight.operators import breakdowns as bd
 from tillsight.operators.filters import filter_sales
+from tillsight.plans.analysis import analyze
+from tillsight.plans.dashboard import Dashboard
+from tillsight.plans.holding import NOT
 from tillsight.sources.star import sales_totals, sales_view
 
 ROOT = "/root/testdata/sf0.001"
@@ -28,6 +31,65 @@ def test_no_cross_join_and_no_python_in_the_plan(spark, name):
     text = plan(catalog.queries()[name](spark, ROOT))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert not re.search(r"PythonUDF|ArrowEvalPython|BatchEvalPython|MapInPandas", text)
+    assert "ExistingRDD" not in text
+
+
+@pytest.mark.parametrize("name", ["dataset_reuse", "dyn_charts", "dashboard_json", "report_summary", "forecast_overlay"])
+def test_no_query_leaves_anything_in_memory(spark, name):
+    kept = spark.sparkContext._jsc.getPersistentRDDs
+    before = set(kept().keySet())
+    catalog.queries()[name](spark, ROOT).collect()
+    assert set(kept().keySet()) <= before
+
+
+def relations(frame, column):
+    """How often the rows with that column are read, apart from what is held in memory."""
+    text = frame._jdf.queryExecution().withCachedData().toString()
+    return len(re.findall(rf"Relation \[[^\]]*\b{column}#", text))
+
+
+@pytest.mark.parametrize("name, scans", [("dyn_charts", 1), ("report_trends", 2), ("report_breakdown", 1)])
+def test_sections_of_one_select_read_the_lines_once_per_side(spark, name, scans):
+    frame = catalog.queries()[name](spark, ROOT)
+    assert relations(frame, "l_extendedprice") == scans
+    assert plan(frame).count("Generate inline") == scans
+
+
+@pytest.mark.parametrize(
+    "name, passes",
+    # the choice of years in a filtered dashboard is that of all sales, a pass of its own
+    [("dashboard_json", 0), ("dashboard_filtered_json", 1), ("report_summary", 0), ("forecast_overlay", 0)],
+)
+def test_sections_of_several_selects_read_the_cells_only(spark, name, passes):
+    assert relations(catalog.queries()[name](spark, ROOT), "l_extendedprice") == passes
+
+
+def test_every_section_of_a_dashboard_hits_the_held_cells(spark):
+    with Dashboard(sales_view(spark, ROOT)) as board:
+        documents = board.documents()
+        assert relations(documents, "l_extendedprice") == 0
+        text = documents._jdf.queryExecution().withCachedData().toString()
+        assert text.count("InMemoryRelation") >= 9
+        assert "WindowGroupLimit" in plan(board.cells.groupBy().count()) or "WindowGroupLimit" in text
+
+
+def test_every_section_of_an_analysis_hits_the_held_cells(spark):
+    columns = ("Order Date", "Sales", "Region", "Category", "Segment")
+    with analyze(sales_view(spark, ROOT, columns)) as analysis:
+        documents = analysis.documents()
+        # the choices of the filters and the preview are passes of their own
+        assert relations(documents, "l_extendedprice") <= 2
+        charts, insights = analysis.charts(), analysis.insights()
+        assert relations(charts, "l_extendedprice") == relations(insights, "l_extendedprice") == 0
+        assert relations(analysis.shape(), "l_extendedprice") == 0
+
+
+def test_tasks_hand_on_the_largest_groups_only(spark):
+    texts = spark.read.parquet(f"{ROOT}/documents.parquet")
+    cells = analyze(texts, hold=NOT).cells
+    assert "WindowGroupLimit" in plan(cells)
+    sizes = {r[0]: r[1] for r in cells.groupBy("section").count().collect()}
+    assert all(n <= 10 for section, n in sizes.items() if section != "period")
 
 
 def read_columns(text):

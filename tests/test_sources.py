@@ -140,6 +140,17 @@ def test_reuse_reads_again_only_after_a_change(spark, tmp_path):
     kept.clear()
 
 
+def test_reuse_keeps_the_columns_asked_for_or_nothing(spark, tmp_path):
+    path = write_csv(tmp_path / "c.csv", "k,v\na,1\n")
+    kept = DatasetReuse(spark, scan_csv)
+    narrow = kept.load(path, columns=("v",))
+    assert narrow.columns == ["v"] and narrow.is_cached and kept.load(path, columns=("v",)) is narrow
+    whole = kept.load(path)
+    assert whole.columns == ["k", "v"] and not narrow.is_cached
+    fresh = kept.load(path, use_cache=False)
+    assert not fresh.is_cached and not whole.is_cached and fresh.count() == 1
+
+
 def test_preload_of_nothing(spark, tmp_path):
     assert not DatasetReuse(spark, scan_csv).preload(str(tmp_path / "missing.csv"))
 

@@ -8,6 +8,7 @@ from tillsight.catalog.registry import SALES, Catalog, table
 from tillsight.operators import adaptive as ad
 from tillsight.operators.roles import classify, column_roles
 from tillsight.plans.analysis import analyze
+from tillsight.plans.holding import NOT
 from tillsight.sources.star import sales_view
 
 CATALOG = Catalog()
@@ -185,7 +186,7 @@ SELECT 'chart_3', 'Distribution by Segment', 'pie',
 """
 )
 def dyn_charts(spark, root):
-    charts = analyze(sales_view(spark, root, UPLOAD)).charts()
+    charts = analyze(sales_view(spark, root, UPLOAD), hold=NOT).charts()
     return charts.withColumn("value", F.round("value", 2))
 
 
@@ -218,7 +219,7 @@ def dyn_preview(spark, root):
     return ad.preview(orders, classify(orders, "o_totalprice"))
 
 
-@CATALOG.query()
+@CATALOG.query("SELECT lang, source FROM documents ORDER BY lang, source LIMIT 10")
 def dyn_preview_any(spark, root):
     texts = table(spark, root, "documents").select("lang", "source")
     return ad.preview(texts, classify(texts))

@@ -1,7 +1,8 @@
-"""The forecast in plain SQL, written the long way round as an independent check.
+"""The forecast in plain SQL, written the long way round.
 
 It fits on explicit folds with centred covariances and scores by the residual of every
-single month, where the library adds up moments per block.
+single month, where the library adds up moments per block. The solution of folds without
+full rank is the library's own; ``tests/test_forecast.py`` checks that one with numpy.
 """
 
 from __future__ import annotations
@@ -143,16 +144,12 @@ nexts AS (SELECT *, CASE WHEN n = 1 THEN last_y ELSE forecast END AS value,
 """
 
 
-def summary_select(keys: list[str], whole: bool = False) -> str:
+def summary_select(keys: list[str]) -> str:
     k = "".join(f'"{key}", ' for key in keys)
-    value, trend = "round(value, 2)", "round(trend, 1)"
-    if whole:
-        value = "CAST(floor(value + 0.123) AS BIGINT)"
-        trend = "CAST(floor(trend * 10 + 0.123) AS BIGINT)"
     return f"""
 , {NEXTS}
 SELECT {k}n, CASE WHEN n = 1 THEN 'fallback' ELSE model END AS model,
-       {value} AS forecast_value, accuracy AS forecast_accuracy, {trend} AS forecast_trend,
+       round(value, 2) AS forecast_value, accuracy AS forecast_accuracy, round(trend, 1) AS forecast_trend,
        CASE WHEN trend >= 0 THEN 'up' ELSE 'down' END AS trend_class
 FROM nexts
 """

@@ -11,17 +11,18 @@ from tillsight.operators import adaptive as ad
 from tillsight.operators import forecast as fc
 from tillsight.operators.boosted import boosted_forecast
 from tillsight.operators.roles import classify
+from tillsight.sources.shared import delete_at_exit, shared_folder
 from tillsight.sources.star import sales_totals, sales_view
 
 CATALOG = Catalog()
 
 
-def _sales_series_sql(keys: list[str]) -> str:
+def _sales_series_sql(keys: list[str], body: str = SALES_BODY) -> str:
     k = "".join(f'"{key}", ' for key in keys)
     return f"""
   SELECT {k}CAST(date_trunc('month', "Order Date") AS DATE) AS period, month("Order Date") AS month_num,
          sum("Sales") AS y
-  FROM ({SALES_BODY}) WHERE "Order Date" IS NOT NULL GROUP BY ALL
+  FROM ({body}) WHERE "Order Date" IS NOT NULL GROUP BY ALL
 """
 
 
@@ -156,23 +157,21 @@ _SHORT = ["o_custkey", "o_orderpriority"]
     "WITH "
     + forecast_ctes(
         """SELECT o_custkey, o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS period,
-           month(o_orderdate) AS month_num, sum(o_totalprice) AS y FROM orders GROUP BY ALL""",
+           month(o_orderdate) AS month_num, sum(o_totalprice * 1.0000137) AS y FROM orders GROUP BY ALL""",
         _SHORT,
     )
-    + summary_select(_SHORT, whole=True)
+    + summary_select(_SHORT)
 )
 def forecast_short(spark, root):
-    orders = table(spark, root, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
-    series = fc.monthly_series(orders, _SHORT, "o_orderdate", "o_totalprice")
-    values = fc.next_values(fc.pick_for(series, _SHORT), _SHORT)
-    # whole units and tenths of a percent, cut off the usual boundary: with so few months
-    # many exact values end in a half
-    return values.withColumns(
+    # A factor takes the amounts off exact halves, which two engines may round either way.
+    orders = table(spark, root, "orders").withColumns(
         {
-            "forecast_value": F.floor(F.col("forecast_value") + 0.123),
-            "forecast_trend": F.floor(F.col("forecast_trend") * 10 + 0.123),
+            "o_orderdate": F.col("o_orderdate").cast("date"),
+            "o_totalprice": F.col("o_totalprice") * F.lit(1.0000137),
         }
     )
+    series = fc.monthly_series(orders, _SHORT, "o_orderdate", "o_totalprice")
+    return fc.forecast_summary(fc.pick_for(series, _SHORT), _SHORT)
 
 
 @CATALOG.query(
@@ -207,7 +206,7 @@ def future_months(spark, root):
     + forecast_ctes(
         """SELECT label AS period, CAST(substring(label, 6, 2) AS INTEGER) AS month_num, y
         FROM (SELECT strftime(o_orderdate, '%Y-%m') AS label, sum(o_totalprice) AS y
-              FROM orders GROUP BY ALL ORDER BY label LIMIT 36)""",
+              FROM orders GROUP BY ALL)""",
         [],
     )
     + """
@@ -239,3 +238,21 @@ def month_model(spark, root):
     model = fc.month_model(sales_view(spark, root, ("Order Date", "Sales")))
     return _rounded(model, 6, "slope", "intercept")
 
+
+
+@CATALOG.query(
+    SALES
+    + """
+, m AS (SELECT regr_slope("Sales", month_num) AS a, regr_intercept("Sales", month_num) AS b FROM sales)
+SELECT CAST(month AS INTEGER) AS month_num, round(b + a * month, 6) AS predicted
+FROM m, (SELECT unnest(range(1, 13)) AS month)
+"""
+)
+def month_model_saved(spark, root):
+    """The month model, saved, loaded and applied to every month."""
+    folder = shared_folder(spark)
+    fc.save_model(fc.month_model(sales_view(spark, root, ("Order Date", "Sales"))), folder)
+    delete_at_exit(spark, folder)
+    months = spark.range(1, 13).select(F.col("id").cast("int").alias("month_num"))
+    predicted = fc.apply_month_model(spark.read.parquet(folder), F.col("month_num"))
+    return months.withColumn("predicted", F.round(predicted, 6))

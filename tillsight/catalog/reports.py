@@ -10,7 +10,8 @@ from tillsight.catalog.registry import SALES, SALES_BODY, Catalog, compact_sql
 from tillsight.operators import breakdowns as bd
 from tillsight.plans import reports
 from tillsight.plans.dashboard import SECTIONS, Dashboard
-from tillsight.sources.star import sales_totals
+from tillsight.plans.holding import NOT, TABLE
+from tillsight.sources.star import sales_totals, sales_view
 
 CATALOG = Catalog()
 
@@ -20,18 +21,19 @@ TREND_SECTIONS = (bd.MONTH, bd.CATEGORY, bd.REGION)
 def board(spark, root, sections=SECTIONS) -> Dashboard:
     """The unfiltered dashboard of the star schema, one pass per side.
 
-    The cells it persists stay for the returned frames.
+    Its few cells are written to the shared folder, so nothing stays in memory.
     """
     orders = ("Region", "Segment", "Month", "month_num", "Order Date", "Sales")
     parts = ("Category", "Product Name", "Sales", "Profit", "orders", "discount_sum", "discount_count")
     cells = bd.cells_by_side(
         sales_totals(spark, root, orders), sales_totals(spark, root, parts), sections
     )
-    return Dashboard(None, sections=sections, cells=cells)
+    return Dashboard(None, sections=sections, cells=cells, hold=TABLE)
 
 
 def forecast_board(spark, root) -> Dashboard:
-    return Dashboard(sales_totals(spark, root, ("Order Date", "Sales")), sections=(bd.PERIOD,))
+    totals = sales_totals(spark, root, ("Order Date", "Sales"))
+    return Dashboard(totals, sections=(bd.PERIOD,), hold=TABLE)
 
 
 def _rounded(frame, *names):
@@ -47,10 +49,12 @@ def _groups_json(section: str, column: str) -> str:
 FROM sales GROUP BY "{column}\""""
 
 
-@CATALOG.query(
-    "WITH "
-    + forecast_ctes(_sales_series_sql([]), [])
-    + f""", {NEXTS}, ahead AS ({points_select([])}), sales AS ({SALES_BODY}),
+def _dashboard_sql(body: str = SALES_BODY) -> str:
+    """The document of a dashboard over the sales rows of ``body``; years are those of all."""
+    return (
+        "WITH "
+        + forecast_ctes(_sales_series_sql([], body), [])
+        + f""", {NEXTS}, ahead AS ({points_select([])}), sales AS ({body}),
 k AS (SELECT sum("Sales") AS s, sum("Profit") AS p, count("Order ID") AS n,
              round(avg("Discount") * 100, 2) AS d FROM sales),
 t AS (SELECT "Product Name" AS label, sum("Sales") AS s, sum("Profit") AS p FROM sales
@@ -59,7 +63,8 @@ SELECT 'kpis' AS section, CAST(to_json({{
     'total_sales': {compact_sql('s', '₹')}, 'total_profit': {compact_sql('p', '₹')},
     'total_orders': format('{{:,}}', n),
     'avg_discount': regexp_replace(format('{{:.2f}}', d), '0$', '') || '%'}}) AS VARCHAR) AS json FROM k
-UNION ALL SELECT DISTINCT 'years', CAST(to_json({{'year': CAST("Year" AS VARCHAR)}}) AS VARCHAR) FROM sales
+UNION ALL SELECT DISTINCT 'years', CAST(to_json({{'year': CAST("Year" AS VARCHAR)}}) AS VARCHAR)
+FROM ({SALES_BODY})
 UNION ALL {_groups_json('regions', 'Region')}
 UNION ALL {_groups_json('categories', 'Category')}
 UNION ALL {_groups_json('segments', 'Segment')}
@@ -78,11 +83,41 @@ UNION ALL SELECT 'forecast_points', CAST(to_json({{'position': step, 'label': la
 UNION ALL SELECT 'history', CAST(to_json({{'period': CAST(period AS VARCHAR),
     'label': strftime(period, '%b %Y'), 'value': {_AMOUNT.format('y')}}}) AS VARCHAR) FROM series
 """
-)
+    )
+
+
+@CATALOG.query(_dashboard_sql())
 def dashboard_json(spark, root):
     return board(spark, root).documents()
 
 
+# A filtered request: a year, a region, a category and a text in the product's name.
+_ASKED = {"year": 1996, "region": "EUROPE", "category": "STANDARD", "search": "e"}
+_FILTERED_BODY = f"""SELECT * FROM ({SALES_BODY})
+  WHERE year("Order Date") = 1996 AND "Region" = 'EUROPE' AND "Category" = 'STANDARD'
+    AND (contains(lower("Product Name"), 'e') OR contains(lower("Category"), 'e')
+         OR contains(lower("Sub-Category"), 'e'))"""
+
+
+@CATALOG.query(_dashboard_sql(_FILTERED_BODY))
+def dashboard_filtered_json(spark, root):
+    return Dashboard(sales_view(spark, root), **_ASKED, hold=TABLE).documents()
+
+
+@CATALOG.query(
+    f"""
+WITH sales AS ({_FILTERED_BODY})
+SELECT 'month' AS block, month_num, "Month" AS label, round(sum("Sales"), 2) AS value
+FROM sales GROUP BY ALL
+UNION ALL SELECT 'category', NULL, "Category", round(sum("Sales"), 2) FROM sales GROUP BY ALL
+UNION ALL SELECT 'region', NULL, "Region", round(sum("Sales"), 2) FROM sales GROUP BY ALL
+"""
+)
+def report_trends_filtered(spark, root):
+    asked = Dashboard(sales_view(spark, root), **_ASKED, sections=TREND_SECTIONS, hold=NOT)
+    return _rounded(reports.report_trends(asked), "value")
+
+
 @CATALOG.query(
     SALES
     + """
@@ -102,7 +137,7 @@ UNION ALL SELECT 'product', CAST(row_number() OVER (ORDER BY s DESC, label) AS I
 def report_summary(spark, root):
     parts = ("Product Name", "Sales", "Profit", "orders", "discount_sum", "discount_count")
     totals = sales_totals(spark, root, parts)
-    sheet = reports.report_summary(Dashboard(totals, sections=(bd.TOTAL, bd.PRODUCT)))
+    sheet = reports.report_summary(Dashboard(totals, sections=(bd.TOTAL, bd.PRODUCT), hold=TABLE))
     digits = F.when(F.col("label") == "Average Discount", F.round("value", 4))
     return _rounded(sheet.withColumn("value", digits.otherwise(F.round("value", 2))), "profit")
 
@@ -122,7 +157,7 @@ def report_trends(spark, root):
         sales_totals(spark, root, ("Category", "Sales")),
         TREND_SECTIONS,
     )
-    trends = reports.report_trends(Dashboard(None, sections=TREND_SECTIONS, cells=cells))
+    trends = reports.report_trends(Dashboard(None, sections=TREND_SECTIONS, cells=cells, hold=NOT))
     return _rounded(trends, "value")
 
 
@@ -141,7 +176,7 @@ FROM r FULL JOIN s ON r.pos = s.pos
 )
 def report_breakdown(spark, root):
     totals = sales_totals(spark, root, ("Region", "Segment", "Sales"))
-    return reports.report_breakdown(Dashboard(totals, sections=(bd.REGION, bd.SEGMENT)))
+    return reports.report_breakdown(Dashboard(totals, sections=(bd.REGION, bd.SEGMENT), hold=NOT))
 
 
 @CATALOG.query(
@@ -157,7 +192,7 @@ FROM t
 )
 def report_products(spark, root):
     totals = sales_totals(spark, root, ("Product Name", "Sales", "Profit"))
-    return reports.report_products(Dashboard(totals, sections=(bd.PRODUCT,)))
+    return reports.report_products(Dashboard(totals, sections=(bd.PRODUCT,), hold=NOT))
 
 
 _TOTAL = "WITH " + forecast_ctes(_sales_series_sql([]), [])

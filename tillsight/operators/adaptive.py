@@ -8,6 +8,7 @@ of them from one pass.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,14 +22,30 @@ from tillsight.operators.boosted import best_of_three
 from tillsight.operators.ranking import ranked_top
 from tillsight.operators.roles import Roles
 
-# How many columns, groups and periods a section looks at or lists.
-FILTER_SCAN, FILTER_KEPT = 5, 3
-FILTER_LEAST, FILTER_MOST = 2, 40
-KPI_COLUMNS = 4
-TREND_PERIODS = 36
-TOP_GROUPS = 10
-PIE_GROUPS = 8
-PREVIEW_ROWS = 10
+
+@dataclass(frozen=True)
+class Limits:
+    """How many columns, groups and periods a section looks at or lists.
+
+    ``filter_scan`` text columns are looked at for filters, ``filter_kept`` kept, with
+    ``filter_least`` to ``filter_most`` values; ``cards`` number columns have a total card;
+    the trend chart shows ``periods`` (None: all), charts and top items ``top_groups``, the
+    pie ``pie_groups``; the preview has ``preview_rows``. None of them cuts what a section
+    is computed from.
+    """
+
+    filter_scan: int = 5
+    filter_kept: int = 3
+    filter_least: int = 2
+    filter_most: int = 40
+    cards: int = 4
+    periods: int | None = 36
+    top_groups: int = 10
+    pie_groups: int = 8
+    preview_rows: int = 10
+
+
+LIMITS = Limits()
 
 # Titles and texts of the sections; {} stands for a column name.
 TREND_TITLE, TREND_CHART = "{} Trend Over Time", "line"
@@ -61,7 +78,7 @@ def _largest_estimate(distinct: int) -> int:
     return round(registers * math.log(registers / (registers - distinct)))
 
 
-def _narrow(frame: DataFrame, columns: list[str]) -> list[str]:
+def _narrow(frame: DataFrame, columns: list[str], most: int) -> list[str]:
     """Columns that a sketch does not prove to have too many values for a filter."""
     estimates = frame.agg(
         *[
@@ -69,19 +86,19 @@ def _narrow(frame: DataFrame, columns: list[str]) -> list[str]:
             for i, c in enumerate(columns)
         ]
     ).first()
-    limit = _largest_estimate(FILTER_MOST)
+    limit = _largest_estimate(most)
     return [c for i, c in enumerate(columns) if estimates[f"c{i}"] <= limit]
 
 
-def column_values(frame: DataFrame, roles: Roles) -> DataFrame:
+def column_values(frame: DataFrame, roles: Roles, limits: Limits = LIMITS) -> DataFrame:
     """Distinct values, null included, of the text columns that may become filters.
 
     A first pass with a fixed-size sketch per column leaves out the columns that are certain
     to have too many values; otherwise a nearly unique column would send all its values
     through the shuffle only to be rejected. What is left is a few dozen values per column.
     """
-    columns = list(roles.categorical[:FILTER_SCAN])
-    kept = _narrow(frame, columns) if columns else columns
+    columns = list(roles.categorical[: limits.filter_scan])
+    kept = _narrow(frame, columns, limits.filter_most) if columns else columns
     if not kept:
         return frame.sparkSession.createDataFrame([], "ordinal int, column string, value string")
     ordinal = F.create_map(
@@ -93,24 +110,24 @@ def column_values(frame: DataFrame, roles: Roles) -> DataFrame:
     return pairs.distinct().select(ordinal[F.col("column")].alias("ordinal"), "column", "value")
 
 
-def _of_candidates(values: DataFrame) -> DataFrame:
+def _of_candidates(values: DataFrame, limits: Limits) -> DataFrame:
     """Values of the first columns with few enough of them; null counts as a value."""
     counted = values.withColumn("n_distinct", F.count(F.lit(1)).over(Window.partitionBy("column")))
-    fitting = counted.where(F.col("n_distinct").between(FILTER_LEAST, FILTER_MOST))
+    fitting = counted.where(F.col("n_distinct").between(limits.filter_least, limits.filter_most))
     place = F.dense_rank().over(Window.orderBy("ordinal"))
-    return fitting.withColumn("place", place).where(F.col("place") <= FILTER_KEPT)
+    return fitting.withColumn("place", place).where(F.col("place") <= limits.filter_kept)
 
 
-def filter_candidates(frame: DataFrame, roles: Roles) -> DataFrame:
+def filter_candidates(frame: DataFrame, roles: Roles, limits: Limits = LIMITS) -> DataFrame:
     """The filter columns with their number of values."""
-    found = _of_candidates(column_values(frame, roles))
+    found = _of_candidates(column_values(frame, roles, limits), limits)
     return found.groupBy("ordinal", "column").agg(F.max("n_distinct").alias("n_distinct"))
 
 
-def filter_values(frame: DataFrame, roles: Roles) -> DataFrame:
+def filter_values(frame: DataFrame, roles: Roles, limits: Limits = LIMITS) -> DataFrame:
     """The values to choose from in each filter column, sorted."""
     return (
-        _of_candidates(column_values(frame, roles))
+        _of_candidates(column_values(frame, roles, limits), limits)
         .where(F.col("value").isNotNull())
         .select("ordinal", "column", "value")
         .orderBy("ordinal", "value")
@@ -154,8 +171,10 @@ def by_category(frame: DataFrame, roles: Roles, place: int = 0) -> DataFrame:
 # Sections of grouped frames --------------------------------------------------------------
 
 
-def first_periods(periods: DataFrame, keep: str = "oldest", limit: int = TREND_PERIODS):
-    """The listed periods, by default the oldest; a null period sorts first."""
+def first_periods(periods: DataFrame, keep: str = "oldest", limit: int | None = None):
+    """The listed periods, all of them without a limit; a null period sorts first."""
+    if limit is None:
+        return periods.orderBy(F.asc_nulls_first("label"))
     if keep == "latest":
         periods = periods.orderBy(F.desc_nulls_last("label")).limit(limit)
     return periods.orderBy(F.asc_nulls_first("label")).limit(limit)
@@ -173,11 +192,14 @@ def _points(frame: DataFrame, value: Column, *order: Column) -> DataFrame:
     )
 
 
-def trend_points(periods: DataFrame, keep: str = "oldest") -> DataFrame:
-    return _points(first_periods(periods, keep), F.col("total"), F.asc_nulls_first("label"))
+def trend_points(
+    periods: DataFrame, keep: str = "oldest", limit: int | None = LIMITS.periods
+) -> DataFrame:
+    listed = first_periods(periods, keep, limit)
+    return _points(listed, F.col("total"), F.asc_nulls_first("label"))
 
 
-def top_points(groups: DataFrame, limit: int = TOP_GROUPS) -> DataFrame:
+def top_points(groups: DataFrame, limit: int = LIMITS.top_groups) -> DataFrame:
     order = (F.desc("total"), F.asc("label"))
     return _points(groups.orderBy(*order).limit(limit), F.col("total"), *order)
 
@@ -201,6 +223,55 @@ def chart_specs(roles: Roles) -> list[tuple[str, str, str]]:
     return specs
 
 
+def charts_from(cells: DataFrame, roles: Roles, keep: str, limits: Limits) -> DataFrame:
+    """All charts in one select over the cells of an analysis, in long form.
+
+    ``cells`` has ``section`` (period, first, second, third), ``label``, ``total`` and
+    ``records``; sections are listed in the order that makes their chart.
+    """
+    source = {"trend": "period", "top": "first", "second": "second", "third": "third"}
+    most = {
+        "trend": limits.periods, "top": limits.top_groups,
+        "second": limits.top_groups, "third": limits.pie_groups,
+    }
+    specs = list(enumerate(chart_specs(roles)))
+
+    def by_section(values: dict) -> Column:
+        return F.create_map(
+            *[F.lit(x) for _, (s, _, _) in specs for x in (source[s], values[s])]
+        )[F.col("section")]
+
+    wanted = cells.where(F.col("section").isin([source[s] for _, (s, _, _) in specs]))
+    summed = F.col("section").isin("period", "first")
+    if roles.primary is None:
+        value = F.col("records").cast("double")
+    else:
+        value = F.when(summed, F.col("total").cast("double")).otherwise(F.col("records"))
+    each = Window.partitionBy("section")
+    trend = F.col("section") == "period"
+    order = each.orderBy(
+        F.when(~trend, value).desc(),
+        F.when(trend, F.col("label")).asc_nulls_first(),
+        F.asc("label"),
+    )
+    place = F.row_number().over(order)
+    limit = by_section({s: most[s] or 2**31 - 1 for _, (s, _, _) in specs})
+    skipped = F.lit(0)
+    if keep == "latest":
+        # Of the trend, the last periods: those before them are left out.
+        over = F.count(F.lit(1)).over(each) - limit
+        skipped = F.when(trend, F.greatest(over, F.lit(0))).otherwise(F.lit(0))
+    numbered = wanted.withColumn("pos", (place - skipped).cast("int"))
+    return numbered.where((F.col("pos") >= 1) & (F.col("pos") <= limit)).select(
+        by_section({s: f"chart_{i}" for i, (s, _, _) in specs}).alias("chart_id"),
+        by_section({s: title for _, (s, title, _) in specs}).alias("title"),
+        by_section({s: kind for _, (s, _, kind) in specs}).alias("type"),
+        "pos",
+        F.coalesce(F.col("label"), F.lit(NULL_LABEL)).alias("label"),
+        F.coalesce(value, F.lit(0.0)).alias("value"),
+    ).orderBy("chart_id", "pos")
+
+
 def charts_of(roles: Roles, points: dict[str, DataFrame]) -> DataFrame:
     """All charts in long form: (chart_id, title, type, pos, label, value)."""
     frames = [
@@ -220,13 +291,13 @@ def charts_of(roles: Roles, points: dict[str, DataFrame]) -> DataFrame:
     return charts
 
 
-def top_items_of(groups: DataFrame, roles: Roles) -> DataFrame:
+def top_items_of(groups: DataFrame, roles: Roles, limit: int = LIMITS.top_groups) -> DataFrame:
     """Ranked table of the leading category: rank, label, value text, value, share."""
     text = _sum_text(F.col("total"), roles.type_of(roles.primary))
     totals = groups.select(
         "label", F.col("total").cast("double").alias("value"), text.alias("value_text")
     )
-    ranked = ranked_top(totals, "label", "value", TOP_GROUPS, carry=("value_text",))
+    ranked = ranked_top(totals, "label", "value", limit, carry=("value_text",))
     return ranked.withColumn("label", F.coalesce(F.col("label"), F.lit(NULL_LABEL)))
 
 
@@ -235,9 +306,12 @@ def mode_of(groups: DataFrame) -> DataFrame:
     return groups.orderBy(F.desc("records"), F.asc("label")).limit(1).select("label", "records")
 
 
-def series_of(periods: DataFrame, keep: str = "oldest") -> DataFrame:
-    """Month series of the listed periods that have a name and a sum."""
-    listed = first_periods(periods, keep).where(
+def series_of(periods: DataFrame, keep: str = "oldest", limit: int | None = None) -> DataFrame:
+    """Month series of the periods that have a name and a sum.
+
+    The whole series, unless the caller asks for ``limit`` periods.
+    """
+    listed = first_periods(periods, keep, limit).where(
         F.col("label").isNotNull() & F.col("total").isNotNull()
     )
     place = F.row_number().over(Window.orderBy("label")) - 1
@@ -247,10 +321,17 @@ def series_of(periods: DataFrame, keep: str = "oldest") -> DataFrame:
 
 
 def forecast_of(
-    periods: DataFrame, roles: Roles, keep: str = "oldest", boosted: bool = False
+    periods: DataFrame,
+    roles: Roles,
+    keep: str = "oldest",
+    boosted: bool = False,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Next period as display texts; no row with fewer than two points."""
-    series = series_of(periods, keep)
+    """Next period as display texts; no row with fewer than two points.
+
+    Made from the whole series, unless the caller asks for ``limit`` periods.
+    """
+    series = series_of(periods, keep, limit)
     if boosted:
         summary, _ = best_of_three(series, 1, calendar=False)
     else:
@@ -268,25 +349,32 @@ def forecast_of(
 # Sections of the frame itself -------------------------------------------------------------
 
 
-def dyn_trend(frame: DataFrame, roles: Roles, keep: str = "oldest", raw_text_period=False):
-    return trend_points(by_period(frame, roles, raw_text_period), keep)
+def dyn_trend(
+    frame: DataFrame,
+    roles: Roles,
+    keep: str = "oldest",
+    raw_text_period: bool = False,
+    limit: int | None = LIMITS.periods,
+) -> DataFrame:
+    return trend_points(by_period(frame, roles, raw_text_period), keep, limit)
 
 
 def dyn_top_category(frame: DataFrame, roles: Roles) -> DataFrame:
     return top_points(by_category(frame, roles))
 
 
-def dyn_distribution(frame: DataFrame, roles: Roles, place: int) -> DataFrame:
+def dyn_distribution(
+    frame: DataFrame, roles: Roles, place: int, limits: Limits = LIMITS
+) -> DataFrame:
     """Row counts of the second (place 1, ten groups) or third (place 2, eight) category."""
-    return count_points(
-        by_category(frame, roles, place), TOP_GROUPS if place == 1 else PIE_GROUPS
-    )
+    most = limits.top_groups if place == 1 else limits.pie_groups
+    return count_points(by_category(frame, roles, place), most)
 
 
-def scalar_measures(roles: Roles) -> list[Column]:
+def scalar_measures(roles: Roles, limits: Limits = LIMITS) -> list[Column]:
     """Everything the cards and insights need, for one aggregate."""
     measures = [F.count(F.lit(1)).alias("records")]
-    for i, name in enumerate(roles.numeric[:KPI_COLUMNS]):
+    for i, name in enumerate(roles.numeric[: limits.cards]):
         measures.append(exact_sum(name, roles.type_of(name)).alias(f"sum_{i}"))
     if roles.primary is not None:
         measures.append(F.avg(named(roles.primary)).alias("mean"))
@@ -294,10 +382,10 @@ def scalar_measures(roles: Roles) -> list[Column]:
     return measures
 
 
-def kpis_of(scalars: DataFrame, roles: Roles) -> DataFrame:
+def kpis_of(scalars: DataFrame, roles: Roles, limits: Limits = LIMITS) -> DataFrame:
     """Total cards; a column without any value has none, and no card means a row count."""
     rows = []
-    for i, name in enumerate(roles.numeric[:KPI_COLUMNS]):
+    for i, name in enumerate(roles.numeric[: limits.cards]):
         total = F.col(f"sum_{i}")
         rows.append(
             {
@@ -331,8 +419,8 @@ def _sum_text(total: Column, dtype: T.DataType) -> Column:
     return thousands(total, dtype)
 
 
-def dyn_kpis(frame: DataFrame, roles: Roles) -> DataFrame:
-    return kpis_of(frame.agg(*scalar_measures(roles)), roles)
+def dyn_kpis(frame: DataFrame, roles: Roles, limits: Limits = LIMITS) -> DataFrame:
+    return kpis_of(frame.agg(*scalar_measures(roles, limits)), roles, limits)
 
 
 def insights_of(groups: DataFrame | None, scalars: DataFrame, roles: Roles) -> DataFrame:
@@ -396,21 +484,26 @@ def top_items(frame: DataFrame, roles: Roles) -> DataFrame:
     return top_items_of(by_category(frame, roles), roles)
 
 
-def dyn_forecast(frame: DataFrame, roles: Roles, keep: str = "oldest", raw_text_period=False):
-    return forecast_of(by_period(frame, roles, raw_text_period), roles, keep)
+def dyn_forecast(
+    frame: DataFrame,
+    roles: Roles,
+    keep: str = "oldest",
+    raw_text_period: bool = False,
+    limit: int | None = None,
+) -> DataFrame:
+    return forecast_of(by_period(frame, roles, raw_text_period), roles, keep, limit=limit)
 
 
-def preview(frame: DataFrame, roles: Roles, rows: int = PREVIEW_ROWS) -> DataFrame:
-    """The rows with the largest primary number; any rows where there is no number.
+def preview(frame: DataFrame, roles: Roles, rows: int = LIMITS.preview_rows) -> DataFrame:
+    """The rows with the largest primary number, or the first rows where there is no number.
 
-    Equal rows are told apart by all other sortable columns, so the choice is the same on
-    every run.
+    Rows are ordered by all other sortable columns too, so the choice is the same on every
+    run.
     """
-    if roles.primary is None:
-        return frame.limit(rows)
     others = [
         named(f.name).asc()
         for f in frame.schema.fields
         if f.name != roles.primary and not isinstance(f.dataType, (T.MapType, T.VariantType))
     ]
-    return frame.orderBy(named(roles.primary).desc(), *others).limit(rows)
+    largest = [] if roles.primary is None else [named(roles.primary).desc()]
+    return frame.orderBy(*largest, *others).limit(rows) if largest or others else frame.limit(rows)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.functions import dates
@@ -140,6 +140,7 @@ _SECTION_KEYS = {
     PERIOD: ("period",),
     TOTAL: (),
 }
+_OTHER_KEYS = {k for s, keys in _SECTION_KEYS.items() if s != PRODUCT for k in keys}
 ORDER_SIDE = (REGION, SEGMENT, MONTH, PERIOD)
 # Columns of order lines, and of rows that already sum several lines.
 _MEASURED = ("Order ID", "Sales", "Profit", "Discount", "orders", "discount_sum", "discount_count")
@@ -150,10 +151,11 @@ def sales_cells(
 ) -> DataFrame:
     """Every requested breakdown in one pass over the sales rows.
 
-    One row per section and group. The section comes from ``grouping_id``, so a group
-    whose own key is null stays apart from the keys that the section does not use. The
-    rows fan out once per section, but are summed in the same task before the shuffle,
-    which carries at most one row per group and task.
+    One row per section and group. The section is a key of its own, so a group whose own
+    key is null stays apart from the keys that the section does not use. The rows fan out
+    once per section, but are summed in the same task before the shuffle, which carries at
+    most one row per group and task. A plain grouping, unlike grouping sets, is also found
+    again by each part of a union once it is persisted.
     """
     keys = [key for section in sections for key in _SECTION_KEYS[section]]
     used = {*_MEASURED, *keys} - {"period"}
@@ -173,33 +175,53 @@ def sales_cells(
         measured.append(_mean_discount().alias("avg_discount"))
     elif "Discount" in present:
         measured.append(F.avg("Discount").alias("avg_discount"))
-    top = 2 ** len(keys) - 1
-    number = {
-        section: top - sum(2 ** (len(keys) - 1 - keys.index(k)) for k in _SECTION_KEYS[section])
-        for section in sections
-    }
-    section = F.create_map(
-        *[F.lit(item) for name in sections for item in (number[name], name)]
-    )[F.col("set_number")]
-    return (
-        frame.groupingSets(
-            [[named(k) for k in _SECTION_KEYS[s]] for s in sections], *[named(k) for k in keys]
+    entries = [
+        F.struct(
+            F.lit(s).alias("section"),
+            *[
+                (named(k) if k in _SECTION_KEYS[s] else F.lit(None).cast(frame.schema[k].dataType)).alias(k)
+                for k in keys
+            ],
         )
-        .agg(F.grouping_id().cast("int").alias("set_number"), *measured)
-        .withColumn("section", section)
-        .drop("set_number")
+        for s in sections
+    ]
+    amounts = [named(c) for c in frame.columns if c in _MEASURED]
+    spread = frame.select(*amounts, F.inline(F.array(*entries)))
+    return spread.groupBy("section", *[named(k) for k in keys]).agg(*measured)
+
+
+def shown(cells: DataFrame, products: int = TOP_PRODUCTS) -> DataFrame:
+    """The cells without the products that no list shows.
+
+    Every other cell is alone in its partition of the window, and each task hands on the
+    best products only, so no section is gathered whole.
+    """
+    if "Product Name" not in cells.columns:
+        return cells
+    others = [named(c) for c in cells.columns if c in _OTHER_KEYS]
+    order = Window.partitionBy("section", *others).orderBy(
+        F.desc("total_sales"), F.asc(named("Product Name"))
     )
+    ranked = cells.withColumn("place", F.row_number().over(order))
+    return ranked.where(F.col("place") <= products).drop("place")
 
 
 def labelled(cells: DataFrame) -> DataFrame:
     """Cells of one-label sections as (section, label, month_num, total_sales)."""
-    label = (
-        F.when(F.col("section") == REGION, F.col("Region"))
-        .when(F.col("section") == CATEGORY, F.col("Category"))
-        .when(F.col("section") == SEGMENT, F.col("Segment"))
-        .when(F.col("section") == MONTH, F.col("Month"))
+    number = F.col("month_num") if "month_num" in cells.columns else F.lit(None).cast("int")
+    return cells.select(
+        "section", label_of(cells).alias("label"), number.alias("month_num"), "total_sales"
     )
-    return cells.select("section", label.alias("label"), "month_num", "total_sales")
+
+
+def label_of(cells: DataFrame) -> Column:
+    """The label of a cell's group in the sections that have one label."""
+    label = F.lit(None).cast("string")
+    for section in (MONTH, SEGMENT, CATEGORY, REGION):
+        key = _SECTION_KEYS[section][0]
+        if key in cells.columns:
+            label = F.when(F.col("section") == section, named(key)).otherwise(label)
+    return label
 
 
 def breakdowns_one_pass(sales: DataFrame) -> DataFrame:
@@ -217,6 +239,10 @@ def cells_by_side(
     """
     by_order = tuple(s for s in sections if s in ORDER_SIDE)
     by_part = tuple(s for s in sections if s not in ORDER_SIDE)
+    if not by_part:
+        return sales_cells(order_totals, by_order)
+    if not by_order:
+        return sales_cells(part_totals, by_part)
     return sales_cells(order_totals, by_order).unionByName(
         sales_cells(part_totals, by_part), allowMissingColumns=True
     )

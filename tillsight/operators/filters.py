@@ -35,6 +35,8 @@ def year_is(year: int | str, columns: list[str]) -> Column:
         tests.append((day >= first) & (day < after))
     if "Year" in columns:
         tests.append(named("Year") == year)
+    if not tests:
+        raise ValueError("a year filter needs the column 'Order Date' or 'Year'")
     return reduce(lambda a, b: a & b, tests)
 
 

@@ -34,15 +34,14 @@ def _measures(name: str) -> list[Column]:
     ]
 
 
-def shape(frame: DataFrame) -> DataFrame:
-    rows = F.count(F.lit(1))
-    width = len(frame.columns)
+def shape_of(counted: DataFrame, width: int) -> DataFrame:
+    """The shape from a row count made elsewhere, in ``rows``."""
     text = F.concat(whole(F.col("rows")), F.lit(f" rows × {width} columns"))
-    return (
-        frame.agg(rows.alias("rows"))
-        .withColumn("columns", F.lit(width))
-        .withColumn("shape", text)
-    )
+    return counted.select("rows", F.lit(width).alias("columns"), text.alias("shape"))
+
+
+def shape(frame: DataFrame) -> DataFrame:
+    return shape_of(frame.agg(F.count(F.lit(1)).alias("rows")), len(frame.columns))
 
 
 def null_counts(frame: DataFrame) -> DataFrame:
@@ -127,10 +126,30 @@ def describe_stats(frame: DataFrame, include_decimal: bool = False) -> DataFrame
 def describe_text(frame: DataFrame, include_decimal: bool = False) -> DataFrame:
     """The statistics as display texts."""
     empty = not _measured(frame, include_decimal)
+    return _texts(describe_stats(frame, include_decimal), empty)
+
+
+def _texts(statistics: DataFrame, empty: bool) -> DataFrame:
     shown = [
         (F.lit(NOT_AVAILABLE) if empty else thousands(F.col(s), T.DoubleType())).alias(s)
         for s in STATISTICS[1:]
     ]
-    return describe_stats(frame, include_decimal).select(
+    return statistics.select(
         "ordinal", "column", F.col("count").cast("string").alias("count"), *shown, "null_count"
     )
+
+
+def sections_of(columns: DataFrame, frame: DataFrame) -> dict[str, DataFrame]:
+    """Shape, schema and display texts from a :func:`dataset_summary` of the frame."""
+    measured = _measured(frame, False)
+    if measured:
+        statistics = columns.where(F.col("column").isin(measured))
+    else:
+        statistics = columns.withColumn("count", F.col("rows"))
+    counted = columns.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("rows"))
+    return {
+        "shape": shape_of(counted, len(frame.columns)),
+        "schema": columns.select("ordinal", F.col("column").alias("name"), "type", "null_count"),
+        "statistics": _texts(statistics, not measured),
+        "columns": columns,
+    }

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tillsight.operators.breakdowns import or_zero
 
@@ -46,16 +45,3 @@ def share_of_total(groups: DataFrame, label: str, value: str) -> DataFrame:
     return groups.select(
         F.col(label).alias("label"), amount.alias("value"), share.alias("share_pct")
     )
-
-
-def with_position(frame: DataFrame, *order: Column) -> DataFrame:
-    """Add ``pos`` = 1, 2, … in the given order, without gathering the rows in one task.
-
-    The sort is a range-partitioned one; each partition then numbers its own rows after
-    the counts of those before it.
-    """
-    schema = T.StructType([T.StructField("pos", T.LongType(), False), *frame.schema.fields])
-    numbered = frame.orderBy(*order).rdd.zipWithIndex()
-    return frame.sparkSession.createDataFrame(
-        numbered.map(lambda pair: (pair[1] + 1, *pair[0])), schema
-    )

@@ -72,6 +72,14 @@ def classify(frame: DataFrame, primary: str | None = None) -> Roles:
     return roles.with_primary(primary) if primary is not None else roles
 
 
+def listed_roles(frame: DataFrame) -> DataFrame:
+    """Role and type of every column, from the schema alone."""
+    return frame.sparkSession.createDataFrame(
+        [(i, f.name, f.dataType.simpleString(), role(f)) for i, f in enumerate(frame.schema.fields)],
+        "ordinal int, column string, type string, role string",
+    )
+
+
 def column_roles(frame: DataFrame) -> DataFrame:
     """Role, type and number of filled values of every column, in one aggregate."""
     filled = frame.agg(

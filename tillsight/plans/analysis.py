@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import cached_property
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.functions import dates
@@ -14,19 +13,24 @@ from tillsight.functions.columns import named
 from tillsight.operators import adaptive as ad
 from tillsight.operators import profile
 from tillsight.operators.filters import filter_columns
-from tillsight.operators.roles import Roles, classify, column_roles
+from tillsight.operators.roles import Roles, classify, listed_roles
 from tillsight.plans.dashboard import json_lines
+from tillsight.plans.holding import MEMORY, held
 from tillsight.sources.reuse import DatasetReuse
 
+# Names of the sections of the cells. The most frequent value of the first category has a
+# section of its own, because it is ranked otherwise than the chart of that category.
 PERIOD, FIRST, SECOND, THIRD = "period", "first", "second", "third"
+MODE, ALL = "mode", "all"
 
 
 class Analysis:
     """Sections of one analysis, each a DataFrame.
 
-    ``cells`` holds, from one pass over the filtered rows, the grouping sets of the period
-    and the leading categories and the totals of the whole table. It is persisted on first
-    use and released by :meth:`close`. The preview is the second pass. Filter choices are
+    ``cells`` holds, from one pass over the filtered rows, the periods, the leading
+    categories and the totals of the whole table, each section cut to what it shows. It is
+    held on first use: in memory, released by :meth:`close`, or otherwise as ``hold`` says
+    (see :mod:`tillsight.plans.holding`). The preview is the second pass. Filter choices are
     taken from the unfiltered table.
     """
 
@@ -38,13 +42,19 @@ class Analysis:
         keep: str = "oldest",
         raw_text_period: bool = False,
         boosted: bool = False,
+        limits: ad.Limits = ad.LIMITS,
+        hold: str = MEMORY,
     ):
+        """``keep`` is which periods the trend chart shows when there are more than its
+        limit; the forecast uses all of them."""
         self.base = frame
         self.rows = filter_columns(frame, filters)
         self.roles: Roles = classify(frame, primary)
         self._keep = keep
         self._raw = raw_text_period
         self._boosted = boosted
+        self._limits = limits
+        self._hold = hold
 
     def __enter__(self) -> "Analysis":
         return self
@@ -54,58 +64,91 @@ class Analysis:
 
     @cached_property
     def cells(self) -> DataFrame:
+        return held(self._cut(self._grouped()), self._hold)
+
+    def _grouped(self) -> DataFrame:
+        """One row per section and group. Numbers other than the primary one go with the
+        whole table only, under names of their own."""
         roles = self.roles
-        keys = {}
-        if roles.date and roles.primary:
+        labels = dict(zip((FIRST, SECOND, THIRD), map(named, roles.categorical)))
+        period, kind = F.lit(None).cast("string"), "string"
+        dated = bool(roles.date) and roles.primary is not None
+        if dated:
             day = roles.date[0]
-            keys[PERIOD] = dates.period_group(named(day), roles.type_of(day), self._raw)
-        for name, column in zip((FIRST, SECOND, THIRD), roles.categorical):
-            keys[name] = named(column)
-        names = list(keys)
-        measures = ad.scalar_measures(roles)
+            period = dates.period_group(named(day), roles.type_of(day), self._raw)
+            kind = self.rows.select(period.alias("p")).schema["p"].dataType
+        cards = list(roles.numeric[: self._limits.cards])
+
+        def entry(section: str) -> Column:
+            whole, none = section == ALL, F.lit(None)
+            parts = [
+                F.lit(section).alias("section"),
+                (labels[section] if section in labels else none.cast("string")).alias("label"),
+                (period if section == PERIOD else none.cast(kind)).alias("period"),
+            ]
+            for i, name in enumerate(cards):
+                value = named(name) if whole else none.cast(roles.type_of(name))
+                parts.append(value.alias(f"card_{i}"))
+            if roles.primary is not None:
+                dtype = roles.type_of(roles.primary)
+                parts.append(named(roles.primary).alias("amount"))
+                parts.append((named(roles.primary) if whole else none.cast(dtype)).alias("each"))
+            return F.struct(*parts)
+
+        sections = [*([PERIOD] if dated else []), *labels, ALL]
+        measures = [F.count(F.lit(1)).alias("records")]
+        for i, name in enumerate(cards):
+            measures.append(ad.exact_sum(f"card_{i}", roles.type_of(name)).alias(f"sum_{i}"))
         if roles.primary is not None:
-            total = ad.exact_sum(roles.primary, roles.type_of(roles.primary))
-            measures.append(total.alias("total"))
-        if not names:
-            cells = self.rows.agg(*measures).withColumn("section", F.lit("all"))
-            return cells.persist(StorageLevel.MEMORY_AND_DISK)
-        numbers = [named(c) for c in dict.fromkeys((*roles.numeric[: ad.KPI_COLUMNS], roles.primary)) if c]
-        wide = self.rows.select(*numbers, *[keys[k].alias(f"key_{k}") for k in names])
-        top = 2 ** len(names) - 1
-        section = F.create_map(
-            *[
-                F.lit(x)
-                for i, name in enumerate(names)
-                for x in (top - 2 ** (len(names) - 1 - i), name)
-            ],
-            *[F.lit(top), F.lit("all")],
-        )[F.col("set_number")]
-        cells = (
-            wide.groupingSets(
-                [*[[F.col(f"key_{k}")] for k in names], []], *[F.col(f"key_{k}") for k in names]
-            )
-            .agg(F.grouping_id().cast("int").alias("set_number"), *measures)
-            .withColumn("section", section)
+            total = ad.exact_sum("amount", roles.type_of(roles.primary))
+            measures += [total.alias("total"), F.avg("each").alias("mean"), F.max("each").alias("peak")]
+        spread = self.rows.select(F.inline(F.array(*map(entry, sections))))
+        return spread.groupBy("section", "label", "period").agg(*measures)
+
+    def _cut(self, groups: DataFrame) -> DataFrame:
+        """Leave what the sections show: of each category its largest groups.
+
+        Each period is alone in its partition of the window and stays. Tasks hand on the
+        largest groups only, so no section is gathered whole.
+        """
+        limits = self._limits
+        twice = F.when(F.col("section") == FIRST, F.array(F.lit(FIRST), F.lit(MODE))).otherwise(
+            F.array("section")
+        )
+        if self.roles.primary is None:
+            ranked_by = [F.desc("records")]
+        else:
+            first = F.col("section") == FIRST
+            ranked_by = [F.when(first, F.col("total")).desc(), F.when(~first, F.col("records")).desc()]
+        order = Window.partitionBy("section", "period").orderBy(*ranked_by, F.asc("label"))
+        most = max(limits.top_groups, limits.pie_groups, 1)
+        return (
+            groups.withColumn("section", F.explode(twice))
+            .withColumn("place", F.row_number().over(order))
+            .where(F.col("place") <= most)
+            .drop("place")
         )
-        return cells.persist(StorageLevel.MEMORY_AND_DISK)
 
     def close(self) -> None:
         if "cells" in self.__dict__:
             self.__dict__.pop("cells").unpersist()
 
+    def _labelled(self) -> DataFrame:
+        """The cells, a period as its text."""
+        if not self.roles.date:
+            return self.cells
+        text = dates.period_text(F.col("period"), self.roles.type_of(self.roles.date[0]))
+        label = F.when(F.col("section") == PERIOD, text).otherwise(F.col("label"))
+        return self.cells.withColumn("label", label)
+
     def _groups(self, section: str) -> DataFrame:
-        label = F.col(f"key_{section}")
-        if section == PERIOD:
-            label = dates.period_text(label, self.roles.type_of(self.roles.date[0]))
         measures = ["records"] + (["total"] if self.roles.primary is not None else [])
-        return self.cells.where(F.col("section") == section).select(
-            label.alias("label"), *measures
-        )
+        return self._labelled().where(F.col("section") == section).select("label", *measures)
 
     def _scalars(self) -> DataFrame:
-        """One row also for an empty table, where the grouping sets give none."""
-        found = self.cells.where(F.col("section") == "all")
-        names = [c for c in found.columns if not c.startswith("key_") and c not in ("section", "set_number")]
+        """One row also for an empty table, which has no cells."""
+        found = self.cells.where(F.col("section") == ALL)
+        names = [c for c in found.columns if c not in ("section", "label", "period")]
         return found.agg(
             *[
                 (F.coalesce(F.max(c), F.lit(0)) if c == "records" else F.max(c)).alias(c)
@@ -114,54 +157,46 @@ class Analysis:
         )
 
     def column_roles(self) -> DataFrame:
-        return column_roles(self.base)
+        return listed_roles(self.base)
 
     def filter_candidates(self) -> DataFrame:
-        return ad.filter_candidates(self.base, self.roles)
+        return ad.filter_candidates(self.base, self.roles, self._limits)
 
     def filter_values(self) -> DataFrame:
-        return ad.filter_values(self.base, self.roles)
+        return ad.filter_values(self.base, self.roles, self._limits)
 
     def shape(self) -> DataFrame:
-        return profile.shape(self.rows)
+        """Rows and columns; the rows were counted with the cells."""
+        return profile.shape_of(self._scalars().select(F.col("records").alias("rows")), len(self.rows.columns))
 
     def preview(self) -> DataFrame:
-        return ad.preview(self.rows, self.roles)
+        return ad.preview(self.rows, self.roles, self._limits.preview_rows)
 
     def kpis(self) -> DataFrame:
-        return ad.kpis_of(self._scalars(), self.roles)
+        return ad.kpis_of(self._scalars(), self.roles, self._limits)
 
     def charts(self) -> DataFrame | None:
         """All charts in long form; None where the roles allow none."""
-        points = {}
-        for section, _, _ in ad.chart_specs(self.roles):
-            if section == "trend":
-                points[section] = ad.trend_points(self._groups(PERIOD), self._keep)
-            elif section == "top":
-                points[section] = ad.top_points(self._groups(FIRST))
-            elif section == "second":
-                points[section] = ad.count_points(self._groups(SECOND), ad.TOP_GROUPS)
-            else:
-                points[section] = ad.count_points(self._groups(THIRD), ad.PIE_GROUPS)
-        return ad.charts_of(self.roles, points) if points else None
+        if not ad.chart_specs(self.roles):
+            return None
+        return ad.charts_from(self._labelled(), self.roles, self._keep, self._limits)
 
     def top_items(self) -> DataFrame | None:
         if not self.roles.categorical or self.roles.primary is None:
             return None
-        return ad.top_items_of(self._groups(FIRST), self.roles)
+        return ad.top_items_of(self._groups(FIRST), self.roles, self._limits.top_groups)
 
     def forecast(self) -> DataFrame | None:
         if not self.roles.date or self.roles.primary is None:
             return None
-        return ad.forecast_of(self._groups(PERIOD), self.roles, self._keep, self._boosted)
+        return ad.forecast_of(self._groups(PERIOD), self.roles, boosted=self._boosted)
 
     def insights(self) -> DataFrame | None:
-        groups = self._groups(FIRST) if self.roles.categorical else None
+        groups = self._groups(MODE) if self.roles.categorical else None
         if groups is None and self.roles.primary is None:
             return None
         return ad.insights_of(groups, self._scalars(), self.roles)
 
-
     def documents(self) -> DataFrame:
         """The sections as JSON lines: (section, json); absent sections have no lines."""
         sections = {

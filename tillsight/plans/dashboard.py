@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import cached_property, reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +21,7 @@ from tillsight.operators import breakdowns as bd
 from tillsight.operators import forecast as fc
 from tillsight.operators.boosted import best_of_three
 from tillsight.operators.filters import filter_sales
+from tillsight.plans.holding import MEMORY, held
 
 SECTIONS = (bd.REGION, bd.CATEGORY, bd.SEGMENT, bd.MONTH, bd.PRODUCT, bd.PERIOD, bd.TOTAL)
 
@@ -29,9 +29,10 @@ SECTIONS = (bd.REGION, bd.CATEGORY, bd.SEGMENT, bd.MONTH, bd.PRODUCT, bd.PERIOD,
 class Dashboard:
     """Sections of one dashboard request, each a DataFrame.
 
-    All but ``years`` derive from ``cells``, the grouping sets of the filtered rows. The
-    cells, and the model picked from them, are persisted by this object on first use and
-    released by :meth:`close`; the sales frame itself is never touched, so a dataset kept for reuse stays kept.
+    All but ``years`` derive from ``cells``, one grouping of the filtered rows cut to what
+    the sections show. The cells, and the model picked from them, are held on first use:
+    in memory, released by :meth:`close`, or as a table (see :mod:`tillsight.plans.holding`).
+    The sales frame itself is never touched, so a dataset kept for reuse stays kept.
     """
 
     def __init__(
@@ -44,11 +45,13 @@ class Dashboard:
         boosted: bool = False,
         sections: tuple[str, ...] = SECTIONS,
         cells: DataFrame | None = None,
+        hold: str = MEMORY,
+        products: int = bd.TOP_PRODUCTS,
     ):
         """``boosted`` adds boosted trees to the forecast's candidates, at the cost of
         training them with Spark ML on each request. ``sections`` narrows the cells to what
         will be asked for; then only the columns of those sections need to be present.
-        ``cells`` gives unfiltered cells that were made elsewhere, e.g. per side of a star
+        ``products`` is the length of the product list. ``cells`` gives unfiltered cells that were made elsewhere, e.g. per side of a star
         schema, in place of a sales frame."""
         if (sales is None) == (cells is None):
             raise ValueError("a dashboard is made either from sales or from cells")
@@ -59,6 +62,8 @@ class Dashboard:
             raise ValueError("filters need the sales rows")
         self._boosted = boosted
         self._sections = sections
+        self._hold = hold
+        self._products = products
 
     def __enter__(self) -> "Dashboard":
         return self
@@ -71,7 +76,7 @@ class Dashboard:
         made = self._given
         if made is None:
             made = bd.sales_cells(self._rows, self._sections)
-        return made.persist(StorageLevel.MEMORY_AND_DISK)
+        return held(bd.shown(made, self._products), self._hold)
 
     def close(self) -> None:
         for name in ("cells", "picked"):
@@ -83,6 +88,13 @@ class Dashboard:
             raise ValueError(f"this dashboard was made without the section {name!r}")
         return self.cells.where(F.col("section") == name)
 
+    def sections(self, *names: str) -> DataFrame:
+        """The cells of several sections, for one select over all of them."""
+        missing = set(names) - set(self._sections)
+        if missing:
+            raise ValueError(f"this dashboard was made without the sections {sorted(missing)}")
+        return self.cells.where(F.col("section").isin(*names))
+
     def years(self) -> DataFrame:
         """Years to choose from: those of all sales, whatever the filter."""
         if self._rows is self._sales and bd.PERIOD in self._sections:
@@ -116,7 +128,8 @@ class Dashboard:
 
     def top_products(self) -> DataFrame:
         return bd.best_products(
-            self._section(bd.PRODUCT).select("Product Name", "total_sales", "total_profit")
+            self._section(bd.PRODUCT).select("Product Name", "total_sales", "total_profit"),
+            self._products,
         )
 
     def series(self) -> DataFrame:
@@ -132,8 +145,8 @@ class Dashboard:
 
     @cached_property
     def picked(self) -> DataFrame:
-        """The chosen model, one row; persisted because several sections predict from it."""
-        return fc.pick_for(self.series()).persist(StorageLevel.MEMORY_AND_DISK)
+        """The chosen model, one row; held because several sections predict from it."""
+        return held(fc.pick_for(self.series()), self._hold)
 
     @cached_property
     def _three(self) -> tuple[DataFrame, DataFrame]:

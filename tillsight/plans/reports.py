@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tillsight.functions.columns import named, rows_from
 from tillsight.functions.numbers import compact_currency, compact_report, profit_class
-from tillsight.operators.ranking import with_position
+from tillsight.operators import breakdowns as bd
 from tillsight.plans.dashboard import Dashboard
 
 HISTORY_POINTS = 12
@@ -61,42 +61,34 @@ def report_summary(board: Dashboard) -> DataFrame:
 
 def report_trends(board: Dashboard) -> DataFrame:
     """Second sheet: months, categories and regions as (block, month_num, label, value)."""
-    none = F.lit(None).cast("int").alias("month_num")
-    months = board.months().select(
-        F.lit("month").alias("block"),
-        "month_num",
-        F.col("Month").alias("label"),
-        F.col("monthly_sales").alias("value"),
+    cells = board.sections(bd.MONTH, bd.CATEGORY, bd.REGION)
+    return bd.labelled(cells).select(
+        F.col("section").alias("block"), "month_num", "label", F.col("total_sales").alias("value")
     )
-    blocks = [
-        groups.select(
-            F.lit(name).alias("block"),
-            none,
-            named(label).alias("label"),
-            F.col("total_sales").alias("value"),
-        )
-        for name, label, groups in (
-            ("category", "Category", board.categories()),
-            ("region", "Region", board.regions()),
-        )
-    ]
-    return months.unionByName(blocks[0]).unionByName(blocks[1])
 
 
 def report_breakdown(board: Dashboard) -> DataFrame:
-    """Regions and segments side by side, largest first; the shorter side ends in blanks."""
-
-    def side(groups: DataFrame, column: str, label: str, value: str) -> DataFrame:
-        listed = groups.select(
-            named(column).alias(label),
-            F.col("total_sales").alias("amount"),
-            compact_currency(F.col("total_sales")).alias(value),
-        )
-        return with_position(listed, F.desc("amount"), F.asc_nulls_last(label)).drop("amount")
-
-    regions = side(board.regions(), "Region", "region", "region_sales")
-    segments = side(board.segments(), "Segment", "segment", "segment_sales")
-    return regions.join(segments, "pos", "full")
+    """Regions and segments side by side, largest first; the shorter side ends in blanks.
+
+    One select over the cells: the groups of each side are numbered, and a position holds
+    one group of either side. A side has one row for each region or segment.
+    """
+    listed = bd.labelled(board.sections(bd.REGION, bd.SEGMENT))
+    order = Window.partitionBy("section").orderBy(F.desc("total_sales"), F.asc_nulls_last("label"))
+    numbered = listed.select(
+        "section", "label", "total_sales", F.row_number().over(order).cast("long").alias("pos")
+    )
+
+    def side(section: str, value):
+        return F.max(F.when(F.col("section") == section, value))
+
+    amount = compact_currency(F.col("total_sales"))
+    return numbered.groupBy("pos").agg(
+        side(bd.REGION, F.col("label")).alias("region"),
+        side(bd.REGION, amount).alias("region_sales"),
+        side(bd.SEGMENT, F.col("label")).alias("segment"),
+        side(bd.SEGMENT, amount).alias("segment_sales"),
+    )
 
 
 def report_products(board: Dashboard) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tillsight.operators import profile
+from tillsight.plans.holding import MEMORY, held
 
 
-def summary(frame: DataFrame) -> dict[str, DataFrame]:
-    """Shape, schema with null counts and display statistics of a dataset."""
-    return {
-        "shape": profile.shape(frame),
-        "schema": profile.schema_listing(frame),
-        "statistics": profile.describe_text(frame),
-        "columns": profile.dataset_summary(frame),
-    }
+def summary(frame: DataFrame, hold: str = MEMORY) -> dict[str, DataFrame]:
+    """Shape, schema with null counts and display statistics of a dataset, from one pass.
+
+    The pass gives one row per column, which is held as ``hold`` says and is the entry
+    "columns"; unpersist that one to release it.
+    """
+    return profile.sections_of(held(profile.dataset_summary(frame), hold), frame)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import threading
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillsight.functions.columns import named
+
 Reader = Callable[[SparkSession, str], DataFrame]
 
 
@@ -52,19 +54,33 @@ class DatasetReuse:
         )
         return tuple(state) if state["files"] else None
 
-    def load(self, path: str, use_cache: bool = True) -> DataFrame:
+    def load(
+        self, path: str, use_cache: bool = True, columns: Sequence[str] | None = None
+    ) -> DataFrame:
+        """The dataset, kept from now on; only ``columns`` of it, if they are given.
+
+        A dataset kept with other columns gives way to one with those asked for.
+        ``use_cache=False`` lets go of what is kept, and keeps nothing.
+        """
         with self._locks[path]:
-            state = self.fingerprint(path)
+            if not use_cache:
+                self.clear(path)
+                return self._read(path, columns)
+            state = (self.fingerprint(path), tuple(columns) if columns is not None else None)
             kept = self._kept.get(path)
-            if use_cache and kept is not None and kept[0] == state:
+            if kept is not None and kept[0] == state:
                 return kept[1]
             if kept is not None:
                 kept[1].unpersist()
-            frame = self._reader(self._spark, path).persist(self._level)
+            frame = self._read(path, columns).persist(self._level)
             self._kept[path] = (state, frame)
             return frame
 
-    def preload(self, path: str) -> bool:
+    def _read(self, path: str, columns: Sequence[str] | None) -> DataFrame:
+        frame = self._reader(self._spark, path)
+        return frame if columns is None else frame.select(*map(named, columns))
+
+    def preload(self, path: str, columns: Sequence[str] | None = None) -> bool:
         """Read and materialise now; False where there is nothing to read."""
         try:
             if self.fingerprint(path) is None:
@@ -73,7 +89,7 @@ class DatasetReuse:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return False
             raise
-        self.load(path).count()
+        self.load(path, columns=columns).count()
         return True
 
     def clear(self, path: str | None = None) -> None:

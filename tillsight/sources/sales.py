@@ -31,11 +31,11 @@ def type_sales(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_sales(spark: SparkSession, path: str, schema=None, infer: bool = True) -> DataFrame:
+def read_sales(spark: SparkSession, path: str, schema=None, infer: bool = False) -> DataFrame:
     """CSV sales file, typed.
 
-    ``infer=False`` reads every column as text and skips the inference pass; the contract
-    columns are typed either way.
+    Every column is read as text and the contract columns are typed, in one pass.
+    ``infer=True`` infers the types of all other columns too, which reads the data once more.
     """
     if schema is None and not infer:
         return type_sales(scan_text_columns(spark, path))

@@ -19,6 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="tillsight-")
+        delete_at_exit(spark, base)
     return f"{base.rstrip('/')}/tillsight-{uuid.uuid4().hex}"
 
 
