@@ -49,7 +49,7 @@ def test_equals_all_pairs(corpus, width):  # noqa: F811
 
 
 def test_a_large_group_of_near_copies_with_outsiders(spark, monkeypatch):
-    """Copies far from the pivot and from each other are met by later pivots."""
+    """Copies far from the pivot and from each other meet in tiles."""
     pick = random.Random(7)
     base = prose(1, 80).split()
     data = []
@@ -58,7 +58,7 @@ def test_a_large_group_of_near_copies_with_outsiders(spark, monkeypatch):
         for _ in range(pick.choice((1, 2, 4, 6, 8))):
             words[pick.randrange(80)] = f"n{pick.randrange(50)}"
         data.append((i, " ".join(words)))
-    monkeypatch.setattr(nd, "PIVOTS", (2, 4, 8))
+    monkeypatch.setattr(nd, "TILE", 16)
     frame = spark.createDataFrame(data, "doc_id long, text string")
     assert found(frame) == brute(data)
 

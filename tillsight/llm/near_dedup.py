@@ -1,13 +1,13 @@
 """Near-duplicates by MinHash with sequential Bayesian verification.
 
 Texts with equal shingle sets form a class. Signatures of the classes are banded; classes
-that share a band are candidates. Of each group of candidates, a pivot is compared with the
-others; members that stay apart become pivots in later rounds until no two candidates of
-different components are left unchecked. So every candidate pair is compared, or lies within
-one component already, and a group of near copies costs about as many comparisons as it has
-members. A comparison reads the signatures batch by batch and stops when the posterior
-probability of a link falls under the chosen miss probability; survivors are checked on
-their full sets.
+that share a band are candidates. Of each group of candidates, the class with most of them is
+a pivot and is compared with the others; what it links is one component. Candidates that are
+still in different components meet in tiles of bounded size, and only they. So every candidate
+pair is compared, or lies within one component already, and a group of near copies mostly
+costs as many comparisons as it has members. A comparison reads the signatures batch by batch
+and stops when the posterior probability of a link falls under the chosen miss probability;
+survivors are checked on their full sets.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm.common import stored
@@ -31,8 +31,8 @@ THRESHOLD = 80
 MISS = 1e-6
 #: Shingles hashed at once; bounds the memory for long documents.
 BLOCK = 4096
-#: Pivots of a candidate group in each round; the last number holds for all further rounds.
-PIVOTS = (1, 4, 16, 64, 256, 1024, 4096)
+#: Classes of a group of candidates that meet as many others in one task.
+TILE = 1024
 
 _RNG = np.random.default_rng(20)
 _LETTER = _RNG.integers(0, 2**64, 256, dtype=np.uint64)
@@ -221,42 +221,105 @@ def linked_classes(
     pairs = stars.where(_sized(threshold)).select("a", "b").distinct()
     labels = stored(components(_links(pairs, signatures, sets, threshold, miss)), "labels")
     # Pivots have met all others of their group and need not come again.
-    active = members.where(F.col("id") != F.col("pivot.id")).select("key", "id", "n", "degree")
-    for step in range(10**6):
-        most = PIVOTS[min(step, len(PIVOTS) - 1)]
-        named = active.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
-            "label", F.coalesce("label", "id")
-        )
-        groups = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("rows"))
-        split = (
-            groups.groupBy("key")
-            .agg(F.max(F.struct("rows", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"))
-            .where("labels > 1")
-            .select("key", "main")
-        )
-        open_ = stored(
-            named.join(split, "key").select("key", "id", "n", "degree", "label", "main"), "open"
-        )
-        if open_.isEmpty():
-            return labels.withColumnRenamed("node", "id")
-        outside = open_.where("label <> main")
-        ranked = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "id"))
-        pivots = outside.withColumn("rank", ranked).where(F.col("rank") <= most)
-        pivots = stored(pivots.select("key", "id", "n", "label"), "pivots")
-        one = pivots.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-        two = open_.select("key", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-        pairs = (
-            one.join(two, "key")
-            .where((F.col("label_a") != F.col("label_b")) & _sized(threshold))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct()
-        )
-        found = _links(pairs, signatures, sets, threshold, miss)
-        edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(found)
-        labels = stored(components(edges), "labels")
-        active = open_.join(pivots.select("key", "id"), ["key", "id"], "left_anti").select(
-            "key", "id", "n", "degree"
-        )
+    active = members.where(F.col("id") != F.col("pivot.id")).select("key", "id", "n")
+    named = active.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn(
+        "label", F.coalesce("label", "id")
+    )
+    split = named.groupBy("key").agg(F.min("id").alias("head"), F.min("label").alias("low"), F.max("label").alias("high"))
+    open_ = stored(named.join(split.where("low < high"), "key").select("id", "n", "label", "head"), "open")
+    unchecked = stored(components(open_.select(F.col("id").alias("a"), F.col("head").alias("b"))), "unchecked")
+    rows = (
+        open_.select("id", "n", "label").distinct()
+        .join(unchecked.select(F.col("node").alias("id"), F.col("label").alias("group")), "id")
+        .join(signatures, "id")
+        .join(sets, "id")
+    )
+    edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    found = stored(_met(stored(rows, "rows"), threshold, miss), "found")
+    return components(edges.unionByName(found)).withColumnRenamed("node", "id")
+
+
+def _met(rows: DataFrame, threshold: int, miss: float) -> DataFrame:
+    """Links ``a, b`` that join components within a group of candidates.
+
+    The largest component of a group is its main one. All others meet each other and the main
+    one, in tiles of bounded size, so a group of any size is spread over tasks; the main one is
+    not compared with itself. A tile gives no more links than join its components.
+    """
+    sizes = rows.groupBy("group", "label").agg(F.count(F.lit(1)).alias("rows"))
+    top = F.max(F.struct("rows", "label"))
+    tiles = sizes.groupBy("group").agg(
+        top["label"].alias("main"),
+        F.ceil((F.sum("rows") - top["rows"]) / TILE).cast("int").alias("others"),
+        F.ceil(top["rows"] / TILE).cast("int").alias("mains"),
+    )
+    outside = F.col("label") != F.col("main")
+    dealt = rows.join(tiles, "group").withColumn(
+        "tile",
+        F.pmod(F.xxhash64("id"), F.when(outside, F.col("others")).otherwise(F.col("mains"))).cast("int")
+        + F.when(outside, 0).otherwise(F.col("others")),
+    )
+    # Under aliases, the two sides of the same rows are columns of their own.
+    columns = [F.col(c).alias(c) for c in ("group", "id", "n", "label", "signature", "set")]
+    last = F.col("others") - 1
+    left = dealt.where(outside).select(
+        *columns, F.col("tile").alias("one"),
+        F.explode(F.sequence("tile", last + F.col("mains"))).alias("two"),
+    )
+    right = dealt.select(
+        *columns, F.explode(F.sequence(F.lit(0), F.least("tile", last))).alias("one"), F.col("tile").alias("two")
+    )
+    needed = least_matches(threshold / 100, miss)
+
+    def meet(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        pairs = _joining(one, two, key[1] == key[2], needed, threshold) if len(one) and len(two) else []
+        return pd.DataFrame(pairs, columns=["a", "b"]).astype("int64")
+
+    by = ["group", "one", "two"]
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(meet, "a long, b long")
+
+
+def _joining(one: pd.DataFrame, two: pd.DataFrame, same: bool, needed: list[int], threshold: int) -> list:
+    """Similar pairs of two tiles that join components, by sequential test and full sets."""
+    sketch = [np.frombuffer(b"".join(t["signature"]), np.uint32).reshape(-1, HASHES) for t in (one, two)]
+    ids, sizes, labels = (two[c].to_numpy() for c in ("id", "n", "label"))
+    shingles = np.concatenate([np.asarray(s) for s in two["set"]])
+    owner = np.repeat(np.arange(len(two)), [len(s) for s in two["set"]])
+    order = np.argsort(shingles, kind="stable")
+    owner = owner[order]
+    known, first = np.unique(shingles[order], return_index=True)
+    end = np.append(first[1:], len(shingles))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    pairs = []
+    for id_, size, label, signed, own in zip(one["id"], one["n"], one["label"], sketch[0], one["set"]):
+        alive = (labels != label) & (np.minimum(sizes, size) * 100 >= np.maximum(sizes, size) * threshold)
+        if same:
+            alive &= ids > id_
+        alive = np.flatnonzero(alive)
+        matches = np.zeros(len(alive), np.int64)
+        for k, least in enumerate(needed):
+            part = slice(k * BATCH, (k + 1) * BATCH)
+            matches = matches + (sketch[1][alive, part] == signed[part]).sum(axis=1)
+            alive, matches = alive[matches >= least], matches[matches >= least]
+        if not len(alive):
+            continue
+        own = np.asarray(own)
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        at = at[known[at] == own]
+        holders = [owner[first[i] : end[i]] for i in at]
+        shared = np.bincount(np.concatenate(holders) if holders else [], minlength=len(two))[alive]
+        for other in alive[shared * 100 >= (size + sizes[alive] - shared) * threshold]:
+            a, b = find(int(label)), find(int(labels[other]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                pairs.append((int(id_), int(ids[other])))
+    return pairs
 
 
 def near_duplicates(
