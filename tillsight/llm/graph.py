@@ -35,7 +35,6 @@ def components(links: DataFrame) -> DataFrame:
             both.join(low, "a")
             .where("b > a")
             .select(F.col("b").alias("a"), F.least("low", "a").alias("b"))
-            .distinct()
         )
         # Every row of large has a > b.
         least = large.groupBy("a").agg(F.min("b").alias("low"))
