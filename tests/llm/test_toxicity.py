@@ -49,7 +49,7 @@ def test_copies_prove_no_words(spark):
 
 def test_features():
     words = {"idiot": 3.0, "moron": 2.0}
-    names = dict(zip(toxicity.FEATURES, toxicity.features("You IDIOT! 1d10t m.o.r.o.n idiot", words)))
+    names = dict(zip(toxicity.FEATURES, toxicity.features("You IDIOT! id10t m.o.r.o.n idiot", words)))
     assert names["list_distinct"] == 1 and names["masked_hits"] == 2 and names["weight_best"] == 3.0
     assert names["shout_rate"] > 0 and names["you_rate"] > 0 and names["exclaim_rate"] > 0
     assert toxicity.features(None, words) == toxicity.features("", words)

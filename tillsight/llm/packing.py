@@ -57,7 +57,10 @@ class WordIds:
         self.part = Tokenizer.from_file(path)
         self.part.normalizer = normalizers.Sequence([])
         self.part.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()))
+        # Texts with these are encoded whole: special tokens, and characters that Python takes
+        # for white space and the tokenizer does not.
+        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join([*added, r"[\x1c-\x1f]"]))
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 

@@ -260,8 +260,9 @@ def main_text(page: str | None, template: frozenset[int]) -> str:
         kept = [run for run in runs if run.main]
     else:
         free = [r for r in runs if number("text", r.path, squeezed(r.text)) not in template]
-        slots = [slot_of(run.path, template) for run in free]
-        links: dict[str, int] = {}
+        # Elements of one path are told apart by their blocks.
+        slots = [(slot_of(run.path, template), run.block) for run in free]
+        links: dict[tuple[str, int], int] = {}
         for run, slot in zip(free, slots):
             links[slot] = links.get(slot, 0) + (len(run.text) if run.link else -len(run.text))
         kept = [run for run, slot in zip(free, slots) if links[slot] <= 0]
