@@ -78,3 +78,28 @@ def test_edges(spark):
     assert found == {(1, 0), (2, 0), (3, 1), (None, 1), (4, 20_000 * 11 - 1)}
     assert pages.extract(frame).count() == 6
     assert pages.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_copies_are_one_page_of_a_host(spark):
+    def story(i):
+        return page(i, f"<div><p>Opening {i}.</p><p>Middle {i}.</p><p>End {i}.</p></div>")
+
+    copies = [(i, "http://h.example.org/x", story(50)) for i in range(6)]
+    others = [(10 + i, "http://h.example.org/x", story(10 + i)) for i in range(8)]
+    few = [(30 + i, "http://few.example.org/x", story(60 + min(i, 1))) for i in range(3)]
+    frame = spark.createDataFrame(copies + others + few, SCHEMA).repartition(4)
+    found = {r.page_id: r.text for r in pages.extract(frame).collect()}
+    assert found == {i: f"Opening {n}.\nMiddle {n}.\nEnd {n}." for i, n in [
+        *((i, 50) for i in range(6)), *((i, i) for i in range(10, 18)), (30, 60), (31, 61), (32, 61)
+    ]}
+
+
+def test_names_around_the_article_take_nothing_away():
+    nothing = frozenset()
+    body = "<article><h2 id='related-work'>R</h2><p id='notice'>N</p><div class='notice'>x</div></article>"
+    assert pages.main_text(f"<div class='layout with-sidebar'>{body}</div>", nothing) == "R\nN"
+    assert pages.main_text(f"<form id='page'>{body}</form>", nothing) == "R\nN"
+    more = "<div class='related'><article>Other story</article></div>"
+    assert pages.main_text(f"<main><h1>T</h1>{body}{more}</main>", nothing) == "T\nR\nN"
+    wrapped = f"<main><h1>T</h1><div class='with-sidebar'>{body}</div></main>"
+    assert pages.main_text(wrapped, nothing) == "T\nR\nN"

@@ -30,6 +30,8 @@ from tillsight.llm.common import stored
 
 #: A valid class occurs on this share of a host's pages, and has so many tokens.
 SUPPORT, CLASS_SIZE = 0.3, 3
+#: It occurs on so many different pages, or on all: two pages may be near copies.
+LEAST = 3
 
 # Names of elements and of their classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,7 +41,9 @@ BLOCKS = frozenset(
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main "
     "menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-ASIDE_TAGS = frozenset("nav footer aside form menu dialog button head".split())
+ASIDE_TAGS = frozenset("nav footer aside menu dialog button head".split())
+#: Elements that hold other blocks; inside an article, only these are told apart by name.
+BOXES = frozenset("center details div dl fieldset figure form ol section table ul".split())
 ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement adsbygoogle sponsor sponsored promo promotion banner "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
@@ -62,10 +66,10 @@ PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def _aside(tag: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element holds what is not main text."""
-    if tag in ASIDE_TAGS or tag == "header" and not in_main:
+    """Whether the name or role of an element says that it holds what is not main text."""
+    if tag == "form":
         return True
-    if "=" not in attributes or tag in ("html", "body", "article", "main"):
+    if "=" not in attributes or tag in ("html", "body", "article", "main") or in_main and tag not in BOXES:
         return False
     for name, *values in NAMED.findall(attributes):
         value = next(filter(None, values), "")
@@ -81,14 +85,20 @@ def _aside(tag: str, attributes: str, in_main: bool) -> bool:
 
 @dataclass
 class Run:
-    """A run of text: its path, block number, and the elements around it."""
+    """A run of text: its path, block number, and the elements around it.
+
+    ``main`` is the innermost main element, ``outside`` and ``inside`` count the elements around
+    and within it that are not main text by their names.
+    """
 
     path: str
     block: int
     text: str
-    main: bool
+    main: str
     aside: bool
     link: bool
+    outside: int
+    inside: int
 
 
 def parse(page: str | None) -> tuple[list[str], list[Run]]:
@@ -100,13 +110,12 @@ def parse(page: str | None) -> tuple[list[str], list[Run]]:
     page = page or ""
     paths: list[str] = []
     runs: list[Run] = []
-    stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
+    stack: list[tuple[str, str, str, bool, bool, int, int]] = [("", "", "", False, False, 0, 0)]
     block = at = 0
 
     def text(piece: str) -> None:
         if piece and not piece.isspace():
-            _, path, main, aside, link = stack[-1]
-            runs.append(Run(path, block, html.unescape(piece), main, aside, link))
+            runs.append(Run(stack[-1][1], block, html.unescape(piece), *stack[-1][2:]))
         elif piece and runs and runs[-1].block == block:
             runs[-1].text += " "
 
@@ -161,13 +170,17 @@ def parse(page: str | None) -> tuple[list[str], list[Run]]:
                     break
                 if stack[depth][0] in ("ul", "ol", "dl", "table", "select"):
                     break
-        _, path, main, aside, link = stack[-1]
+        _, path, main, aside, link, outside, inside = stack[-1]
         path = f"{path}/{tag}"
         paths.append(path)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
-        aside = aside or _aside(tag, attributes, main)
-        stack.append((tag, path, main or tag in MAIN_TAGS and not aside, aside, link or tag == "a"))
+        aside = aside or tag in ASIDE_TAGS or tag == "header" and not main
+        inside += _aside(tag, attributes, bool(main))
+        if tag in MAIN_TAGS and not aside:
+            main = "article" if main == "article" else tag
+            outside, inside = outside + inside, 0
+        stack.append((tag, path, main, aside, link or tag == "a", outside, inside))
 
 
 def number(kind: str, path: str, text: str = "") -> int:
@@ -214,12 +227,19 @@ def templates(pages: DataFrame, support: float = SUPPORT, size: int = CLASS_SIZE
                 }
             )
 
-    hosted = pages.select(host_of(F.col("url")).alias("host"), "html")
-    total = hosted.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    # Pages are told apart by their content; equal pages are one column of the vectors twice.
-    seen = hosted.select("host", F.xxhash64("html").alias("page"), "html").mapInPandas(
-        tokens, "host string, page long, token long, times long"
+    columns = "host string, page long, token long, times long"
+    hosted = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"), "html")
+    # Pages are told apart by their content: equal pages are one column of the vectors.
+    contents = stored(hosted.groupBy("host", "page").agg(F.count(F.lit(1)).alias("copies")), "contents")
+    total = contents.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    copied = stored(
+        contents.where("copies > 1").select(F.col("host").alias("of"), F.col("page").alias("copy")), "copied"
     )
+    same = (F.col("host") == F.col("of")) & (F.col("page") == F.col("copy"))
+    seen = (
+        hosted.join(copied, same, "left_anti").mapInPandas(tokens, columns)
+        .unionByName(hosted.join(copied, same, "left_semi").mapInPandas(tokens, columns).distinct())
+    )
     vectors = seen.groupBy("host", "token").agg(
         F.count(F.lit(1)).alias("support"),
         F.bit_xor(F.xxhash64("page", "times")).alias("odd"),
@@ -227,7 +247,10 @@ def templates(pages: DataFrame, support: float = SUPPORT, size: int = CLASS_SIZE
     )
     frequent = stored(
         vectors.join(total, "host")
-        .where((F.col("support") >= 2) & (F.col("support") >= support * F.col("pages")))
+        .where(
+            (F.col("support") >= F.greatest(F.lit(2), F.least(F.lit(LEAST), F.col("pages"))))
+            & (F.col("support") >= support * F.col("pages"))
+        )
         .select("host", "token", "support", "odd", "all"),
         "vectors",
     )
@@ -248,6 +271,19 @@ def slot_of(path: str, template: frozenset[int]) -> str:
     return path
 
 
+def _main_runs(runs: list[Run]) -> list[Run]:
+    """The runs of the main elements, without the elements in them that are aside by name.
+
+    A name counts against an article only if another article is free of it, so an element around
+    the article takes nothing away, and a list of further articles is left out.
+    """
+    articles = [run for run in runs if run.main == "article"]
+    least = min((run.outside for run in articles), default=0)
+    kept = [run for run in runs if run.main == "main" or run.main and run.outside == least]
+    inside = min((run.inside for run in kept), default=0)
+    return [run for run in kept if run.inside == inside]
+
+
 def main_text(page: str | None, template: frozenset[int]) -> str:
     """The slots of a page that are main text, a line for each block.
 
@@ -257,8 +293,10 @@ def main_text(page: str | None, template: frozenset[int]) -> str:
     _, runs = parse(page)
     runs = [run for run in runs if not run.aside]
     if any(run.main for run in runs):
-        kept = [run for run in runs if run.main]
+        kept = _main_runs(runs)
     else:
+        inside = min((run.inside for run in runs), default=0)
+        runs = [run for run in runs if run.inside == inside]
         free = [r for r in runs if number("text", r.path, squeezed(r.text)) not in template]
         # Elements of one path are told apart by their blocks.
         slots = [(slot_of(run.path, template), run.block) for run in free]
