@@ -103,3 +103,19 @@ def test_names_around_the_article_take_nothing_away():
     assert pages.main_text(f"<main><h1>T</h1>{body}{more}</main>", nothing) == "T\nR\nN"
     wrapped = f"<main><h1>T</h1><div class='with-sidebar'>{body}</div></main>"
     assert pages.main_text(wrapped, nothing) == "T\nR\nN"
+
+
+def test_fixed_boxes_inside_the_article_are_template(spark):
+    fixed = "<div class='zz9'><h4>Great offers</h4><p>Only today</p><p><a href='#'>Order</a></p></div>"
+
+    def story(i):
+        varied = f"<div class='zz8'><h4>Facts</h4><p>Fact {i}</p></div>"
+        return page(i, f"<article><p>Story {i}</p><p>Same words</p>{varied}{fixed}</article>")
+
+    data = [(i, "http://h.example.org/x", story(i)) for i in range(8)]
+    frame = spark.createDataFrame(data, SCHEMA)
+    found = {r.page_id: r.text for r in pages.extract(frame).collect()}
+    assert found == {i: f"Story {i}\nSame words\nFacts\nFact {i}" for i in range(8)}
+    assert "Great offers" in pages.main_text(story(1), frozenset())
+    template = frozenset(pages.templates(frame).first().template)
+    assert pages.main_text(f"<html><body><article>{fixed}</article>", template) == "Great offers\nOnly today\nOrder"

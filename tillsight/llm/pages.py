@@ -5,9 +5,9 @@ that leads to it. Over the pages of a host, a token has an occurrence vector: ho
 stands on each page. Tokens with equal vectors form a class; classes that are large and occur
 on many pages are valid. Valid classes nest by the paths of their tokens, and together they
 are the template of the host. What is left of a page lies in slots: each run of text belongs to
-the innermost template element around it. Slots of the article are its main text; in pages
-without an article element, slots outside of menus, adverts and the like that are not mostly
-links.
+the innermost template element around it. Slots of the article are its main text, without
+boxes in it that hold nothing but text of the template; in pages without an article element,
+slots outside of menus, adverts and the like that are not mostly links.
 
 An occurrence vector is kept as an order-free checksum over pages, so a host may have any
 number of pages, and what reaches the shuffle is one row for each token, host and task.
@@ -43,7 +43,7 @@ BLOCKS = frozenset(
 )
 ASIDE_TAGS = frozenset("nav footer aside menu dialog button head".split())
 #: Elements that hold other blocks; inside an article, only these are told apart by name.
-BOXES = frozenset("center details div dl fieldset figure form ol section table ul".split())
+BOXES = frozenset("blockquote center details div dl fieldset figure form ol section table ul".split())
 ASIDE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement adsbygoogle sponsor sponsored promo promotion banner "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
@@ -88,7 +88,7 @@ class Run:
     """A run of text: its path, block number, and the elements around it.
 
     ``main`` is the innermost main element, ``outside`` and ``inside`` count the elements around
-    and within it that are not main text by their names.
+    and within it that are not main text by their names; ``boxes`` numbers the boxes within it.
     """
 
     path: str
@@ -99,6 +99,7 @@ class Run:
     link: bool
     outside: int
     inside: int
+    boxes: tuple[int, ...]
 
 
 def parse(page: str | None) -> tuple[list[str], list[Run]]:
@@ -110,7 +111,9 @@ def parse(page: str | None) -> tuple[list[str], list[Run]]:
     page = page or ""
     paths: list[str] = []
     runs: list[Run] = []
-    stack: list[tuple[str, str, str, bool, bool, int, int]] = [("", "", "", False, False, 0, 0)]
+    stack: list[tuple[str, str, str, bool, bool, int, int, tuple[int, ...]]] = [
+        ("", "", "", False, False, 0, 0, ())
+    ]
     block = at = 0
 
     def text(piece: str) -> None:
@@ -170,7 +173,7 @@ def parse(page: str | None) -> tuple[list[str], list[Run]]:
                     break
                 if stack[depth][0] in ("ul", "ol", "dl", "table", "select"):
                     break
-        _, path, main, aside, link, outside, inside = stack[-1]
+        _, path, main, aside, link, outside, inside, boxes = stack[-1]
         path = f"{path}/{tag}"
         paths.append(path)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
@@ -179,8 +182,10 @@ def parse(page: str | None) -> tuple[list[str], list[Run]]:
         inside += _aside(tag, attributes, bool(main))
         if tag in MAIN_TAGS and not aside:
             main = "article" if main == "article" else tag
-            outside, inside = outside + inside, 0
-        stack.append((tag, path, main, aside, link or tag == "a", outside, inside))
+            outside, inside, boxes = outside + inside, 0, ()
+        elif main and tag in BOXES:
+            boxes = (*boxes, len(paths))
+        stack.append((tag, path, main, aside, link or tag == "a", outside, inside, boxes))
 
 
 def number(kind: str, path: str, text: str = "") -> int:
@@ -287,13 +292,21 @@ def _main_runs(runs: list[Run]) -> list[Run]:
 def main_text(page: str | None, template: frozenset[int]) -> str:
     """The slots of a page that are main text, a line for each block.
 
-    Text of the template is dropped outside of the article; inside, all text is kept, also
-    where several pages share it.
+    Text of the template is dropped outside of the article. Inside, a box goes if all its text
+    is of the template, as with fixed adverts and notices; text of the template that stands
+    beside what varies is kept, and so is an article that would lose all its text.
     """
     _, runs = parse(page)
     runs = [run for run in runs if not run.aside]
     if any(run.main for run in runs):
         kept = _main_runs(runs)
+        varied = {
+            box
+            for r in kept
+            if r.boxes and number("text", r.path, squeezed(r.text)) not in template
+            for box in r.boxes
+        }
+        kept = [r for r in kept if varied.issuperset(r.boxes)] or kept
     else:
         inside = min((run.inside for run in runs), default=0)
         runs = [run for run in runs if run.inside == inside]
