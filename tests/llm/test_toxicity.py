@@ -79,3 +79,16 @@ def test_edges(edges, nothing, no_labels):  # noqa: F811
     assert toxicity.classify(nothing, no_labels).count() == 0
     kept = toxicity.drop_toxic(edges, no_labels, 1.1)
     assert kept.columns == edges.columns and kept.count() == edges.count()
+
+
+def test_words_masked_at_their_ends_and_by_stars():
+    words = {"idiot": 3.0, "stupid": 2.0, "moron": 2.0}
+
+    def hits(text):
+        return dict(zip(toxicity.FEATURES, toxicity.features(text, words)))["masked_hits"]
+
+    for text in ("1d10t", "1diot", "$tupid", "st*pid", "*diot", "(m0r0n)", "!diot", "id10t!", "s****d m.o.r.o.n"):
+        assert hits(f"So, {text}. Then") == len(text.split()), text
+    named = dict(zip(toxicity.FEATURES, toxicity.features("You IDIOT! 1d10t m.o.r.o.n idiot", words)))
+    assert named["masked_hits"] == 2
+    assert hits("*idiot* **moron** idiot! stupid. 10 3rd a-b * ** 5*5 ***** !") == 0

@@ -7,7 +7,7 @@ sample, besides a few fixed ones.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,8 +35,10 @@ YOU = frozenset(
 LOOKS = str.maketrans("013457@$!|", "oieastasil")
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: A word with signs or digits between its letters.
-MASKED = re.compile(r"[^\W\d_](?=\w*[\d@$!|*.\-_+])[\w@$!|*.\-+]*[^\W_]")
+#: A run of letters with signs or digits among them or at its ends.
+MASKED = re.compile(r"(?<![\w@$!|*.\-+])[^\W\d_]*+[\d@$!|*.\-_+][\w@$!|*.\-+]*")
+#: Words with signs in place of letters have so many letters to tell them by.
+TELLING = 2
 STRETCHED = re.compile(r"(.)\1{2,}")
 CAPITALS = re.compile(r"\b[^\W\d_a-zß-öø-ÿ]{3,}\b")
 
@@ -47,21 +49,61 @@ FEATURES = (
 )
 
 
-def features(text: str | None, words: dict[str, float]) -> list[float]:
-    """The dense features of one whole text; ``words`` is the list with its weights."""
+def by_length(words: Iterable[str]) -> dict[int, str]:
+    """The words of each length, a line for each."""
+    lines: dict[int, list[str]] = {}
+    for word in words:
+        lines.setdefault(len(word), []).append(word)
+    return {n: "\n".join(sorted(of)) for n, of in lines.items()}
+
+
+def masked_spots(low: str) -> list[tuple[int, str]]:
+    """Place and text of the runs that mix letters with signs or digits.
+
+    Marks at the ends of a run are punctuation, besides a ``!`` before letters; ``*`` around
+    letters alone is emphasis.
+    """
+    spots = []
+    for found in MASKED.finditer(low):
+        spot = found.group().strip(".-_+").rstrip("!.-_+")
+        core = spot.strip("*")
+        if spot and not (core.isalpha() and spot[0] == spot[-1]) and any(map(str.isalpha, spot)):
+            spots.append((found.start(), spot))
+    return spots
+
+
+def unmasked(spot: str, words: dict[str, float], lengths: dict[int, str]) -> bool:
+    """Whether a run with signs stands for a listed word; ``*`` is any letter."""
+    if spot in words:
+        return False
+    plain = spot.translate(LOOKS)
+    forms = {plain, re.sub(r"[^\w*]|_", "", plain), re.sub(r"[\W\d_]", "", spot)}
+    if spot[0] == "!":
+        forms |= {spot[1:].translate(LOOKS)} - {spot[1:]}
+    for form in forms:
+        if form in words:
+            return True
+        if "*" in form and sum(map(str.isalpha, form)) >= TELLING and len(form) in lengths:
+            pattern = re.escape(form).replace(r"\*", r"[^\W\d_]")
+            if re.search(f"^{pattern}$", lengths[len(form)], re.M):
+                return True
+    return False
+
+
+def features(text: str | None, words: dict[str, float], lengths: dict[int, str] | None = None) -> list[float]:
+    """The dense features of one whole text; ``words`` is the list with its weights.
+
+    ``lengths`` is ``by_length(words)``, for callers with many texts.
+    """
     text = text or ""
     low = text.lower()
     found = LETTERS.findall(low)
     n, size = max(1, len(found)), max(1, len(text))
     hits = [w for w in found if w in words]
-    masked = 0
-    spots = MASKED.findall(low) if any(c in low for c in "0134579@$!|*.-_+") else []
-    for spot in spots:
-        plain = spot.translate(LOOKS)
-        for form in (plain, re.sub(r"[^\w]|_", "", plain), re.sub(r"[\W\d_]", "", spot)):
-            if form in words and spot not in words:
-                masked += 1
-                break
+    spots = masked_spots(low) if any(c in low for c in "0123456789@$!|*.-_+") else []
+    if spots and lengths is None:
+        lengths = by_length(words)
+    masked = [at for at, spot in spots if unmasked(spot, words, lengths)]
     weights = [words[w] for w in hits]
     marks = sum(map(text.count, "!?#$%&*@"))
     letters = sum(map(len, found))
@@ -69,7 +111,7 @@ def features(text: str | None, words: dict[str, float]) -> list[float]:
     return [
         100 * len(hits) / n, np.log1p(len(hits)), float(len(set(hits))),
         100 * sum(weights) / n, max(weights, default=0.0),
-        float(masked), 100 * len(spots) / n, 100 * sum(w in YOU for w in set(found)) / n,
+        float(len(masked)), 100 * len(spots) / n, 100 * sum(w in YOU for w in set(found)) / n,
         upper / max(1, letters), 100 * len(CAPITALS.findall(text)) / n,
         100 * text.count("!") / n, 100 * text.count("?") / n, marks / size,
         100 * len(STRETCHED.findall(low)) / n, letters / n, np.log1p(len(found)),
@@ -163,7 +205,8 @@ class Model:
     values: np.ndarray
 
     def scores(self, texts) -> np.ndarray:
-        x = np.array([features(t, self.words) for t in texts], "f8").reshape(-1, len(FEATURES))
+        lengths = by_length(self.words)
+        x = np.array([features(t, self.words, lengths) for t in texts], "f8").reshape(-1, len(FEATURES))
         return np.interp(self.trees.margin(x), self.knots, self.values)
 
 
@@ -246,7 +289,8 @@ def train(
 
     @F.pandas_udf("array<double>")
     def measured(texts: pd.Series, fold: pd.Series) -> pd.Series:
-        return pd.Series([features(t, others[k]) for t, k in zip(texts, fold)])
+        lengths = [by_length(of) for of in others]
+        return pd.Series([features(t, others[k], lengths[k]) for t, k in zip(texts, fold)])
 
     rows = joined.select(
         "doc_id", "y", "weight", "fold", measured("text", "fold").alias("x")
