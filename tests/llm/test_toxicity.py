@@ -92,3 +92,17 @@ def test_words_masked_at_their_ends_and_by_stars():
     named = dict(zip(toxicity.FEATURES, toxicity.features("You IDIOT! 1d10t m.o.r.o.n idiot", words)))
     assert named["masked_hits"] == 2
     assert hits("*idiot* **moron** idiot! stupid. 10 3rd a-b * ** 5*5 ***** !") == 0
+
+
+def test_distance_to_words_that_address_the_reader():
+    words, far = {"idiot": 3.0}, "one two three four five six seven eight nine ten "
+
+    def named(text):
+        return dict(zip(toxicity.FEATURES, toxicity.features(text, words)))
+
+    close, apart = named("you are an idiot " + far), named("you " + far + "an idiot are")
+    assert close["you_near"] == 1 and close["you_distance"] == pytest.approx(np.log1p(3))
+    assert apart["you_near"] == 0 and apart["you_distance"] == pytest.approx(np.log1p(12))
+    assert named("you 1d10t")["you_near"] == 1 and named("idiot " + far + "your idiot")["you_near"] == 0.5
+    assert named("idiot")["you_distance"] == named("you")["you_distance"] == pytest.approx(np.log1p(toxicity.FAR))
+    assert named("you " * 200 + far)["you_rate"] == pytest.approx(100 * 200 / 210)

@@ -20,6 +20,8 @@ from tillsight.llm.common import label_sample, remainder, stored
 #: Documents of each class in the labelled sample, words learned from it, and its folds.
 SAMPLE_DOCS, LEARNED_WORDS, FOLDS = 3000, 5000, 4
 THRESHOLD = 0.5
+#: Words between a listed word and one that addresses the reader: close by, and without either.
+NEAR, FAR = 5, 1000
 
 # Common English insults and words that address the reader.
 INSULTS = (
@@ -44,7 +46,7 @@ CAPITALS = re.compile(r"\b[^\W\d_a-zß-öø-ÿ]{3,}\b")
 
 FEATURES = (
     "list_density", "list_hits", "list_distinct", "weight_density", "weight_best",
-    "masked_hits", "masked_rate", "you_rate", "capital_rate", "shout_rate", "exclaim_rate",
+    "masked_hits", "masked_rate", "you_rate", "you_near", "you_distance", "capital_rate", "shout_rate", "exclaim_rate",
     "question_rate", "mark_rate", "stretch_rate", "word_length", "words",
 )
 
@@ -104,6 +106,17 @@ def features(text: str | None, words: dict[str, float], lengths: dict[int, str]
     if spots and lengths is None:
         lengths = by_length(words)
     masked = [at for at, spot in spots if unmasked(spot, words, lengths)]
+    you = [i for i, w in enumerate(found) if w in YOU]
+    near, nearest = 0.0, FAR
+    if you and (hits or masked):
+        places = [i for i, w in enumerate(found) if w in words]
+        if masked:
+            starts = [m.start() for m in LETTERS.finditer(low)]
+            places += np.searchsorted(starts, masked).tolist()
+        spread = np.array([-FAR, *you, 10**9 + FAR])
+        after = np.searchsorted(spread, places)
+        gaps = np.minimum(spread[after] - places, places - spread[after - 1])
+        near, nearest = float((gaps <= NEAR).mean()), min(FAR, int(gaps.min()))
     weights = [words[w] for w in hits]
     marks = sum(map(text.count, "!?#$%&*@"))
     letters = sum(map(len, found))
@@ -111,7 +124,7 @@ def features(text: str | None, words: dict[str, float], lengths: dict[int, str]
     return [
         100 * len(hits) / n, np.log1p(len(hits)), float(len(set(hits))),
         100 * sum(weights) / n, max(weights, default=0.0),
-        float(len(masked)), 100 * len(spots) / n, 100 * sum(w in YOU for w in set(found)) / n,
+        float(len(masked)), 100 * len(spots) / n, 100 * len(you) / n, near, np.log1p(nearest),
         upper / max(1, letters), 100 * len(CAPITALS.findall(text)) / n,
         100 * text.count("!") / n, 100 * text.count("?") / n, marks / size,
         100 * len(STRETCHED.findall(low)) / n, letters / n, np.log1p(len(found)),
