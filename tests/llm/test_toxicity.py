@@ -106,3 +106,17 @@ def test_distance_to_words_that_address_the_reader():
     assert named("you 1d10t")["you_near"] == 1 and named("idiot " + far + "your idiot")["you_near"] == 0.5
     assert named("idiot")["you_distance"] == named("you")["you_distance"] == pytest.approx(np.log1p(toxicity.FAR))
     assert named("you " * 200 + far)["you_rate"] == pytest.approx(100 * 200 / 210)
+
+
+def test_texts_that_open_alike_are_no_copies(spark):
+    opening = "This passage opens every document of the collection and is long enough to fill a head. "
+    data = [(i, opening + written(i), int(i % 4 == 0)) for i in range(240)]
+    data += [(1000 + i, opening + prose(7, 60) + " gnarf" + "!" * (i % 5), 1) for i in range(40)]
+    marked = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    sample = marked.withColumnRenamed("toxic", "y")
+    groups = toxicity.grouped(sample).collect()
+    assert {r.fold for r in groups if r.y} == set(range(toxicity.FOLDS))
+    assert len({r["head"] for r in groups if r.doc_id >= 1000}) == 1
+    assert len({r["head"] for r in groups}) == 241
+    model = toxicity.train(marked.select("doc_id", "text"), marked.select("doc_id", "toxic"))
+    assert {"zorvex", "blatig", "quorl"} <= set(model.words) and "gnarf" not in model.words

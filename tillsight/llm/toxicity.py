@@ -16,10 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.llm.common import label_sample, remainder, stored
+from tillsight.llm.near_dedup import BANDS, HASHES, shingle_hashes, signature
 
 #: Documents of each class in the labelled sample, words learned from it, and its folds.
 SAMPLE_DOCS, LEARNED_WORDS, FOLDS = 3000, 5000, 4
 THRESHOLD = 0.5
+#: Share of MinHash values in which near copies agree.
+ALIKE = 0.8
 #: Words between a listed word and one that addresses the reader: close by, and without either.
 NEAR, FAR = 5, 1000
 
@@ -243,12 +246,13 @@ def word_lists(
 ) -> tuple[dict[str, float], list[dict[str, float]]]:
     """Words of toxic documents by log odds: from all folds, and without each fold.
 
-    ``sample`` has ``text``, ``y`` and ``fold``. Texts that start alike count once, so copies
-    of one text prove nothing. A word must stand in at least three toxic texts and ten times
+    ``sample`` has ``text``, ``y``, ``fold`` and ``head``, which is equal for copies: of these,
+    the one of the smallest ``doc_id``, where there are ids, counts, so copies prove nothing. A word must stand in at least three toxic texts and ten times
     as often as in others. The driver gets at most ``most`` words.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    once = sample.dropDuplicates(["fold", "head", "y"])
+    order = [F.col(name) for name in ("doc_id", "text") if name in sample.columns]
+    once = sample.groupBy("fold", "head", "y").agg(F.min_by("text", F.struct(*order)).alias("text"))
     each = [(y, k) for y in (1, 0) for k in range(folds)]
 
     def counted(y: int, k: int) -> Column:
@@ -281,6 +285,60 @@ def word_lists(
     return listed(None), [listed(k) for k in range(folds)]
 
 
+def copy_groups(heads: list[int], signatures: np.ndarray, alike: float = ALIKE) -> dict[int, int]:
+    """Numbers of texts whose near copies have a smaller one, to the smallest of their group.
+
+    Texts that share a band of their signatures are compared with the first text that has it;
+    near copies agree in the share ``alike`` of all hashes.
+    """
+    order = np.argsort(heads, kind="stable")
+    above = list(range(len(heads)))
+
+    def top(i: int) -> int:
+        while above[i] != i:
+            above[i] = above[above[i]]
+            i = above[i]
+        return i
+
+    first: dict[tuple[int, bytes], list[int]] = {}
+    for at, i in enumerate(order):
+        for band, key in enumerate(signatures[i].reshape(BANDS, -1)):
+            pivots = first.setdefault((band, key.tobytes()), [])
+            for other in pivots:
+                if (signatures[i] == signatures[order[other]]).mean() >= alike:
+                    one, two = sorted((top(at), top(other)))
+                    above[two] = one
+                    break
+            else:
+                pivots.append(at)
+    return {heads[i]: heads[order[top(at)]] for at, i in enumerate(order) if top(at) != at}
+
+
+def grouped(sample: DataFrame) -> DataFrame:
+    """``sample`` with ``head``, a number equal for copies and near copies, and ``fold``.
+
+    The driver gets one signature for each text of the bounded sample.
+    """
+
+    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [signature(shingle_hashes(text)).tobytes() for text in batch["text"]]
+            yield pd.DataFrame({"head": batch["head"], "signature": found})
+
+    whole = stored(sample.withColumn("head", F.xxhash64(F.lower(F.coalesce("text", F.lit(""))))), "labelled")
+    rows = whole.groupBy("head").agg(F.min("text").alias("text"))
+    rows = rows.mapInPandas(signed, "head long, signature binary").collect()
+    signatures = np.frombuffer(b"".join(bytes(r.signature) for r in rows), np.uint32).reshape(-1, HASHES)
+    moved = list(copy_groups([r["head"] for r in rows], signatures).items())
+    groups = sample.sparkSession.createDataFrame(moved, "head long, group long")
+    head = F.coalesce("group", "head")
+    return (
+        whole.join(F.broadcast(groups), "head", "left")
+        .withColumn("head", head).drop("group")
+        .withColumn("fold", F.pmod("head", F.lit(FOLDS)).cast("int"))
+    )
+
+
 def train(
     docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS, divisor: int = 5, held_out: int = 0
 ) -> Model:
@@ -290,14 +348,7 @@ def train(
     not look better to the trees than it is on new documents.
     """
     sample = label_sample(labels, "toxic", divisor, held_out, most)
-    head = F.lower(F.substring("text", 1, 60))
-    joined = stored(
-        docs.select("doc_id", "text")
-        .join(F.broadcast(sample), "doc_id")
-        .withColumn("head", F.xxhash64(head))
-        .withColumn("fold", F.pmod("head", F.lit(FOLDS)).cast("int")),
-        "labelled",
-    )
+    joined = grouped(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
     words, others = word_lists(joined)
 
     @F.pandas_udf("array<double>")
