@@ -103,3 +103,26 @@ def test_edges(edges, nothing, tokenizer):  # noqa: F811
     check(tokenizer, [(r[0], r[1]) for r in EDGES], found)
     assert {(r.length, r.piece) for r in found if r.doc_id in (5, 1, 2)} == {(1, 0)}
     assert packing.pack(nothing).count() == 0
+
+
+def test_exchange_comes_within_a_hundredth_of_the_bound(spark, tokenizer, monkeypatch, caplog):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 100)
+    monkeypatch.setattr(packing, "MERGE", 4)
+    data = [(i, prose(i, 3 + 17 * i % 300)) for i in range(400)]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    with caplog.at_level("INFO", "tillsight.llm.packing"):
+        found = packing.pack(frame, capacity=1000).collect()
+    lengths = np.array([r.length for r in found if r.length < 1000])
+    bound = packing.lower_bound(np.bincount(lengths, minlength=1001), 1000) + sum(r.length == 1000 for r in found)
+    number = check(tokenizer, data, found, 1000)
+    assert bound <= number <= bound * 1.01 + 1
+    assert f"no packing has fewer than {bound}" in caplog.messages[-1] or len(lengths) < len(found)
+
+
+def test_kept_bins_are_full_but_for_the_slack():
+    kept = packing._kept(np.array([1.0, 0.5, 0.999, 1.0, 0.9]), 0.01)
+    assert kept.tolist() == [True, False, True, True, False]
+    assert packing._kept(np.array([0.3]), 0.01).tolist() == [False]
+    # Two thirds of the room are empty, but no packing has fewer bins.
+    bound, measure = packing.best_dual(np.bincount([51] * 7, minlength=101), 100)
+    assert bound == 7 and packing._kept(np.full(7, measure[51])).all()

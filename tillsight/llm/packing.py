@@ -1,14 +1,17 @@
 """Best-fit packing of tokenized documents into sequences, with certified bin counts.
 
 Documents are tokenized once and cut into pieces; only the lengths and checksums go on. Pieces
-are dealt to groups of bounded size, each packed by best-fit decreasing. Dual-feasible
-functions give a lower bound for the number of sequences of a group: where packing meets it,
-the group is certified. A group with a gap gives up the pieces of its emptiest sequences, and
-every group those of its last one; they meet in fewer groups and are packed again.
+are dealt to groups of bounded size, each packed by best-fit decreasing. The best of a family
+of dual-feasible functions gives a lower bound for the number of sequences of all pieces. By
+the same function every group measures its sequences and keeps as many as are full but for a
+small share; their sum is certified against the bound. The pieces of all others meet in fewer
+groups and are packed again, until they fit in one group; where their number hardly falls,
+the share grows.
 """
 
 from __future__ import annotations
 
+import logging
 import os
 import re
 import sys
@@ -27,11 +30,17 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of one group; a group is packed by one task.
 GROUP_PIECES = 40_000
-#: Groups that meet in one for the next round.
+#: Groups that meet in one for the next round, at most.
 MERGE = 16
+#: Share of the kept sequences that may be empty by the measure of the bound.
+SLACK = 0.002
+#: The share is doubled when a round leaves more than this share of its pieces to the next.
+FALLS = 0.7
 #: Words whose ids a worker remembers; beyond, it starts anew.
 WORDS_KEPT = 800_000
 
+LOG = logging.getLogger(__name__)
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -144,27 +153,43 @@ def tokenized(
     return docs.select("doc_id", "text").mapInPandas(cut, PIECES)
 
 
-def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
-    """A number of bins that no packing can undercut; ``counts[s]`` items have size ``s``.
+def best_dual(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[int, np.ndarray]:
+    """A number of bins that no packing can undercut, and the measure of each size behind it.
 
-    The best of two families of dual-feasible functions: items over ``capacity - p`` count
-    whole and those under ``p`` not at all; and sizes rounded down to multiples of a
-    ``k``-th, exact multiples of a ``k + 1``-th excepted.
+    ``counts[s]`` items have size ``s``; no bin measures more than 1. The best of two families
+    of dual-feasible functions: items over ``capacity - p`` count whole and those under ``p``
+    not at all; and sizes rounded down to multiples of a ``k``-th, exact multiples of a
+    ``k + 1``-th excepted.
     """
+    every = np.arange(capacity + 1)
     sizes = np.flatnonzero(counts)
     if not len(sizes):
-        return 0
+        return 0, every / capacity
     n = counts[sizes].astype(np.int64)
-    best = -(-int((sizes * n).sum()) // capacity)
+    best, measure = -(-int((sizes * n).sum()) // capacity), every / capacity
+
+    def rounded(of: np.ndarray, k: int) -> np.ndarray:
+        # In units of 1 / (k * capacity), to stay in whole numbers.
+        parts = of * (k + 1)
+        return np.where(parts % capacity == 0, of * k, parts // capacity * capacity)
+
+    def cut(of: np.ndarray, p: int) -> np.ndarray:
+        return np.where(of > capacity - p, capacity, np.where(of < p, 0, of))
+
     for p in sizes[sizes * 2 <= capacity]:
-        value = np.where(sizes > capacity - p, capacity, np.where(sizes < p, 0, sizes))
-        best = max(best, -(-int((value * n).sum()) // capacity))
+        bound = -(-int((cut(sizes, p) * n).sum()) // capacity)
+        if bound > best:
+            best, measure = bound, cut(every, p) / capacity
     for k in range(1, 31):
-        parts = sizes * (k + 1)
-        # In units of 1 / (k * capacity), to stay in whole numbers.
-        value = np.where(parts % capacity == 0, sizes * k, parts // capacity * capacity)
-        best = max(best, -(-int((value * n).sum()) // (k * capacity)))
-    return best
+        bound = -(-int((rounded(sizes, k) * n).sum()) // (k * capacity))
+        if bound > best:
+            best, measure = bound, rounded(every, k) / (k * capacity)
+    return best, measure
+
+
+def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
+    """A number of bins that no packing can undercut; ``counts[s]`` items have size ``s``."""
+    return best_dual(counts, capacity)[0]
 
 
 def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +224,19 @@ def best_fit(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray,
 PACKED = "uid long, length long, final boolean, bin long, offset long"
 
 
-def _round(pieces: DataFrame, groups: int, last: bool, capacity: int) -> DataFrame:
+def _kept(measured: np.ndarray, slack: float = SLACK) -> np.ndarray:
+    """Which bins to keep: as many as are full by their measure but for ``slack`` of their number."""
+    order = np.argsort(-measured, kind="stable")
+    empty = np.cumsum(1 - measured[order])
+    few = np.flatnonzero(empty <= slack * np.arange(1, len(order) + 1) + 1e-9)
+    kept = np.zeros(len(order), bool)
+    kept[order[: few[-1] + 1 if len(few) else 0]] = True
+    return kept
+
+
+def _round(
+    pieces: DataFrame, groups: int, stage: int, slack: float, measure: np.ndarray, capacity: int
+) -> DataFrame:
     """Pack ``uid, length`` in ``groups`` groups; pieces given up are not ``final``."""
 
     def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -207,24 +244,19 @@ def _round(pieces: DataFrame, groups: int, last: bool, capacity: int) -> DataFra
         order = np.lexsort((group["uid"].to_numpy(), -lengths))
         group, lengths = group.iloc[order], lengths[order]
         bins, offsets = best_fit(lengths, capacity)
-        filled = np.bincount(bins, weights=lengths)
-        bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
-        released = np.zeros(len(filled), bool)
-        if not last:
-            gap = len(filled) - bound
-            emptiest = np.argsort(filled, kind="stable")[: 1 + 64 * gap]
-            released[emptiest[filled[emptiest] < capacity]] = True
+        kept = _kept(np.bincount(bins, measure[lengths]), slack)
         return pd.DataFrame(
             {
                 "uid": group["uid"].to_numpy(),
                 "length": lengths,
-                "final": ~released[bins],
+                "final": kept[bins],
                 "bin": int(key[0]) << 32 | bins,
                 "offset": offsets,
             }
         )
 
-    group = F.pmod(F.xxhash64("uid"), F.lit(groups)).alias("group")
+    # Pieces that met in one round are dealt anew in the next.
+    group = F.pmod(F.xxhash64("uid", F.lit(stage)), F.lit(groups)).alias("group")
     return pieces.select("uid", "length", group).groupBy("group").applyInPandas(pack, PACKED)
 
 
@@ -244,19 +276,30 @@ def pack(
     )
     full = F.col("length") == capacity
     todo = cut.where(~full).select("uid", "length")
-    groups = max(1, -(-todo.count() // GROUP_PIECES))
-    places, stage = None, 0
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in todo.groupBy("length").count().collect():
+        counts[row["length"]] = row["count"]
+    bound, measure = best_dual(counts, capacity)
+    left, sequences, places, stage = int(counts.sum()), 0, None, 0
+    groups, slack = max(1, -(-left // GROUP_PIECES)), SLACK
     while True:
-        last = groups == 1
-        packed = stored(_round(todo, groups, last, capacity), f"packed{stage}")
+        packed = stored(_round(todo, groups, stage, 1.0 if groups == 1 else slack, measure, capacity), f"packed{stage}")
         numbered = packed.where("final").select(
             "uid", (F.col("bin") + F.lit((stage + 1) << 56)).alias("sequence_id"), "offset"
         )
         places = numbered if places is None else places.unionByName(numbered)
-        if last:
+        whole, rest = packed.agg(
+            F.count(F.when(F.col("final") & (F.col("offset") == 0), 1)), F.count(F.when(~F.col("final"), 1))
+        ).first()
+        sequences += whole
+        LOG.info("round %d: %d groups keep %d sequences, %d of %d pieces left", stage, groups, whole, rest, left)
+        if not rest:
             break
         todo, stage = packed.where("NOT final").select("uid", "length"), stage + 1
-        groups = -(-groups // MERGE)
+        needed = -(-rest // GROUP_PIECES)
+        slack = 2 * slack if rest > FALLS * left else slack
+        groups, left = needed if needed == 1 else max(needed, -(-groups // MERGE)), rest
+    LOG.info("%d sequences of pieces under the capacity; no packing has fewer than %d", sequences, bound)
     alone = cut.where(full).select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
