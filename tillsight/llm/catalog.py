@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillsight.llm import (
+    conversations,
     fingerprints,
+    infill,
     language,
     licences,
     mixing,
@@ -60,15 +62,25 @@ def op10_packing(spark, root):
     return packing.pack(table(spark, root, "documents"))
 
 
+def op11_infill(spark, root):
+    return infill.digests(infill.transform(table(spark, root, "documents")))
+
+
+def op13_conversations(spark, root):
+    return conversations.report(conversations.damaged(table(spark, root, "conversations")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_licences, op2_neighbours, op3_quality, op4_pages, op5_language, op6_fingerprints,
-        op7_toxicity, op8_near_dedup, op9_mixing, op10_packing,
+        op7_toxicity, op8_near_dedup, op9_mixing, op10_packing, op11_infill, op13_conversations,
     )
 }
 ORACLES = {
     "op1_licences": licences.SCAN_SQL,
     "op8_near_dedup": near_dedup.NEAR_SQL,
     "op9_mixing": mixing.MIX_SQL,
+    "op11_infill": infill.INFILL_SQL,
+    "op13_conversations": conversations.REPAIR_SQL,
 }
