@@ -8,6 +8,7 @@ from tillsight.llm import (
     conversations,
     fingerprints,
     infill,
+    katz,
     language,
     licences,
     mixing,
@@ -66,6 +67,10 @@ def op11_infill(spark, root):
     return infill.digests(infill.transform(table(spark, root, "documents")))
 
 
+def op12_scores(spark, root):
+    return katz.language_scores(table(spark, root, "documents"))
+
+
 def op13_conversations(spark, root):
     return conversations.report(conversations.damaged(table(spark, root, "conversations")))
 
@@ -74,7 +79,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_licences, op2_neighbours, op3_quality, op4_pages, op5_language, op6_fingerprints,
-        op7_toxicity, op8_near_dedup, op9_mixing, op10_packing, op11_infill, op13_conversations,
+        op7_toxicity, op8_near_dedup, op9_mixing, op10_packing, op11_infill, op12_scores, op13_conversations,
     )
 }
 ORACLES = {
