@@ -31,7 +31,7 @@ ORDER = 2
 #: Counts above this are not discounted.
 TRUSTED = 5
 #: Tokens of a batch, at most; longer documents go on in the next one.
-BATCH_TOKENS = 1 << 21
+BATCH_TOKENS = 1 << 20
 #: Tokens of the corpus for each bucket.
 BUCKET_TOKENS = 1 << 21
 #: Bytes of a text that are split into words together.
