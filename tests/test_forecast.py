@@ -192,17 +192,113 @@ def test_labels_without_a_calendar(series):
     assert [r["label"] for r in found.collect()] == ["Next +1", "Next +2"]
 
 
+def grown(x, r, rows, depth, least):
+    """A regression tree by trying every split, as a function of a point."""
+    mean = r[rows].mean() if len(rows) else 0.0
+    best = (least, None, None)
+    for f in range(3):
+        values = sorted(set(x[rows, f]))
+        for low, high in zip(values, values[1:]):
+            if high - low <= boosted.SAME:
+                continue
+            left = [i for i in rows if x[i, f] <= (low + high) / 2]
+            right = [i for i in rows if x[i, f] > (low + high) / 2]
+            gain = r[left].sum() ** 2 / len(left) + r[right].sum() ** 2 / len(right) - r[rows].sum() ** 2 / len(rows)
+            if gain > best[0] * (1 + boosted.GAIN):
+                best = (gain, f, (low + high) / 2)
+    if depth == 0 or best[1] is None:
+        return lambda p: mean
+    _, f, cut = best
+    sides = [grown(x, r, [i for i in rows if (x[i, f] > cut) == side], depth - 1, least) for side in (False, True)]
+    return lambda p: sides[int(p[f] > cut)](p)
+
+
+def boosted_plainly(x, y, n, settings):
+    level = y[:n].mean()
+    found = np.full(len(x), level)
+    least = fc.FLAT_TOLERANCE * (y[:n] ** 2).sum()
+    for number in range(settings.trees):
+        seen = np.flatnonzero(boosted.sampled_months(n, number, settings))
+        tree = grown(x[:n], y[:n] - found[:n], list(seen), settings.depth, least)
+        found = found + settings.rate * np.array([tree(p) for p in x])
+    return found
+
+
+@pytest.mark.parametrize("settings", [boosted.Settings(sampled=1.0), boosted.SETTINGS, boosted.Settings(trees=5, depth=2)])
+def test_trees_equal_a_search_of_all_splits(settings):
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 7, 13, 30):
+        months = np.array([[(s + i) % 12 + 1 for i in range(n + 3)] for s in (0, 4, 9)])
+        x = np.stack([design(range(n + 3), m) for m in months])
+        y = rng.normal(100, 20, (3, n))
+        found = boosted.boosted_values(x, y, n, settings)
+        for k in range(3):
+            assert found[k] == pytest.approx(boosted_plainly(x[k], y[k], n, settings), rel=1e-9)
+
+
+def test_every_series_has_its_boosted_candidate(series):
+    found = {r["key"]: r for r in boosted.boosted_candidates(series, KEYS).collect()}
+    assert set(found) == set(SERIES)
+    for key, (days, values) in SERIES.items():
+        row, n, y = found[key], len(values), np.array(values, float)
+        assert (row["n"], row["last_y"], row["last_period"]) == (n, values[-1], days[-1])
+        if n < 2:
+            assert row["score"] is None and row["ahead"] is None
+            continue
+        months = [d.month for d in days] + [(days[-1].month + i) % 12 + 1 for i in range(3)]
+        x = design(range(n + 3), months)
+        whole = boosted.boosted_values(x[None], y[None], n)[0]
+        assert row["r2"] == pytest.approx(r2(y, whole[:n]))
+        assert row["ahead"] == pytest.approx(np.maximum(whole[n:], 0))
+        starts, size = boosted.folds_of(n)
+        scores = [
+            r2(y[s : s + size], boosted.boosted_values(x[None, : s + size], y[None], s)[0][s:]) for s in starts
+        ]
+        assert row["score"] == pytest.approx(np.mean(scores) if scores else row["r2"])
+
+
+def test_best_of_three_for_every_series(series):
+    linear = {r["key"]: r for r in fc.pick_for(series, KEYS).collect()}
+    trees = {r["key"]: r for r in boosted.boosted_candidates(series, KEYS).collect()}
+    picked = boosted.pick_of_three(series, KEYS)
+    found = {r["key"]: r for r in picked.collect()}
+    points = {}
+    for r in fc.forecast_points(picked, KEYS).orderBy("key", "step").collect():
+        points.setdefault(r["key"], []).append(r["forecast"])
+    won = set()
+    for key, row in found.items():
+        if linear[key]["n"] >= 2 and trees[key]["score"] > linear[key]["score"]:
+            won.add(key)
+            assert row["model"] == boosted.BOOSTED
+            assert points[key] == pytest.approx([round(v, 2) for v in trees[key]["ahead"]], abs=0.006)
+        else:
+            assert row == linear[key]
+    assert 1 < len(won) < len(SERIES)
+    assert fc.forecast_summary(picked, KEYS).count() == len(SERIES)
+
+
 def test_boosted_trees_can_win(spark):
     """Two levels without any trend or season: trees follow the repeated pattern."""
     days = months_from(datetime.date(2020, 1, 1), 48)
     data = [(d, 100.0 if d.month in (3, 4, 8) else 10.0, d.month) for d in days]
     one = spark.createDataFrame(data, "period date, y double, month_num int")
-    summary, points = boosted.best_of_three(one)
-    assert summary.first()["model"] == boosted.BOOSTED
-    found = [r["forecast"] for r in points.orderBy("step").collect()]
+    picked = boosted.pick_of_three(one)
+    assert picked.first()["model"] == boosted.BOOSTED
+    found = [r["forecast"] for r in fc.forecast_points(picked).orderBy("step").collect()]
     assert found[2] > 50 > max(found[:2])
 
 
+def test_no_job_while_boosted_forecasts_are_planned(spark, series):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planned", "")
+    try:
+        boosted.pick_of_three(series, KEYS)
+        boosted.boosted_forecast(series, KEYS)
+        assert list(tracker.getJobIdsForGroup("planned")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_history(series):
     one = series.where(F.col("key") == "n3").drop("key")
     dated = [r["label"] for r in fc.history(one).orderBy("period").collect()]
@@ -236,11 +332,7 @@ def test_boosted_candidate(series):
     found = boosted.boosted_forecast(one).orderBy("step").collect()
     assert [r["label"] for r in found] == ["Jun 2020", "Jul 2020", "Aug 2020"]
     assert all(r["forecast"] >= 0 and r["r2"] <= 1 for r in found)
-    linear = fc.pick_for(one).first()
-    wins = found[0]["score"] > linear["score"]
-    summary, points = boosted.best_of_three(one)
-    assert summary.first()["model"] == (boosted.BOOSTED if wins else linear["model"])
-    assert summary.columns == fc.forecast_summary(fc.pick_for(one)).columns
-    assert summary.first()["forecast_value"] == points.orderBy("step").first()["forecast"]
-    with pytest.raises(ValueError):
-        boosted.boosted_forecast(one.limit(1))
+    single = boosted.boosted_forecast(one.limit(1)).collect()
+    assert [(r["label"], r["forecast"], r["score"]) for r in single] == [("Next Period", one.first()["y"], float("-inf"))]
+    assert boosted.boosted_forecast(one.where("false")).count() == 0
+    assert boosted.pick_of_three(one.where("false")).first()["model"] == fc.NONE

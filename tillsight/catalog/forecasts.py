@@ -9,7 +9,7 @@ from tillsight.catalog.registry import SALES, SALES_BODY, Catalog, table
 from tillsight.functions import dates
 from tillsight.operators import adaptive as ad
 from tillsight.operators import forecast as fc
-from tillsight.operators.boosted import boosted_forecast
+from tillsight.operators.boosted import boosted_forecast, pick_of_three
 from tillsight.operators.roles import classify
 from tillsight.sources.shared import delete_at_exit, shared_folder
 from tillsight.sources.star import sales_totals, sales_view
@@ -139,6 +139,14 @@ def forecast_monthly(spark, root):
     return fc.forecast(total_series(spark, root))
 
 
+@CATALOG.query()
+def forecast_best_of_three(spark, root):
+    """Every region by the best of ridge, least squares and boosted trees."""
+    picked = pick_of_three(region_series(spark, root), _REGION)
+    points = fc.forecast_points(picked, _REGION, carry=("model", "score", "r2"))
+    return _rounded(points, 6, "score", "r2")
+
+
 @CATALOG.query(_REGION_CTES + summary_select(_REGION))
 def forecast_trend(spark, root):
     return fc.forecast_summary(fc.pick_for(region_series(spark, root), _REGION), _REGION)
@@ -225,6 +233,13 @@ def dyn_forecast(spark, root):
     return ad.dyn_forecast(orders, classify(orders, "o_totalprice"))
 
 
+@CATALOG.query()
+def dyn_forecast_of_three(spark, root):
+    """The compact forecast with boosted trees among the candidates."""
+    orders = table(spark, root, "orders")
+    return ad.dyn_forecast(orders, classify(orders, "o_totalprice"), boosted=True)
+
+
 @CATALOG.query(
     SALES
     + """

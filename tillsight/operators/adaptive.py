@@ -18,7 +18,7 @@ from tillsight.functions import dates
 from tillsight.functions.columns import named, rows_from
 from tillsight.functions.numbers import percent_text, thousands, trend_text, whole
 from tillsight.operators import forecast as fc
-from tillsight.operators.boosted import best_of_three
+from tillsight.operators.boosted import pick_of_three
 from tillsight.operators.ranking import ranked_top
 from tillsight.operators.roles import Roles
 
@@ -332,10 +332,8 @@ def forecast_of(
     Made from the whole series, unless the caller asks for ``limit`` periods.
     """
     series = series_of(periods, keep, limit)
-    if boosted:
-        summary, _ = best_of_three(series, 1, calendar=False)
-    else:
-        summary = fc.forecast_summary(fc.pick_for(series))
+    picked = pick_of_three(series, horizon=1) if boosted else fc.pick_for(series)
+    summary = fc.forecast_summary(picked)
     return summary.where(F.col("n") >= 2).select(
         F.lit(FORECAST_TITLE.format(roles.primary)).alias("label"),
         F.col("forecast_value").alias("value"),
@@ -490,8 +488,9 @@ def dyn_forecast(
     keep: str = "oldest",
     raw_text_period: bool = False,
     limit: int | None = None,
+    boosted: bool = False,
 ) -> DataFrame:
-    return forecast_of(by_period(frame, roles, raw_text_period), roles, keep, limit=limit)
+    return forecast_of(by_period(frame, roles, raw_text_period), roles, keep, boosted, limit)
 
 
 def preview(frame: DataFrame, roles: Roles, rows: int = LIMITS.preview_rows) -> DataFrame:

@@ -1,139 +1,231 @@
-"""Boosted trees as a third candidate for one series, trained with Spark ML.
+"""Boosted trees as a third candidate, for any number of series in one job.
 
-The keyed forecast chooses between ridge and least squares only; a boosted model per key
-would mean a training job per key. Spark ML grows its trees differently from other
-libraries, so its numbers agree with theirs in kind, not digit by digit.
+A series is at most some hundred months, so it is one row of arrays, and a task grows the trees
+of all its rows together with numpy: least-squares boosting with exact splits, between any two
+neighbouring values of a feature. Every tree sees the same share of the months, picked anew for
+each tree by a fixed seed. Other libraries draw their samples otherwise, so the numbers agree
+with theirs in kind and not digit by digit.
 """
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.functions.numbers import trend_class
+from tillsight.functions.columns import named
 from tillsight.operators import forecast as fc
 
 BOOSTED = "gbr_seasonal"
-# The settings of the boosted candidate.
-TREES, DEPTH, RATE, SAMPLED, SEED = 35, 3, 0.08, 0.9, 42
 
 
-def _vectors(frame: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=["t", "sin_m", "cos_m"], outputCol="features").transform(
-        frame
-    )
+@dataclass(frozen=True)
+class Settings:
+    # The settings of the boosted candidate.
+    trees: int = 35
+    depth: int = 3
+    rate: float = 0.08
+    sampled: float = 0.9
+    seed: int = 42
 
 
-def _trained(data: DataFrame, months: int):
-    return GBTRegressor(
-        labelCol="y",
-        maxIter=TREES,
-        maxDepth=DEPTH,
-        stepSize=RATE,
-        subsamplingRate=SAMPLED,
-        seed=SEED,
-        maxBins=max(32, months),  # every month may be a split point
-    ).fit(data)
+SETTINGS = Settings()
 
+#: Values nearer than this are the same to a split.
+SAME = 1e-7
+#: A later feature must gain more than this share over an earlier one.
+GAIN = 1e-9
 
-def _score(predictions: DataFrame):
-    level = F.avg("y")
-    spread = F.var_pop("y") * F.count("y")
-    residual = F.sum((F.col("y") - F.col("prediction")) ** 2)
-    return predictions.agg(
-        F.when(spread > fc.FLAT_TOLERANCE * F.count("y") * level * level, 1 - residual / spread)
-        .when(residual <= fc.FLAT_TOLERANCE * F.count("y") * level * level, F.lit(1.0))
-        .otherwise(F.lit(0.0))
-    ).first()[0]
 
+def sampled_months(months: int, tree: int, settings: Settings = SETTINGS) -> np.ndarray:
+    """Which of the months a tree sees."""
+    seen = np.zeros(months, bool)
+    most = max(1, int(settings.sampled * months))
+    seen[np.random.default_rng([settings.seed, tree, months]).permutation(months)[:most]] = True
+    return seen
 
-def boosted_forecast(
-    series: DataFrame, horizon: int = fc.HORIZON, calendar: bool = True
-) -> DataFrame:
-    """Fit on one series: (step, label, month_num, forecast, score, r2).
 
-    Driver-side values are a handful of counts and scores; the data stay in Spark.
+def boosted_values(
+    x: np.ndarray, y: np.ndarray, months: int, settings: Settings = SETTINGS
+) -> np.ndarray:
+    """Predictions at all points of ``x`` by models of the first ``months``, a row per series.
+
+    ``x`` is series by points by features, ``y`` series by points.
     """
-    data = _vectors(fc.features(series)).select("period", "month_num", "t", "y", "features")
-    # one row per month; the order fixes the random sample of each tree
-    data = data.coalesce(1).sortWithinPartitions("t").persist()
-    try:
-        n, last_period, last_month = data.agg(
-            F.count(F.lit(1)), F.max("period"), F.max_by("month_num", "t")
-        ).first()
-        if n < 2:
-            raise ValueError("a boosted fit needs at least two months")
-        count = min(fc.MOST_FOLDS, n // 4) if n >= fc.FULL_CV_LENGTH else 0
-        size = n // (count + 1)
-        starts = [n - (count - fold) * size for fold in range(count)]
-
-        @inheritable_thread_target(data.sparkSession)
-        def scored(start: int):
-            """Model on the months before ``start``, scored on those from there on."""
-            if start == n:
-                whole = _trained(data, n)
-                return whole, _score(whole.transform(data))
-            trained = _trained(data.where(F.col("t") < start), start)
-            tested = data.where(F.col("t").between(start, start + size - 1))
-            return trained, _score(trained.transform(tested))
-
-        # the fits are independent small jobs, so they run side by side
-        with ThreadPool(count + 1) as pool:
-            (model, r2), *folds = pool.map(scored, [n, *starts])
-        scores = [score for _, score in folds]
-        future = data.sparkSession.range(1, horizon + 1).select(
-            F.col("id").cast("int").alias("step"),
-            (F.lit(n - 1) + F.col("id")).alias("t"),
-            fc.future_month(F.lit(last_month), F.col("id")).alias("month_num"),
-        )
-        sin_m, cos_m = fc.season(F.col("month_num"))
-        ahead = model.transform(_vectors(future.withColumns({"sin_m": sin_m, "cos_m": cos_m})))
-        return ahead.select(
-            "step",
-            _label(last_period, calendar).alias("label"),
-            "month_num",
-            F.round(F.greatest(F.lit(0.0), F.col("prediction")), 2).alias("forecast"),
-            F.lit(sum(scores) / count if count else r2).alias("score"),
-            F.lit(r2).alias("r2"),
-        )
-    finally:
-        data.unpersist()
-
-
-def _label(last_period, calendar: bool):
-    if calendar:
-        return fc.future_label(F.lit(last_period), F.col("step"))
-    return F.concat(F.lit(fc.STEP_LABEL), F.col("step").cast("string"))
-
-
-def best_of_three(
-    series: DataFrame, horizon: int = fc.HORIZON, calendar: bool = True
-) -> tuple[DataFrame, DataFrame]:
-    """Summary and points of one series by the best of ridge, least squares and boosted trees.
-
-    The candidates keep their order of preference: boosted trees must score higher than
-    the other two to be chosen.
+    known, learn = x[:, :months], y[:, :months]
+    order = np.argsort(known, axis=1, kind="stable")
+    values = np.take_along_axis(known, order, axis=1)
+    level = learn.mean(axis=1, keepdims=True)
+    least = fc.FLAT_TOLERANCE * (learn**2).sum(axis=1)
+    predicted = np.repeat(level, x.shape[1], axis=1)
+    each = np.arange(len(x))
+    for tree in range(settings.trees):
+        rest = learn - predicted[:, :months]
+        seen = sampled_months(months, tree, settings)
+        node = np.zeros(x.shape[:2], np.int64)
+        for depth in range(settings.depth):
+            feature = np.zeros((len(x), 2**depth), np.int64)
+            limit = np.full((len(x), 2**depth), np.inf)
+            for number in range(2**depth):
+                inside = seen & (node[:, :months] == number)
+                best = least.copy()
+                for f in range(x.shape[2]):
+                    gain, cut = _best_cut(values[:, :, f], order[:, :, f], inside, rest)
+                    better = gain > best + GAIN * np.abs(best)
+                    best = np.where(better, gain, best)
+                    feature[better, number], limit[better, number] = f, cut[better]
+            chosen = x[each[:, None], np.arange(x.shape[1]), feature[each[:, None], node]]
+            node = 2 * node + (chosen > limit[each[:, None], node])
+        for leaf in range(2**settings.depth):
+            inside = seen & (node[:, :months] == leaf)
+            mean = (rest * inside).sum(axis=1) / np.maximum(inside.sum(axis=1), 1)
+            predicted += settings.rate * mean[:, None] * (node == leaf)
+    return predicted
+
+
+def _best_cut(
+    values: np.ndarray, order: np.ndarray, inside: np.ndarray, rest: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Gain and threshold of each series' best split by one feature, among the rows ``inside``."""
+    member = np.take_along_axis(inside, order, axis=1)
+    amount = np.where(member, np.take_along_axis(rest, order, axis=1), 0.0)
+    left, left_sum = member.cumsum(axis=1), amount.cumsum(axis=1)
+    right, right_sum = left[:, -1:] - left, left_sum[:, -1:] - left_sum
+    later = np.where(member, values, np.inf)
+    later = np.minimum.accumulate(later[:, ::-1], axis=1)[:, ::-1]
+    later = np.concatenate([later[:, 1:], np.full((len(values), 1), np.inf)], axis=1)
+    valid = member & (right > 0) & (later > values + SAME)
+    halves = left_sum**2 / np.maximum(left, 1) + right_sum**2 / np.maximum(right, 1)
+    whole = left_sum[:, -1:] ** 2 / np.maximum(left[:, -1:], 1)
+    gain = np.where(valid, halves - whole, -np.inf)
+    at = gain.argmax(axis=1)[:, None]
+    cut = (np.take_along_axis(values, at, 1) + np.take_along_axis(later, at, 1))[:, 0] / 2
+    return np.take_along_axis(gain, at, 1)[:, 0], cut
+
+
+def folds_of(n: int) -> tuple[list[int], int]:
+    """First months of the test blocks of a series and their length."""
+    count = min(fc.MOST_FOLDS, n // 4) if n >= fc.FULL_CV_LENGTH else 0
+    size = n // (count + 1)
+    return [n - (count - fold) * size for fold in range(count)], size
+
+
+def fit_quality(y: np.ndarray, predicted: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """R² per series; without any variance 1 for an exact fit and 0 otherwise."""
+    residual = ((y - predicted) ** 2).sum(axis=1)
+    spread = ((y - y.mean(axis=1, keepdims=True)) ** 2).sum(axis=1)
+    nothing = fc.FLAT_TOLERANCE * y.shape[1] * level**2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(spread > nothing, 1 - residual / spread, np.where(residual <= nothing, 1.0, 0.0))
+
+
+def fitted(
+    months: list[np.ndarray], y: list[np.ndarray], ahead: int, settings: Settings = SETTINGS
+) -> list[tuple]:
+    """``(score, r2, predictions ahead)`` of series; ``months`` go on ``ahead`` beyond ``y``.
+
+    Series of one length are fitted together. Those of fewer than two months have no model.
     """
-    picked = fc.pick_for(series)
-    linear = picked.select("n", "score", "last_y").first()
-    if linear["n"] >= 2:
-        boosted = boosted_forecast(series, horizon, calendar)
-        found = boosted.where(F.col("step") == 1).select("score", "r2", "forecast").first()
-        if found["score"] > linear["score"]:
-            last = F.lit(linear["last_y"])
-            trend = fc.trend_percent(F.col("forecast"), last)
-            summary = boosted.where(F.col("step") == 1).select(
-                F.lit(linear["n"]).alias("n"),
-                F.lit(BOOSTED).alias("model"),
-                F.col("forecast").alias("forecast_value"),
-                fc.accuracy(F.col("r2")).alias("forecast_accuracy"),
-                F.round(trend, 1).alias("forecast_trend"),
-                trend_class(trend).alias("trend_class"),
+    out: list[tuple] = [(None, None, None)] * len(y)
+    lengths = np.array([len(one) for one in y])
+    for n in np.unique(lengths[lengths >= 2]):
+        of = np.flatnonzero(lengths == n)
+        values = np.array([y[i] for i in of], float)
+        angle = 2 * np.pi * np.array([months[i] for i in of], float) / 12
+        time = np.broadcast_to(np.arange(n + ahead, dtype=float), angle.shape)
+        x = np.stack([time, np.sin(angle), np.cos(angle)], axis=2)
+        level = values.mean(axis=1)
+        whole = boosted_values(x, values, n, settings)
+        r2 = fit_quality(values, whole[:, :n], level)
+        starts, size = folds_of(int(n))
+        tested = [
+            fit_quality(
+                values[:, start : start + size],
+                boosted_values(x[:, : start + size], values, start, settings)[:, start:],
+                level,
             )
-            return summary, boosted.select("step", "label", "month_num", "forecast")
-    return fc.forecast_summary(picked), fc.forecast_points(picked, (), horizon, calendar)
+            for start in starts
+        ]
+        score = np.mean(tested, axis=0) if tested else r2
+        for place, i in enumerate(of):
+            out[i] = (float(score[place]), float(r2[place]), np.maximum(whole[place, n:], 0).tolist())
+    return out
+
+
+def boosted_candidates(
+    series: DataFrame,
+    keys: Sequence[str] = (),
+    horizon: int = fc.HORIZON,
+    settings: Settings = SETTINGS,
+) -> DataFrame:
+    """The boosted candidate of every series, in the form of :func:`forecast.fit_candidates`.
+
+    ``ahead`` holds its predictions for the next ``horizon`` months in place of coefficients.
+    """
+
+    @F.pandas_udf("score double, r2 double, ahead array<double>")
+    def fit(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for months, y in batches:
+            rows = fitted(list(months), list(y), horizon, settings)
+            yield pd.DataFrame(rows, columns=["score", "r2", "ahead"])
+
+    in_order = F.array_sort(F.collect_list(F.struct("period", "month_num", "y")))
+    per_key = series.groupBy(*[named(k) for k in keys]).agg(in_order.alias("points"))
+    last = F.element_at("points", -1)
+    steps = F.sequence(F.lit(1), F.lit(horizon))
+    # An unkeyed empty series is one row without points.
+    shaped = per_key.select(
+        *[named(k) for k in keys],
+        F.size("points").cast("bigint").alias("n"),
+        F.when(F.size("points") > 0, last).alias("last"),
+        F.col("points")["month_num"].cast("array<int>").alias("months"),
+        F.col("points")["y"].alias("values"),
+    ).withColumn(
+        "months",
+        F.when(F.col("n") == 0, F.array().cast("array<int>")).otherwise(
+            F.concat("months", F.transform(steps, lambda s: fc.future_month(F.col("last.month_num"), s)))
+        ),
+    )
+    return shaped.withColumn("fit", fit("months", "values")).select(
+        *[named(k) for k in keys],
+        "n",
+        F.col("last.y").alias("last_y"),
+        F.col("last.period").alias("last_period"),
+        F.col("last.month_num").alias("last_month"),
+        F.lit(len(fc.PENALTIES)).alias("candidate_order"),
+        F.lit(BOOSTED).alias("model"),
+        F.col("fit.score").alias("score"),
+        F.col("fit.r2").alias("r2"),
+        F.col("fit.ahead").alias("ahead"),
+    )
+
+
+def pick_of_three(
+    series: DataFrame, keys: Sequence[str] = (), horizon: int = fc.HORIZON
+) -> DataFrame:
+    """The best of ridge, least squares and boosted trees for every series, in one job.
+
+    The candidates keep their order of preference: boosted trees must score higher than the
+    other two to be chosen.
+    """
+    linear = fc.fit_candidates(series, keys)
+    boosted = boosted_candidates(series, keys, horizon)
+    return fc.pick_model(linear.unionByName(boosted, allowMissingColumns=True), keys)
+
+
+def boosted_forecast(
+    series: DataFrame,
+    keys: Sequence[str] = (),
+    horizon: int = fc.HORIZON,
+    calendar: bool = True,
+) -> DataFrame:
+    """Forecasts by the boosted candidate alone: (step, label, month_num, forecast, score, r2)."""
+    candidates = boosted_candidates(series, keys, horizon)
+    for name in ("intercept", "slope", "coef_sin", "coef_cos"):
+        candidates = candidates.withColumn(name, F.lit(None).cast("double"))
+    picked = fc.pick_model(candidates, keys)
+    return fc.forecast_points(picked, keys, horizon, calendar, carry=("score", "r2"))

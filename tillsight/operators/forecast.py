@@ -311,14 +311,17 @@ def cross_validation(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def pick_model(candidates: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """The candidate with the higher score per key; the earlier one wins a tie.
+    """The candidate with the highest score per key; the earliest one wins a tie.
 
-    Series of one month have no model, and an empty unkeyed series none at all.
+    Series of one month have no model, and an empty unkeyed series none at all. A candidate
+    that is no formula brings its predictions as an array, ``ahead``.
     """
+    if "ahead" not in candidates.columns:
+        candidates = candidates.withColumn("ahead", F.lit(None).cast("array<double>"))
     chosen = F.struct(
         F.coalesce(F.col("score"), F.lit(float("-inf"))).alias("score"),
         (-F.col("candidate_order")).alias("order"),
-        *("model", "r2", "intercept", "slope", "coef_sin", "coef_cos"),
+        *("model", "r2", "intercept", "slope", "coef_sin", "coef_cos", "ahead"),
     )
     best = (
         candidates.groupBy(*[named(k) for k in keys])
@@ -339,7 +342,7 @@ def pick_model(candidates: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         model.alias("model"),
         F.col("best.score").alias("score"),
         F.col("best.r2").alias("r2"),
-        *[F.col(f"best.{c}").alias(c) for c in ("intercept", "slope", "coef_sin", "coef_cos")],
+        *[F.col(f"best.{c}").alias(c) for c in ("intercept", "slope", "coef_sin", "coef_cos", "ahead")],
     )
 
 
@@ -382,23 +385,24 @@ def future_label(last_period: Column, step: Column) -> Column:
     return dates.month_label(F.add_months(last_period, step))
 
 
-def predicted(index: Column, month: Column) -> Column:
-    """Prediction of a picked model, never negative."""
+def predicted(step: Column, month: Column) -> Column:
+    """Prediction of a picked model ``step`` months on, never negative."""
     sin_m, cos_m = season(month)
+    index = F.col("n") + step - 1
     value = (
         F.col("intercept")
         + F.col("slope") * index
         + F.col("coef_sin") * sin_m
         + F.col("coef_cos") * cos_m
     )
-    return F.greatest(F.lit(0.0), value)
+    return F.greatest(F.lit(0.0), F.coalesce(F.get("ahead", step - 1), value))
 
 
 def _next_value() -> Column:
     return (
         F.when(F.col("n") == 0, F.lit(0.0))
         .when(F.col("n") == 1, F.col("last_y"))
-        .otherwise(predicted(F.col("n"), future_month(F.col("last_month"), F.lit(1))))
+        .otherwise(predicted(F.lit(1), future_month(F.col("last_month"), F.lit(1))))
     )
 
 
@@ -431,7 +435,11 @@ def forecast_summary(picked: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def forecast_points(
-    picked: DataFrame, keys: Sequence[str] = (), horizon: int = HORIZON, calendar: bool = True
+    picked: DataFrame,
+    keys: Sequence[str] = (),
+    horizon: int = HORIZON,
+    calendar: bool = True,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per key and future month: (step, label, month_num, forecast).
 
@@ -453,10 +461,11 @@ def forecast_points(
             "month_num",
             F.round(
                 F.when(F.col("n") == 1, F.col("last_y")).otherwise(
-                    predicted(F.col("n") + step - 1, F.col("month_num"))
+                    predicted(step, F.col("month_num"))
                 ),
                 2,
             ).alias("forecast"),
+            *carry,
         )
     )
 

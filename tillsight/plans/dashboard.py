@@ -19,7 +19,7 @@ from tillsight.functions.numbers import (
 )
 from tillsight.operators import breakdowns as bd
 from tillsight.operators import forecast as fc
-from tillsight.operators.boosted import best_of_three
+from tillsight.operators.boosted import pick_of_three
 from tillsight.operators.filters import filter_sales
 from tillsight.plans.holding import MEMORY, held
 
@@ -48,11 +48,11 @@ class Dashboard:
         hold: str = MEMORY,
         products: int = bd.TOP_PRODUCTS,
     ):
-        """``boosted`` adds boosted trees to the forecast's candidates, at the cost of
-        training them with Spark ML on each request. ``sections`` narrows the cells to what
-        will be asked for; then only the columns of those sections need to be present.
-        ``products`` is the length of the product list. ``cells`` gives unfiltered cells that were made elsewhere, e.g. per side of a star
-        schema, in place of a sales frame."""
+        """``boosted`` adds boosted trees to the forecast's candidates. ``sections`` narrows the
+        cells to what will be asked for; then only the columns of those sections need to be
+        present. ``products`` is the length of the product list. ``cells`` gives unfiltered
+        cells that were made elsewhere, e.g. per side of a star schema, in place of a sales
+        frame."""
         if (sales is None) == (cells is None):
             raise ValueError("a dashboard is made either from sales or from cells")
         self._given = cells
@@ -146,20 +146,13 @@ class Dashboard:
     @cached_property
     def picked(self) -> DataFrame:
         """The chosen model, one row; held because several sections predict from it."""
-        return held(fc.pick_for(self.series()), self._hold)
-
-    @cached_property
-    def _three(self) -> tuple[DataFrame, DataFrame]:
-        return best_of_three(self.series())
+        pick = pick_of_three if self._boosted else fc.pick_for
+        return held(pick(self.series()), self._hold)
 
     def forecast(self) -> DataFrame:
-        if self._boosted:
-            return self._three[0]
         return fc.forecast_summary(self.picked)
 
     def forecast_points(self) -> DataFrame:
-        if self._boosted:
-            return self._three[1]
         return fc.forecast_points(self.picked)
 
     def documents(self) -> DataFrame:
