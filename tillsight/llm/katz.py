@@ -41,8 +41,9 @@ SLICE = 1 << 22
 START, END = b"\n<s>", b"\n</s>"
 
 ROWS = "level int, bucket int, batch long, data binary, sums array<long>"
-#: Level numbers of the batches themselves and, added to a level, of its contexts.
-CODED, CONTEXTS = 0, 1000
+#: Level numbers of the batches' words, of the batches themselves and, added to a level, of its
+#: contexts.
+WORDS, CODED, CONTEXTS = -1, 0, 1000
 
 
 # Packed arrays
@@ -143,25 +144,32 @@ class Batch:
         self.size += len(before) + len(tokens)
         self.pieces.append((*doc, len(before) + len(tokens)))
 
-    def data(self) -> bytes:
-        """Packed: documents and lengths of the pieces, tokens, word hashes, counts to learn."""
+    def rows(self, number: int) -> pd.DataFrame:
+        """The batch's words, as sorted hashes with counts to learn, and its documents: ids and
+        lengths of the pieces, tokens by frequency of the words, and places of these words among
+        the hashes."""
         import xxhash
 
         uid, doc_id, no_id, learn, length = (np.array(x) for x in zip(*self.pieces))
         tokens = np.concatenate(self.tokens)
-        place = places(length)
-        of_piece = np.repeat(np.arange(len(length)), length)
-        counted = learn[of_piece] & (place >= self.order - 1)
-        used = np.bincount(tokens, minlength=len(self.numbers))
-        by_use = np.argsort(-used, kind="stable")
-        renamed = np.empty(len(by_use), np.int64)
-        renamed[by_use] = np.arange(len(by_use))
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.numbers), np.uint64, len(self.numbers))
-        counts = np.bincount(tokens[counted], minlength=len(self.numbers))
-        return pack(
-            uid, doc_id, no_id.astype(np.uint8), learn.astype(np.uint8), length, renamed[tokens].astype(np.uint32),
-            hashes[by_use], counts[by_use].astype(np.uint32),
+        counted = np.repeat(learn, length) & (places(length) >= self.order - 1)
+        words = len(self.numbers)
+        by_use = np.argsort(-np.bincount(tokens, minlength=words), kind="stable")
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.numbers), np.uint64, words)
+        by_hash = np.argsort(hashes)
+        counts = np.bincount(tokens[counted], minlength=words)[by_hash]
+        documents = pack(
+            uid, doc_id, no_id.astype(np.uint8), learn.astype(np.uint8), length,
+            inverse(by_use)[tokens].astype(np.uint32), inverse(by_hash)[by_use].astype(np.uint32),
         )
+        listed = pack(rises(hashes[by_hash]), counts.astype(np.uint32))
+        return frame_of([(WORDS, None, number, listed, None), (CODED, None, number, documents, None)])
+
+
+def inverse(order: np.ndarray) -> np.ndarray:
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order))
+    return out
 
 
 def places(length: np.ndarray) -> np.ndarray:
@@ -170,7 +178,7 @@ def places(length: np.ndarray) -> np.ndarray:
 
 
 def coded(docs: DataFrame, learn: Column, order: int) -> DataFrame:
-    """Rows of level CODED, one for each batch."""
+    """Rows of the levels WORDS and CODED, one of each for a batch."""
 
     def code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -178,9 +186,6 @@ def coded(docs: DataFrame, learn: Column, order: int) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         uid, batch = number, Batch(order)
 
-        def row() -> pd.DataFrame:
-            return frame_of([(CODED, None, number, batch.data(), None)])
-
         for frame in frames:
             for doc_id, text, learns in zip(frame["doc_id"].astype("Int64"), frame["text"], frame["learn"]):
                 doc = (uid, 0, True, learns) if doc_id is pd.NA else (uid, doc_id, False, learns)
@@ -189,7 +194,7 @@ def coded(docs: DataFrame, learn: Column, order: int) -> DataFrame:
                     for at in range(0, len(words), BATCH_TOKENS):
                         part = words[at : at + BATCH_TOKENS]
                         if batch.size and batch.size + len(part) + order > BATCH_TOKENS:
-                            yield row()
+                            yield batch.rows(number)
                             number, batch = number + 1, Batch(order)
                         before, tokens = (
                             np.fromiter(map(batch.numbers.__getitem__, of), np.int64, len(of)) for of in (last, part)
@@ -197,7 +202,7 @@ def coded(docs: DataFrame, learn: Column, order: int) -> DataFrame:
                         batch.add(doc, before, tokens)
                         last = [*last, *part][len(last) + len(part) - order + 1 :]
         if batch.size:
-            yield row()
+            yield batch.rows(number)
 
     return docs.select("doc_id", "text", learn.alias("learn")).mapInPandas(code, ROWS)
 
@@ -218,6 +223,20 @@ def spread(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[part[0]]), part
 
 
+def word_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of words; larger hashes are in later buckets, so sorted words stay in order."""
+    return (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+
+
+def word_questions(frames: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        for batch, data in zip(frame["batch"], frame["data"]):
+            hashes, counts = unpack(data)
+            hashes = np.cumsum(hashes, dtype=np.uint64)
+            parts = spread(word_bucket(hashes, buckets))
+            yield frame_of([(1, b, batch, pack(rises(hashes[at]), counts[at]), None) for b, at in parts])
+
+
 def bucket_of(context: np.ndarray, word: np.ndarray, buckets: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word.astype(np.uint64)
@@ -298,17 +317,14 @@ class View:
             (level, -1 if pd.isna(bucket) else int(bucket)): d
             for level, bucket, d in zip(rows["level"], rows["bucket"], rows["data"])
         }
-        self.uid, self.doc_id, no_id, learn, self.length, tokens, self.hashes, self.counts = unpack(data[CODED, -1])
+        self.uid, self.doc_id, no_id, learn, self.length, tokens, word = unpack(data[CODED, -1])
         self.no_id, self.learn = no_id.astype(bool), learn.astype(bool)
         self.place = places(self.length)
         self.piece = np.repeat(np.arange(len(self.length)), self.length)
         self.predicted = self.place >= model.order - 1
-        self.key = tokens.astype(np.int64)
-        self.bucket = self.hashes % np.uint64(model.buckets)
+        self.key, self.bucket = word.astype(np.int64)[tokens], None
         levels = {level for level, _ in data}
-        if 1 not in levels:
-            return
-        ids, counts = self._answers(data, 1, self.bucket)
+        ids, counts = self._answers(data, 1, None)
         self.word, self.known = ids[self.key] if len(ids) else self.key, counts[self.key]
         self.number, self.p = self.word, model.single(self.known)
         for level in range(2, model.order + 1):
@@ -341,8 +357,13 @@ class View:
         return at
 
     @staticmethod
-    def _answers(data: dict, level: int, bucket: np.ndarray) -> list[np.ndarray]:
-        """Two arrays over the n-grams, put together from the buckets' answers."""
+    def _answers(data: dict, level: int, bucket: np.ndarray | None) -> list[np.ndarray]:
+        """Two arrays over the n-grams, put together from the buckets' answers.
+
+        Words, whose ``bucket`` is None, lie in the order of the buckets.
+        """
+        if bucket is None:
+            return [np.concatenate(x) for x in zip(*[unpack(data[at]) for at in sorted(data) if at[0] == level])]
         out = None
         for b, at in spread(bucket):
             parts = unpack(data[level, b])
@@ -353,9 +374,6 @@ class View:
 
     def questions(self, level: int) -> list[tuple]:
         """Rows of a level's questions, one for each bucket."""
-        if level == 1:
-            bucket = self.hashes % np.uint64(self.model.buckets)
-            return [(1, b, pack(self.hashes[at], self.counts[at])) for b, at in spread(bucket)]
         return [
             (level, b, pack(rises(self.context[at]), self.last[at], self.often[at], self.low[at]))
             for b, at in spread(self.bucket)
@@ -373,9 +391,9 @@ def _answered(level: int, model: Model):
         asked = [unpack(d) for d in rows["data"]]
         sizes = [len(a[-1]) for a in asked]
         if level == 1:
-            words, counts = (np.concatenate(x) for x in zip(*asked))
+            words, counts = (np.concatenate(x) for x in zip(*[(np.cumsum(a[0], dtype=np.uint64), a[1]) for a in asked]))
             table, number = np.unique(words, return_inverse=True)
-            kept = [table]
+            kept = [rises(table)]
         else:
             context, last, counts, low = (np.concatenate(x) for x in zip(*[(np.cumsum(a[0]), *a[1:]) for a in asked]))
             first, number = distinct(context, last)
@@ -504,15 +522,11 @@ def scored(docs: DataFrame, learn: Column, order: int = ORDER) -> tuple[DataFram
     buckets = max(1, -(-size // (2 * BUCKET_TOKENS)), min(tasks, -(-size // (1 << 17))))
     model, tables, answers = Model(order, buckets), {}, {}
 
-    def first_questions(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for batch, group in frame.groupby("batch"):
-                yield frame_of([(lv, b, batch, data, None) for lv, b, data in View(group, model).questions(1)])
-
-    known = named
+    known = named.where(F.col("level") == CODED)
     for level in range(1, order + 1):
         if level == 1:
-            asked = named.mapInPandas(first_questions, ROWS)
+            words = named.where(F.col("level") == WORDS)
+            asked = words.mapInPandas(lambda frames: word_questions(frames, buckets), ROWS)
         else:
             asked = known.groupBy("batch").applyInPandas(_asked(level, model), ROWS)
         found = stored(asked.groupBy("bucket").applyInPandas(_answered(level, model), ROWS), f"grams{level}")
@@ -565,7 +579,7 @@ def rows_of(table: DataFrame, level: int) -> DataFrame:
                 parts = unpack(data)
                 if level == 1:
                     word, total, ids = parts
-                    context, word = np.zeros(len(word), np.int64), word.view(np.int64)
+                    context, word = np.zeros(len(word), np.int64), np.cumsum(word, dtype=np.uint64).view(np.int64)
                 else:
                     context, word, _, total, ids = parts
                     context = np.cumsum(context)
