@@ -9,6 +9,7 @@ from conftest import rows
 from tillsight.operators import adaptive as ad
 from tillsight.operators.roles import classify
 from tillsight.plans.analysis import analyze, analyze_path
+from tillsight.plans.holding import PLAN
 from tillsight.sources.readers import scan_csv
 from tillsight.sources.reuse import DatasetReuse
 
@@ -48,20 +49,33 @@ def test_no_filter_without_text(spark):
     assert ad.filter_candidates(frame, classify(frame)).count() == 0
 
 
-def test_sketch_never_rules_out_a_column_that_qualifies(spark):
-    """Forty values stay under the limit whatever their hashes are."""
-    limit = ad._largest_estimate(ad.LIMITS.filter_most)
-    frame = spark.range(40 * 300).select(
-        (F.col("id") % 300).alias("draw"),
-        F.concat_ws("-", F.col("id") % 300, F.floor(F.col("id") / 300)).alias("v"),
+def test_filter_columns_are_decided_exactly_in_one_pass(spark):
+    """Values spread over tasks in every way: too many in one task, in all together, or not."""
+    frame = spark.range(6000).repartition(7).select(
+        F.concat(F.lit("a"), F.col("id") % 40).alias("forty"),
+        F.concat(F.lit("a"), F.col("id") % 41).alias("forty_one"),
+        F.when(F.col("id") % 40 > 0, F.concat(F.lit("b"), F.col("id") % 40)).alias("with_null"),
+        F.col("id").cast("string").alias("unique"),
+        F.concat(F.lit("c"), F.spark_partition_id(), F.lit("-"), F.col("id") % 30).alias("few_per_task"),
     )
-    most = (
-        frame.groupBy("draw")
-        .agg(F.approx_count_distinct("v", ad.SKETCH_ERROR).alias("n"))
-        .agg(F.max("n"))
-        .first()[0]
-    )
-    assert most <= limit == 42
+    roles = classify(frame)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("choices", "")
+    try:
+        candidates, values = ad.filter_candidates(frame, roles), ad.filter_values(frame, roles)
+        assert list(tracker.getJobIdsForGroup("choices")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(rows(candidates)) == [(0, "forty", 40), (2, "with_null", 40)]
+    found = rows(values)
+    assert len(found) == 40 + 39
+    assert {v for _, c, v in found if c == "forty"} == {f"a{i}" for i in range(40)}
+    wide = ad.Limits(filter_most=300)
+    assert {r[1] for r in rows(ad.filter_candidates(frame, roles, wide))} == {"forty", "forty_one", "with_null"}
+    handed = ad.column_values(frame, roles).groupBy("column").count().collect()
+    assert {r[0]: r[1] > 40 for r in handed} == {
+        "forty": False, "forty_one": True, "with_null": False, "unique": True, "few_per_task": True,
+    }
 
 
 def online(spark):
@@ -203,6 +217,41 @@ def test_one_pass_equals_single_sections(spark, filters):
         assert rows(analysis.forecast()) == rows(ad.dyn_forecast(single, roles))
 
 
+def test_document_holds_all_sections(spark):
+    frame = online(spark)
+    with analyze(frame, {"Region": "Asia"}, primary="Revenue" if "Revenue" in frame.columns else None) as analysis:
+        found = json.loads(analysis.document().first()["json"])
+        charts = rows(analysis.charts())
+        kpis, insights = rows(analysis.kpis()), rows(analysis.insights())
+        values = rows(analysis.filter_values())
+        preview = analysis.preview().collect()
+    assert list(found) == [
+        "shape", "columns", "filters", "kpis", "charts", "top_items", "forecast", "insights", "preview",
+    ]
+    assert found["columns"]["all"] == frame.columns
+    for chart in found["charts"]:
+        points = sorted(c[3:] for c in charts if c[0] == chart["id"])
+        assert chart["labels"] == [p[1] for p in points]
+        assert chart["values"] == pytest.approx([p[2] for p in points], abs=0.006)
+    assert [c["id"] for c in found["charts"]] == sorted({c[0] for c in charts})
+    assert [k["title"] for k in found["kpis"]] == [k[2] for k in kpis]
+    assert [i["value"] for i in found["insights"]] == [i[2] for i in insights]
+    assert {c["column"]: c["values"] for c in found["filters"]} == {
+        c: [v for _, k, v in values if k == c] for c in dict.fromkeys(v[1] for v in values)
+    }
+    assert [sorted(r) for r in found["preview"]] == [sorted(k for k in r.asDict() if r[k] is not None) for r in preview]
+
+
+def test_document_of_tables_without_some_roles(spark):
+    empty = json.loads(analyze(online(spark), {"Region": "Nowhere"}, hold=PLAN).document().first()["json"])
+    assert empty["shape"]["rows"] == 0 and empty["charts"] == [] and empty["preview"] == []
+    assert empty["forecast"] is None and empty["filters"]
+    texts = spark.createDataFrame([("a", "x"), ("a", "y"), (None, "y")], "k string, `m.n` string")
+    found = json.loads(analyze(texts, hold=PLAN).document().first()["json"])
+    assert found["top_items"] is None and found["forecast"] is None
+    assert found["charts"][0]["values"] == [2, 1] and len(found["preview"]) == 3
+
+
 def test_boosted_trees_as_a_third_candidate(spark):
     with analyze(grocery(spark), boosted=True) as analysis:
         forecast = analysis.forecast().first()

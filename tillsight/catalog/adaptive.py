@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillsight.catalog.registry import SALES, Catalog, table
+from tillsight.catalog.forecast_sql import forecast_ctes
+from tillsight.catalog.registry import SALES, SALES_BODY, Catalog, table
 from tillsight.operators import adaptive as ad
 from tillsight.operators.roles import classify, column_roles
 from tillsight.plans.analysis import analyze
-from tillsight.plans.holding import NOT
+from tillsight.plans.holding import NOT, PLAN
 from tillsight.sources.star import sales_view
 
 CATALOG = Catalog()
@@ -223,3 +224,76 @@ def dyn_preview(spark, root):
 def dyn_preview_any(spark, root):
     texts = table(spark, root, "documents").select("lang", "source")
     return ad.preview(texts, classify(texts))
+
+
+_TREND_SERIES = """
+  SELECT label AS period, CAST(substring(label, 6, 2) AS INTEGER) AS month_num, y
+  FROM (SELECT strftime("Order Date", '%Y-%m') AS label, sum("Sales") AS y FROM sales GROUP BY ALL)
+"""
+
+
+def _chart_sql(number: int, title: str, kind: str, points: str) -> str:
+    return f"""(SELECT {{'id': 'chart_{number}', 'title': '{title}', 'type': '{kind}',
+      'labels': list(label ORDER BY pos), 'values': list(CAST(v AS DECIMAL(38, 2)) ORDER BY pos)}} FROM {points})"""
+
+
+def _choice_sql(column: str) -> str:
+    return f"""{{'column': '{column}', 'values': (SELECT list(v ORDER BY v) FROM (SELECT DISTINCT "{column}" AS v FROM base))}}"""
+
+
+def _ranked_sql(column: str, value: str, limit: int) -> str:
+    return f"""SELECT row_number() OVER (ORDER BY v DESC, label) AS pos, label, v
+  FROM (SELECT "{column}" AS label, {value} AS v FROM sales GROUP BY ALL ORDER BY v DESC, label LIMIT {limit})"""
+
+
+_ANALYSIS_SQL = f"""
+WITH base AS (SELECT "Order Date", "Sales", "Region", "Category", "Segment" FROM ({SALES_BODY})),
+sales AS (SELECT * FROM base WHERE "Category" = 'STANDARD'),
+{forecast_ctes(_TREND_SERIES, [])},
+trend AS (SELECT row_number() OVER (ORDER BY label) AS pos, label, v
+          FROM (SELECT strftime("Order Date", '%Y-%m') AS label, sum("Sales") AS v FROM sales
+                GROUP BY ALL ORDER BY label LIMIT 36)),
+regions AS ({_ranked_sql('Region', 'sum("Sales")', 10)}),
+second AS ({_ranked_sql('Category', 'count(*)', 10)}),
+third AS ({_ranked_sql('Segment', 'count(*)', 8)}),
+ahead AS (SELECT round(forecast, 2) AS value, round(greatest(0.0, least(99.0, r2 * 100)), 1) AS acc,
+                 round(CASE WHEN last_y > 0 THEN (forecast - last_y) / last_y * 100 ELSE 0 END, 1) AS trend
+          FROM points WHERE step = 1),
+often AS (SELECT "Region" AS v, count(*) AS n FROM sales GROUP BY ALL ORDER BY n DESC, v LIMIT 1),
+k AS (SELECT count(*) AS n, sum("Sales") AS s, avg("Sales") AS m, max("Sales") AS p FROM sales),
+best AS (SELECT * FROM sales
+         ORDER BY "Sales" DESC, "Order Date", "Region", "Category", "Segment" LIMIT 10)
+SELECT CAST(to_json({{
+  'shape': {{'rows': n, 'columns': 5, 'shape': format('{{:,}}', n) || ' rows × 5 columns'}},
+  'columns': {{'all': ['Order Date', 'Sales', 'Region', 'Category', 'Segment'], 'numeric': ['Sales'],
+              'categorical': ['Region', 'Category', 'Segment'], 'date': ['Order Date']}},
+  'filters': [{', '.join(map(_choice_sql, ('Region', 'Category', 'Segment')))}],
+  'kpis': [{{'id': 'kpi_0', 'title': 'Total Sales', 'value_text': format('{{:,.2f}}', s),
+            'value': CAST(s AS DECIMAL(38, 2))}}],
+  'charts': [{_chart_sql(0, 'Sales Trend Over Time', 'line', 'trend')},
+             {_chart_sql(1, 'Top Region by Sales', 'bar', 'regions')},
+             {_chart_sql(2, 'Distribution by Category', 'doughnut', 'second')},
+             {_chart_sql(3, 'Distribution by Segment', 'pie', 'third')}],
+  'top_items': (SELECT list({{'rank': pos, 'label': label, 'value_text': format('{{:,.2f}}', v),
+                             'value': CAST(v AS DECIMAL(38, 2)), 'share_pct': share}} ORDER BY pos)
+                FROM (SELECT *, round(v / sum(v) OVER () * 100, 1) AS share FROM regions)),
+  'forecast': (SELECT {{'label': 'Next Period Sales', 'value_text': format('{{:,.2f}}', value),
+                       'trend': CASE WHEN trend >= 0 THEN '+' ELSE '' END || format('{{:.1f}}', trend) || '%',
+                       'trend_class': CASE WHEN trend >= 0 THEN 'up' ELSE 'down' END,
+                       'accuracy': format('{{:.1f}}', acc) || '%'}} FROM ahead),
+  'insights': [{{'title': 'Top Region', 'value': (SELECT v FROM often),
+                'description': 'Highest frequency — ' || (SELECT format('{{:,}}', n) FROM often) || ' records'}},
+               {{'title': 'Avg Sales', 'value': format('{{:,.2f}}', m),
+                'description': 'Dataset average across all records'}},
+               {{'title': 'Peak Sales', 'value': format('{{:,.2f}}', p),
+                'description': 'Maximum single value in dataset'}}],
+  'preview': (SELECT list(b) FROM best b)}}) AS VARCHAR) AS json
+FROM k
+"""
+
+
+@CATALOG.query(_ANALYSIS_SQL)
+def analysis_json(spark, root):
+    """The whole analysis of a filtered table as one document."""
+    asked = analyze(sales_view(spark, root, UPLOAD), {"Category": "STANDARD"}, hold=PLAN)
+    return asked.document()

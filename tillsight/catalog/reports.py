@@ -10,7 +10,7 @@ from tillsight.catalog.registry import SALES, SALES_BODY, Catalog, compact_sql
 from tillsight.operators import breakdowns as bd
 from tillsight.plans import reports
 from tillsight.plans.dashboard import SECTIONS, Dashboard
-from tillsight.plans.holding import NOT, TABLE
+from tillsight.plans.holding import NOT, PLAN
 from tillsight.sources.star import sales_totals, sales_view
 
 CATALOG = Catalog()
@@ -21,19 +21,19 @@ TREND_SECTIONS = (bd.MONTH, bd.CATEGORY, bd.REGION)
 def board(spark, root, sections=SECTIONS) -> Dashboard:
     """The unfiltered dashboard of the star schema, one pass per side.
 
-    Its few cells are written to the shared folder, so nothing stays in memory.
+    All sections of a plan read its few cells from one shuffle; nothing stays in memory.
     """
     orders = ("Region", "Segment", "Month", "month_num", "Order Date", "Sales")
     parts = ("Category", "Product Name", "Sales", "Profit", "orders", "discount_sum", "discount_count")
     cells = bd.cells_by_side(
         sales_totals(spark, root, orders), sales_totals(spark, root, parts), sections
     )
-    return Dashboard(None, sections=sections, cells=cells, hold=TABLE)
+    return Dashboard(None, sections=sections, cells=cells, hold=PLAN)
 
 
 def forecast_board(spark, root) -> Dashboard:
     totals = sales_totals(spark, root, ("Order Date", "Sales"))
-    return Dashboard(totals, sections=(bd.PERIOD,), hold=TABLE)
+    return Dashboard(totals, sections=(bd.PERIOD,), hold=PLAN)
 
 
 def _rounded(frame, *names):
@@ -101,7 +101,7 @@ _FILTERED_BODY = f"""SELECT * FROM ({SALES_BODY})
 
 @CATALOG.query(_dashboard_sql(_FILTERED_BODY))
 def dashboard_filtered_json(spark, root):
-    return Dashboard(sales_view(spark, root), **_ASKED, hold=TABLE).documents()
+    return Dashboard(sales_view(spark, root), **_ASKED, hold=PLAN).documents()
 
 
 @CATALOG.query(
@@ -137,7 +137,7 @@ UNION ALL SELECT 'product', CAST(row_number() OVER (ORDER BY s DESC, label) AS I
 def report_summary(spark, root):
     parts = ("Product Name", "Sales", "Profit", "orders", "discount_sum", "discount_count")
     totals = sales_totals(spark, root, parts)
-    sheet = reports.report_summary(Dashboard(totals, sections=(bd.TOTAL, bd.PRODUCT), hold=TABLE))
+    sheet = reports.report_summary(Dashboard(totals, sections=(bd.TOTAL, bd.PRODUCT), hold=PLAN))
     digits = F.when(F.col("label") == "Average Discount", F.round("value", 4))
     return _rounded(sheet.withColumn("value", digits.otherwise(F.round("value", 2))), "profit")
 

@@ -7,9 +7,11 @@ of them from one pass.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,54 +62,46 @@ PEAK_TITLE, PEAK_TEXT = "Peak {}", "Maximum single value in dataset"
 FORECAST_TITLE = "Next Period {}"
 NULL_LABEL = "None"
 
-# Relative error of the sketches that pre-select filter columns.
-SKETCH_ERROR = 0.05
-
-
 # Filters -----------------------------------------------------------------------------
 
 
-def _largest_estimate(distinct: int) -> int:
-    """Largest estimate that ``approx_count_distinct`` can give for so few values.
+def _few_values(columns: int, most: int):
+    """Distinct values of each column of a task's rows; of more than ``most`` one more than that.
 
-    With this error the sketch has 512 registers, and each value fills at most one. As long
-    as most stay empty the estimate is -512·ln(share of empty ones), which grows with the
-    number filled. So a larger estimate proves that there are more distinct values.
+    A column that has shown too many values is not looked at again.
     """
-    registers = 2 ** math.ceil(2 * math.log2(1.106 / SKETCH_ERROR))
-    return round(registers * math.log(registers / (registers - distinct)))
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[dict] = [{} for _ in range(columns)]
+        for batch in batches:
+            for values, column in zip(found, batch.columns):
+                if len(values) <= most:
+                    values.update(dict.fromkeys(pc.unique(column).slice(0, most + 1).to_pylist()))
+        rows = [(i, value) for i, values in enumerate(found) for value in [*values][: most + 1]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())],
+            ["ordinal", "value"],
+        )
 
-def _narrow(frame: DataFrame, columns: list[str], most: int) -> list[str]:
-    """Columns that a sketch does not prove to have too many values for a filter."""
-    estimates = frame.agg(
-        *[
-            F.approx_count_distinct(named(c), SKETCH_ERROR).alias(f"c{i}")
-            for i, c in enumerate(columns)
-        ]
-    ).first()
-    limit = _largest_estimate(most)
-    return [c for i, c in enumerate(columns) if estimates[f"c{i}"] <= limit]
+    return find
 
 
 def column_values(frame: DataFrame, roles: Roles, limits: Limits = LIMITS) -> DataFrame:
     """Distinct values, null included, of the text columns that may become filters.
 
-    A first pass with a fixed-size sketch per column leaves out the columns that are certain
-    to have too many values; otherwise a nearly unique column would send all its values
-    through the shuffle only to be rejected. What is left is a few dozen values per column.
+    One pass, in which every task hands on at most ``filter_most + 1`` values of a column. A
+    column with no more values than that hands on all of them. One with more is left with more
+    than ``filter_most`` and so is known to be too wide, though not by which values.
     """
     columns = list(roles.categorical[: limits.filter_scan])
-    kept = _narrow(frame, columns, limits.filter_most) if columns else columns
-    if not kept:
+    if not columns:
         return frame.sparkSession.createDataFrame([], "ordinal int, column string, value string")
-    ordinal = F.create_map(
-        *[F.lit(x) for i, c in enumerate(columns) if c in kept for x in (c, i)]
+    texts = [named(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)]
+    few = frame.select(*texts).mapInArrow(
+        _few_values(len(columns), limits.filter_most), "ordinal int, value string"
     )
-    pairs = frame.select(*[named(c) for c in kept]).unpivot(
-        [], [named(c) for c in kept], "column", "value"
-    )
-    return pairs.distinct().select(ordinal[F.col("column")].alias("ordinal"), "column", "value")
+    name = F.array(*[F.lit(c) for c in columns])
+    return few.distinct().select("ordinal", F.get(name, F.col("ordinal")).alias("column"), "value")
 
 
 def _of_candidates(values: DataFrame, limits: Limits) -> DataFrame:
@@ -493,16 +487,19 @@ def dyn_forecast(
     return forecast_of(by_period(frame, roles, raw_text_period), roles, keep, boosted, limit)
 
 
-def preview(frame: DataFrame, roles: Roles, rows: int = LIMITS.preview_rows) -> DataFrame:
-    """The rows with the largest primary number, or the first rows where there is no number.
-
-    Rows are ordered by all other sortable columns too, so the choice is the same on every
-    run.
-    """
+def preview_order(frame: DataFrame, roles: Roles) -> list[Column]:
+    """The primary number, largest first, then all other sortable columns, so that the choice
+    is the same on every run."""
     others = [
         named(f.name).asc()
         for f in frame.schema.fields
         if f.name != roles.primary and not isinstance(f.dataType, (T.MapType, T.VariantType))
     ]
     largest = [] if roles.primary is None else [named(roles.primary).desc()]
-    return frame.orderBy(*largest, *others).limit(rows) if largest or others else frame.limit(rows)
+    return largest + others
+
+
+def preview(frame: DataFrame, roles: Roles, rows: int = LIMITS.preview_rows) -> DataFrame:
+    """The rows with the largest primary number, or the first rows where there is no number."""
+    order = preview_order(frame, roles)
+    return frame.orderBy(*order).limit(rows) if order else frame.limit(rows)

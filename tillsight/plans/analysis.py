@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +24,26 @@ PERIOD, FIRST, SECOND, THIRD = "period", "first", "second", "third"
 MODE, ALL = "mode", "all"
 
 
+_RANK = " rank"
+
+
+def _one(frame: DataFrame) -> DataFrame:
+    """The row of a frame as JSON; null where there is none."""
+    return frame.agg(F.to_json(F.first(F.struct("*"))).alias("json"))
+
+
+def _listed(frame: DataFrame, order: list[str], *entry: str | Column) -> DataFrame:
+    """All rows of a small frame as a JSON list, in order."""
+    rows = F.array_sort(F.collect_list(F.struct(*order, F.struct(*entry).alias("entry"))))
+    return frame.agg(F.to_json(F.transform(rows, lambda row: row["entry"])).alias("json"))
+
+
+def json_sections(sections: Mapping[str, DataFrame]) -> DataFrame:
+    """One row for each section: (section, json)."""
+    parts = [frame.select(F.lit(name).alias("section"), "json") for name, frame in sections.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 class Analysis:
     """Sections of one analysis, each a DataFrame.
 
@@ -197,6 +217,68 @@ class Analysis:
             return None
         return ad.insights_of(groups, self._scalars(), self.roles)
 
+    def document(self) -> DataFrame:
+        """The whole analysis as one nested JSON document: one row, ``json``.
+
+        Every list in it is bounded by ``limits``, except for the choice of unlimited periods.
+        Charts hold ``labels`` and ``values``; absent sections are null or empty lists.
+        """
+        roles = self.roles
+        value = F.col("value").cast("decimal(38,2)").alias("value")
+        charts, top, forecast, insights = self.charts(), self.top_items(), self.forecast(), self.insights()
+        names = F.array(*[F.lit(c) for c in self.base.columns])
+        kinds = [(kind, getattr(roles, kind)) for kind in ("numeric", "categorical", "date")]
+        listed = F.struct(
+            names.alias("all"),
+            *[F.array(*map(F.lit, found)).cast("array<string>").alias(kind) for kind, found in kinds],
+        )
+        sections: dict[str, DataFrame | None] = {
+            "shape": _one(self.shape().select("rows", "columns", "shape")),
+            "columns": _one(self._scalars().select(listed.alias("c")).select("c.*")),
+            "filters": _listed(
+                self.filter_values()
+                .groupBy("ordinal", "column")
+                .agg(F.array_sort(F.collect_list("value")).alias("values")),
+                ["ordinal"],
+                "column",
+                "values",
+            ),
+            "kpis": _listed(self.kpis(), ["pos"], "id", "title", "value_text", value),
+            "charts": charts
+            and _listed(
+                charts.groupBy("chart_id", "title", "type")
+                .agg(F.array_sort(F.collect_list(F.struct("pos", "label", value))).alias("points"))
+                .withColumns({"labels": F.col("points.label"), "values": F.col("points.value")}),
+                ["chart_id"],
+                *(F.col("chart_id").alias("id"), "title", "type", "labels", "values"),
+            ),
+            "top_items": top and _listed(top, ["rank"], "rank", "label", "value_text", value, "share_pct"),
+            "forecast": forecast and _one(forecast.drop("value")),
+            "insights": insights and _listed(insights, ["pos"], "title", "value", "description"),
+            "preview": _listed(*self._ranked_preview(), *map(named, self.base.columns)),
+        }
+        lines = json_sections({k: v for k, v in sections.items() if v is not None})
+        order = list(sections)
+        found = F.map_from_entries(F.collect_list(F.struct("section", "json")))
+        text = F.concat(
+            F.lit("{"),
+            F.concat_ws(
+                ",",
+                *[
+                    F.concat(F.lit(f'"{name}":'), F.coalesce(F.col("found")[name], F.lit("null")))
+                    for name in order
+                ],
+            ),
+            F.lit("}"),
+        )
+        return lines.agg(found.alias("found")).select(text.alias("json"))
+
+    def _ranked_preview(self) -> tuple[DataFrame, list[str]]:
+        preview = self.preview()
+        order = ad.preview_order(preview, self.roles) or [F.lit(0)]
+        rank = F.row_number().over(Window.orderBy(*order))
+        return preview.withColumn(_RANK, rank), [_RANK]
+
     def documents(self) -> DataFrame:
         """The sections as JSON lines: (section, json); absent sections have no lines."""
         sections = {
