@@ -150,3 +150,21 @@ def test_sheets_are_written_apart(spark, sales, tmp_path):
             str(tmp_path / "report"),
         )
     assert spark.read.option("header", True).csv(str(tmp_path / "report" / "summary")).count() == 4 + 5
+
+
+def test_a_report_is_written_as_a_whole(spark, sales, tmp_path):
+    folder = str(tmp_path / "report")
+    with Dashboard(sales) as board:
+        sheets = {"summary": reports.report_summary(board), "trends": reports.report_trends(board)}
+        reports.write_report(sheets, folder)
+        for name, sheet in sheets.items():
+            found = reports.read_sheet(spark, folder, name, sheet.schema)
+            assert sorted(map(str, rows(found))) == sorted(map(str, rows(sheet)))
+        # another report takes its place, and one that fails leaves it
+        reports.write_report({"summary": sheets["summary"]}, folder)
+        assert sorted(p.name for p in tmp_path.glob("report/sheet=*")) == ["sheet=summary"]
+        broken = sheets["trends"].select(F.raise_error(F.lit("broken")).cast("string").alias("x"))
+        with pytest.raises(Exception, match="broken"):
+            reports.write_report({"summary": sheets["summary"], "trends": broken}, folder)
+    assert [p.name for p in tmp_path.iterdir()] == ["report"]
+    assert sorted(p.name for p in tmp_path.glob("report/sheet=*")) == ["sheet=summary"]

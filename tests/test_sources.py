@@ -2,6 +2,8 @@ import os
 import time
 
 import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from conftest import SALES_ROWS, SALES_SCHEMA, day, rows
@@ -9,8 +11,9 @@ from tillsight.functions import dates
 from tillsight.operators.filters import filter_sales
 from tillsight.operators.roles import classify
 from tillsight.sources.readers import scan, scan_csv
+from tillsight.sources.refresh import FileTotals
 from tillsight.sources.reuse import DatasetReuse
-from tillsight.sources.sales import land_sales, read_sales, undated
+from tillsight.sources.sales import land_sales, observed_sales, read_sales, rejects, type_sales, undated
 from tillsight.sources.shared import shared_folder
 from tillsight.sources.star import sales_totals, sales_view
 
@@ -186,3 +189,85 @@ def test_sales_totals_do_not_mix_orders_and_parts(spark):
 
 def test_totals_of_everything_are_one_row(spark):
     assert sales_totals(spark, ROOT, ("Sales", "orders")).count() == 1
+
+
+def raw_sales(spark):
+    rows = [
+        ("1/5/2016", "10.5", "1", "0.1"), ("2/30/2016", "x", "", None), ("", " ", "2", "5%"),
+        (None, None, "n/a", "0"), ("12-31-2016", "1e3", "-4", "0.2"),
+    ]
+    return spark.createDataFrame(rows, "`Order Date` string, Sales string, Profit string, Discount string")
+
+
+WANT = {
+    "rows": 5, "missing_dates": 2, "bad_dates": 1, "undated_rows": 3, "missing_sales": 2, "bad_sales": 1,
+    "missing_profit": 1, "bad_profit": 1, "missing_discount": 1, "bad_discount": 1,
+}
+
+
+def test_rejected_values_are_counted_in_the_pass_that_types_them(spark, tmp_path):
+    raw = raw_sales(spark)
+    assert rejects(raw).first().asDict() == WANT
+    observation = Observation("ingest")
+    typed = observed_sales(raw, observation)
+    spark.sparkContext.setJobGroup("ingest", "")
+    try:
+        typed.write.parquet(str(tmp_path / "typed"))
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("ingest")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert observation.get == WANT and len(jobs) == 1
+    assert spark.read.parquet(str(tmp_path / "typed")).exceptAll(type_sales(raw)).count() == 0
+    assert undated(typed).first()[0] == WANT["undated_rows"]
+    empty = Observation("none")
+    assert observed_sales(raw.where("false"), empty).count() == 0
+    assert set(empty.get.values()) == {0}
+
+
+def totals_of(spark, tmp_path, read):
+    def reader(session, files):
+        read.append(sorted(os.path.basename(f) for f in files))
+        return session.read.option("header", True).schema("k string, v double").csv(files)
+
+    return FileTotals(spark, reader, ["k"], ["v"], str(tmp_path / "kept"))
+
+
+def test_only_changed_files_are_read_again(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    read = []
+    totals = totals_of(spark, tmp_path, read)
+    with pytest.raises(ValueError):
+        totals.totals()
+    write_csv(tmp_path / "in" / "a b.csv", "k,v\nx,1\ny,2\n")
+    write_csv(tmp_path / "in" / "deep" / "b.csv", "k,v\nx,10\n,5\n")
+    assert len(totals.refresh(str(tmp_path / "in"))) == 2
+    assert set(rows(totals.totals())) == {("x", 11.0, 2), ("y", 2.0, 1), (None, 5.0, 1)}
+    assert totals.refresh(str(tmp_path / "in")) == [] and totals.version() == 1
+    # one file changes, one comes, none is read twice
+    write_csv(tmp_path / "in" / "a b.csv", "k,v\nx,100\n")
+    write_csv(tmp_path / "in" / "c.csv", "k,v\nz,7\n")
+    totals.refresh(str(tmp_path / "in"))
+    assert read == [["a b.csv", "b.csv"], ["a b.csv", "c.csv"]]
+    assert set(rows(totals.totals())) == {("x", 110.0, 2), (None, 5.0, 1), ("z", 7.0, 1)}
+    # a file goes: nothing is read
+    os.remove(tmp_path / "in" / "deep" / "b.csv")
+    assert totals.refresh(str(tmp_path / "in")) == [] and totals.version() == 3
+    assert set(rows(totals_of(spark, tmp_path, read).totals())) == {("x", 100.0, 1), ("z", 7.0, 1)}
+    assert len(read) == 2
+
+
+def test_a_failed_refresh_changes_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    write_csv(tmp_path / "in" / "a.csv", "k,v\nx,1\n")
+    totals = totals_of(spark, tmp_path, [])
+    totals.refresh(str(tmp_path / "in"))
+    write_csv(tmp_path / "in" / "b.csv", "k,v\nx,5\n")
+
+    def broken(session, files):
+        return session.read.option("header", True).schema("k string, w double").csv(files)
+
+    with pytest.raises(AnalysisException):
+        FileTotals(spark, broken, ["k"], ["v"], str(tmp_path / "kept")).refresh(str(tmp_path / "in"))
+    assert rows(totals.totals()) == [("x", 1.0, 1)] and totals.version() == 1
+    totals.refresh(str(tmp_path / "in"))
+    assert rows(totals.totals()) == [("x", 6.0, 2)]

@@ -11,7 +11,8 @@ from tillsight.operators import clean
 from tillsight.plans.holding import TABLE, held
 from tillsight.sources.readers import scan_csv
 from tillsight.sources.reuse import DatasetReuse
-from tillsight.sources.sales import type_sales
+from tillsight.sources.refresh import FileTotals
+from tillsight.sources.sales import AMOUNTS, rejects, type_sales
 from tillsight.sources.shared import delete_at_exit, shared_folder
 
 CATALOG = Catalog()
@@ -54,15 +55,18 @@ def scan_csv_table(spark, root):
     return scan_csv(spark, folder, orders.schema)
 
 
-@CATALOG.query(
-    f"""
-WITH raw AS (
+_RAW_SQL = f"""
   SELECT l_orderkey AS "Order ID", {_DATE_TEXT_SQL} AS raw,
          CASE l_returnflag WHEN 'A' THEN 'n/a' ELSE CAST(l_extendedprice AS VARCHAR) END AS "Sales",
          CASE l_linestatus WHEN 'F' THEN '' ELSE CAST(l_tax AS VARCHAR) END AS "Profit",
          CAST(l_discount AS VARCHAR) AS "Discount"
   FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey
-), typed AS (SELECT *, {_PARSED_SQL} AS d FROM raw)
+"""
+
+
+@CATALOG.query(
+    f"""
+WITH raw AS ({_RAW_SQL}), typed AS (SELECT *, {_PARSED_SQL} AS d FROM raw)
 SELECT "Order ID", d AS "Order Date", TRY_CAST("Sales" AS DOUBLE) AS "Sales",
        TRY_CAST("Profit" AS DOUBLE) AS "Profit", TRY_CAST("Discount" AS DOUBLE) AS "Discount",
        strftime(d, '%b') AS "Month", CAST(year(d) AS INTEGER) AS "Year",
@@ -71,10 +75,15 @@ FROM typed
 """
 )
 def sales_ingest(spark, root):
+    return type_sales(_raw_sales(spark, root))
+
+
+def _raw_sales(spark, root):
+    """Order lines with dates and amounts as text, some of them bad or blank."""
     orders = table(spark, root, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), _date_text().alias("Order Date")
     )
-    raw = (
+    return (
         table(spark, root, "lineitem")
         .join(orders, "l_orderkey", "left")
         .select(
@@ -89,7 +98,26 @@ def sales_ingest(spark, root):
             F.col("l_discount").cast("string").alias("Discount"),
         )
     )
-    return type_sales(raw)
+
+
+def _amount_counts_sql(name: str) -> str:
+    return f"""
+       count(*) FILTER ("{name}" IS NULL OR trim("{name}") = '') AS missing_{name.lower()},
+       count(*) FILTER (trim("{name}") <> '' AND TRY_CAST("{name}" AS DOUBLE) IS NULL) AS bad_{name.lower()}"""
+
+
+@CATALOG.query(
+    f"""
+WITH raw AS ({_RAW_SQL}), typed AS (SELECT *, {_PARSED_SQL} AS d FROM raw)
+SELECT count(*) AS rows, count(*) FILTER (raw IS NULL OR trim(raw) = '') AS missing_dates,
+       count(*) FILTER (trim(raw) <> '' AND d IS NULL) AS bad_dates,
+       count(*) FILTER (d IS NULL) AS undated_rows,
+       {", ".join(map(_amount_counts_sql, AMOUNTS))}
+FROM typed
+"""
+)
+def ingest_rejects(spark, root):
+    return rejects(_raw_sales(spark, root))
 
 
 @CATALOG.query(
@@ -179,6 +207,61 @@ def dataset_reuse(spark, root):
     return found
 
 
+@CATALOG.query(
+    """
+SELECT 'customer' AS dataset, count(*) AS rows, false AS kept_after_one, false AS kept_after_all
+FROM customer
+UNION ALL SELECT 'orders', count(*), true, false FROM orders
+"""
+)
+def dataset_release(spark, root):
+    """Two datasets are kept, one is released by its path, then all that is left."""
+    kept = DatasetReuse(spark, lambda session, path: session.read.parquet(path))
+    names = ("customer", "orders")
+    paths = {name: f"{root}/{name}.parquet" for name in names}
+    for name in names:
+        kept.preload(paths[name])
+    frames = {name: kept.load(paths[name]) for name in names}
+    kept.clear(paths["customer"])
+    after_one = {name: frames[name].is_cached for name in names}
+    kept.clear()
+    counts = [
+        frames[name].agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("dataset"),
+            "rows",
+            F.lit(after_one[name]).alias("kept_after_one"),
+            F.lit(frames[name].is_cached).alias("kept_after_all"),
+        )
+        for name in names
+    ]
+    return counts[0].unionByName(counts[1])
+
+
+@CATALOG.query(
+    """
+SELECT o_orderstatus, round(sum(o_totalprice), 2) AS o_totalprice, count(*) AS rows
+FROM (SELECT * FROM orders UNION ALL SELECT * FROM orders WHERE o_orderpriority = '1-URGENT')
+GROUP BY ALL
+"""
+)
+def refresh_by_file(spark, root):
+    """Totals of a folder of orders, refreshed after urgent orders were added to it once more."""
+    orders, landing = table(spark, root, "orders"), shared_folder(spark)
+    delete_at_exit(spark, landing)
+    totals = FileTotals(
+        spark,
+        lambda session, files: session.read.parquet(*files),
+        ["o_orderstatus"],
+        ["o_totalprice"],
+        f"{landing}/totals",
+    )
+    orders.write.parquet(f"{landing}/orders")
+    totals.refresh(f"{landing}/orders")
+    orders.where("o_orderpriority = '1-URGENT'").write.mode("append").parquet(f"{landing}/orders")
+    totals.refresh(f"{landing}/orders")
+    return totals.totals().withColumn("o_totalprice", F.round("o_totalprice", 2))
+
+
 # Cleaning: events whose value or type is missing in a part of the rows, and repeats.
 
 _GAPPY_SQL = """

@@ -11,6 +11,7 @@ from tillsight.operators import breakdowns as bd
 from tillsight.plans import reports
 from tillsight.plans.dashboard import SECTIONS, Dashboard
 from tillsight.plans.holding import NOT, PLAN
+from tillsight.sources.shared import delete_at_exit, shared_folder
 from tillsight.sources.star import sales_totals, sales_view
 
 CATALOG = Catalog()
@@ -118,7 +119,7 @@ def report_trends_filtered(spark, root):
     return _rounded(reports.report_trends(asked), "value")
 
 
-@CATALOG.query(
+_SUMMARY_SQL = (
     SALES
     + """
 , k AS (SELECT round(sum("Sales"), 2) AS s, round(sum("Profit"), 2) AS p, count("Order ID") AS n,
@@ -134,6 +135,9 @@ UNION ALL SELECT 'product', CAST(row_number() OVER (ORDER BY s DESC, label) AS I
                  round(s, 2), round(p, 2) FROM t
 """
 )
+
+
+@CATALOG.query(_SUMMARY_SQL)
 def report_summary(spark, root):
     parts = ("Product Name", "Sales", "Profit", "orders", "discount_sum", "discount_count")
     totals = sales_totals(spark, root, parts)
@@ -142,7 +146,7 @@ def report_summary(spark, root):
     return _rounded(sheet.withColumn("value", digits.otherwise(F.round("value", 2))), "profit")
 
 
-@CATALOG.query(
+_TRENDS_SQL = (
     SALES
     + """
 SELECT 'month' AS block, month_num, "Month" AS label, round(sum("Sales"), 2) AS value
@@ -151,6 +155,9 @@ UNION ALL SELECT 'category', NULL, "Category", round(sum("Sales"), 2) FROM sales
 UNION ALL SELECT 'region', NULL, "Region", round(sum("Sales"), 2) FROM sales GROUP BY ALL
 """
 )
+
+
+@CATALOG.query(_TRENDS_SQL)
 def report_trends(spark, root):
     cells = bd.cells_by_side(
         sales_totals(spark, root, ("Region", "Month", "month_num", "Sales")),
@@ -230,3 +237,24 @@ SELECT line, CAST(pos AS INTEGER) AS pos, label, value, value / 1000 AS thousand
 )
 def forecast_overlay(spark, root):
     return reports.forecast_overlay(forecast_board(spark, root))
+
+
+@CATALOG.query(
+    f"""
+SELECT 'summary' AS sheet, block, label, value FROM ({_SUMMARY_SQL})
+UNION ALL SELECT 'trends', block, label, value FROM ({_TRENDS_SQL})
+"""
+)
+def report_written(spark, root):
+    """Both sheets, written together and read back."""
+    folder = shared_folder(spark)
+    delete_at_exit(spark, folder)
+    sheets = {"summary": report_summary(spark, root), "trends": report_trends(spark, root)}
+    reports.write_report(sheets, folder)
+    parts = [
+        reports.read_sheet(spark, folder, name, sheet.schema).select(
+            F.lit(name).alias("sheet"), "block", "label", "value"
+        )
+        for name, sheet in sheets.items()
+    ]
+    return parts[0].unionByName(parts[1])

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillsight.functions.columns import named, rows_from
 from tillsight.functions.numbers import compact_currency, compact_report, profit_class
 from tillsight.operators import breakdowns as bd
 from tillsight.plans.dashboard import Dashboard
+from tillsight.plans.positions import spread_places
 
 HISTORY_POINTS = 12
+NULLS_KEPT = {"ignoreNullFields": "false"}
 # Names of the key figures in the summary sheet.
 FIGURES = ("Total Sales", "Total Profit", "Total Orders", "Average Discount")
 # Texts of the forecast table by position, and the one for later positions.
@@ -70,20 +76,17 @@ def report_trends(board: Dashboard) -> DataFrame:
 def report_breakdown(board: Dashboard) -> DataFrame:
     """Regions and segments side by side, largest first; the shorter side ends in blanks.
 
-    One select over the cells: the groups of each side are numbered, and a position holds
-    one group of either side. A side has one row for each region or segment.
+    The groups of each side are numbered range by range, and a position holds one group of
+    either side.
     """
-    listed = bd.labelled(board.sections(bd.REGION, bd.SEGMENT))
-    order = Window.partitionBy("section").orderBy(F.desc("total_sales"), F.asc_nulls_last("label"))
-    numbered = listed.select(
-        "section", "label", "total_sales", F.row_number().over(order).cast("long").alias("pos")
-    )
+    listed = bd.labelled(board.sections(bd.REGION, bd.SEGMENT)).select("section", "label", "total_sales")
+    numbered = spread_places(listed, "section", "total_sales", "label")
 
     def side(section: str, value):
         return F.max(F.when(F.col("section") == section, value))
 
     amount = compact_currency(F.col("total_sales"))
-    return numbered.groupBy("pos").agg(
+    return numbered.groupBy(F.col("pos").cast("long").alias("pos")).agg(
         side(bd.REGION, F.col("label")).alias("region"),
         side(bd.REGION, amount).alias("region_sales"),
         side(bd.SEGMENT, F.col("label")).alias("segment"),
@@ -142,8 +145,47 @@ def forecast_overlay(board: Dashboard, points: int = HISTORY_POINTS) -> DataFram
     return lines.withColumn("thousands", F.col("value") / 1000)
 
 
+def sheet_lines(sheets: dict[str, DataFrame]) -> DataFrame:
+    """All sheets as (sheet, value): a JSON line for each row of a sheet."""
+    parts = [
+        frame.select(F.lit(name).alias("sheet"), F.to_json(F.struct("*"), NULLS_KEPT).alias("value"))
+        for name, frame in sheets.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def write_report(sheets: dict[str, DataFrame], folder: str) -> None:
+    """All sheets in one write: a folder of JSON lines for each under ``sheet=…``.
+
+    The write goes to a folder of its own beside the target, which takes the target's name
+    when everything is written. A report that fails leaves the target as it was: absent, or
+    the report before.
+    """
+    lines = sheet_lines(sheets)
+    spark, target = lines.sparkSession, folder.rstrip("/")
+    staged = f"{target}.staged-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        lines.write.partitionBy("sheet").text(staged)
+        before = path(f"{staged}-before")
+        if files.exists(path(target)) and not files.rename(path(target), before):
+            raise OSError(f"{target} can't be replaced")
+        if not files.rename(path(staged), path(target)):
+            files.rename(before, path(target))
+            raise OSError(f"{target} can't be written")
+        files.delete(before, True)
+    finally:
+        files.delete(path(staged), True)
+
+
+def read_sheet(spark: SparkSession, folder: str, name: str, schema: T.StructType | str) -> DataFrame:
+    """One sheet of a written report."""
+    return spark.read.schema(schema).json(f"{folder.rstrip('/')}/sheet={name}")
+
+
 def write_sheets(sheets: dict[str, DataFrame], folder: str, form: str = "csv") -> None:
-    """One folder per sheet; CSV sheets carry a header."""
+    """One folder per sheet, written one after the other; CSV sheets carry a header."""
     for name, sheet in sheets.items():
         writer = sheet.write.mode("errorifexists").format(form)
         if form == "csv":

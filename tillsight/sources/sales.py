@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tillsight.functions import dates
@@ -31,6 +31,45 @@ def type_sales(raw: DataFrame) -> DataFrame:
     )
 
 
+def _rejects(raw: DataFrame) -> list[Column]:
+    """Counts over raw rows: all, and those with text that is no date or no number.
+
+    Blank and missing values are counted apart; both are null in the typed table. Rows without
+    a date are those that month series leave out.
+    """
+    day = named(ORDER_DATE)
+    typed = dates.to_order_date(day, raw.schema[ORDER_DATE].dataType)
+
+    def blank(value: Column) -> Column:
+        return value.isNull() | (F.trim(value.cast("string")) == "")
+
+    counts = [
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(blank(day)).alias("missing_dates"),
+        F.count_if(~blank(day) & typed.isNull()).alias("bad_dates"),
+        F.count_if(typed.isNull()).alias("undated_rows"),
+    ]
+    for name in AMOUNTS:
+        value = named(name)
+        bad = ~blank(value) & value.try_cast("double").isNull()
+        counts.append(F.count_if(blank(value)).alias(f"missing_{name.lower()}"))
+        counts.append(F.count_if(bad).alias(f"bad_{name.lower()}"))
+    return counts
+
+
+def rejects(raw: DataFrame) -> DataFrame:
+    """One row of counts: what typing a raw sales table makes null, and how much was missing."""
+    return raw.agg(*_rejects(raw))
+
+
+def observed_sales(raw: DataFrame, observation: Observation) -> DataFrame:
+    """The typed sales table, whose first action also counts what :func:`rejects` counts.
+
+    The counts are in ``observation.get`` after that action; the rows are not read once more.
+    """
+    return type_sales(raw.observe(observation, *_rejects(raw)))
+
+
 def read_sales(spark: SparkSession, path: str, schema=None, infer: bool = False) -> DataFrame:
     """CSV sales file, typed.
 
