@@ -55,19 +55,48 @@ def test_segments_do_not_show(monkeypatch):
     assert np.allclose(net.pooled(data), whole, atol=1e-5)
 
 
+def plain_margin(net, data):
+    """The network byte pair by byte pair: responses, halves, overlapping chunks, pools."""
+    half, reach = quality.HALF, 2 * quality.TAPS
+    size = max(half, -(-len(data) // half) * half)
+    codes = np.frombuffer(data.ljust(size + reach - 2, b"\0"), np.uint8)
+    kernel = net.filters.reshape(2 * quality.DIM, quality.TAPS, quality.FILTERS)
+    found = np.zeros((size // 2, quality.FILTERS))
+    for i in range(size // 2):
+        total = net.bias.astype("f8").copy()
+        for k in range(quality.TAPS):
+            pair = net.embed[codes[2 * (i + k) : 2 * (i + k) + 2]].ravel()
+            total += pair.astype("f8") @ kernel[:, k]
+        found[i] = total
+    halves = [found[i : i + half // 2].max(axis=0) for i in range(0, size // 2, half // 2)]
+    chunks = [np.maximum(a, b) for a, b in zip(halves, halves[1:])] or halves
+    chunks = np.maximum(chunks, 0)
+    return float(np.concatenate([chunks.mean(axis=0), chunks.max(axis=0)]) @ net.out + net.shift)
+
+
+def test_scores_equal_the_network_written_out(spark):
+    texts = [None, "", "a", "é" * 100, "some words " * 30, "x#" * 700, "long text, many chunks. " * 120]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)], "doc_id long, quality int")
+    net = quality.train(docs, labels)
+    for r in quality.classify(docs, labels).collect():
+        want = plain_margin(net, (texts[r.doc_id] or "").encode())
+        assert r.score == pytest.approx(quality.sigmoid(want), abs=1e-4)
+
+
 def test_gradients_are_those_of_the_loss():
     rng, net = np.random.default_rng(2), quality.Network.start(3)
-    codes = rng.integers(0, 256, (5, 2 * quality.HALF), dtype=np.uint8)
-    first, y, w = np.array([0, 2]), np.array([1.0, 0.0], "f4"), np.array([1.0, 2.0], "f4")
-    gradient = quality._gradients(net, codes, first, y, w)
+    docs = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (700, 1500, 90)]
+    y, w = np.array([1.0, 0.0, 1.0], "f4"), np.array([1.0, 2.0, 0.5], "f4")
+    gradient = quality._gradients(net, docs, y, w)
 
     def loss():
-        tops = np.maximum(net.responses(codes).max(axis=1), 0)
-        both = np.stack([np.concatenate([tops[a:b].mean(0), tops[a:b].max(0)]) for a, b in ((0, 2), (2, 5))])
-        p = quality.sigmoid((both @ net.out + net.shift).astype("f8"))
+        p = quality.sigmoid(np.array([net.margin(d) for d in docs], "f8"))
         return -float((w * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / w.sum())
 
-    for name, at in (("filters", (3, 7)), ("out", (4,)), ("out", (25,)), ("bias", (2,)), ("filters", (9, 41))):
+    for name, at in (
+        ("filters", (3, 7)), ("out", (4,)), ("out", (25,)), ("bias", (2,)), ("filters", (9, 41)), ("embed", (65, 2)),
+    ):
         value, step = getattr(net, name), 2e-2
         value[at] += step
         up = loss()
@@ -77,6 +106,43 @@ def test_gradients_are_those_of_the_loss():
         assert gradient[name][at] == pytest.approx((up - down) / (2 * step), abs=2e-3)
 
 
+def test_gradients_do_not_depend_on_slices(monkeypatch):
+    net, data = quality.Network.start(), [bytes(range(256)) * 9, b"short"]
+    y, w = np.array([1.0, 0.0], "f4"), np.ones(2, "f4")
+    whole = quality._gradients(net, data, y, w)
+    monkeypatch.setattr(quality, "SLICE", 2)
+    monkeypatch.setattr(quality, "SEGMENT", 512)
+    for name, value in quality._gradients(net, data, y, w).items():
+        assert np.allclose(value, whole[name], atol=1e-5)
+
+
+def test_long_documents_are_learned_whole(spark):
+    """What tells good from bad stands anywhere in texts of up to 25,000 letters."""
+
+    def text(i):
+        words = [f"word{(i * 7 + k * k) % 90}" for k in range(60 if i % 4 else 3500)]
+        if i % 3 == 0:
+            at = (i * 37) % (len(words) - 20)
+            words[at : at + 20] = ["###" + w for w in words[at : at + 20]]
+        return " ".join(words)
+
+    data = [(i, text(i), int(i % 3 > 0)) for i in range(500)]
+    marked = spark.createDataFrame(data, SCHEMA)
+    found = quality.classify(marked.select("doc_id", "text"), marked.select("doc_id", "quality")).collect()
+    for long in (False, True):
+        held = [r for r in found if r.held_out and (r.doc_id % 4 == 0) == long]
+        right = sum(r.predicted == int(r.doc_id % 3 > 0) for r in held)
+        assert len(held) > 15 and right >= 0.9 * len(held), (long, right, len(held))
+
+
+def test_one_text_of_each_id(spark):
+    rows_ = [(i, text_of(i)) for i in range(60)] + [(4, None)] + [(4, f"zz {k}") for k in range(300)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    sample = spark.createDataFrame([(i, i % 2, 1.0) for i in range(10)], "doc_id long, y int, weight double")
+    found = {r.doc_id: r.text for r in quality.sampled_texts(docs, sample).collect()}
+    assert found == {i: text_of(i) for i in range(10)}
+
+
 def test_edges(edges, nothing, no_labels):
     found = quality.classify(edges, no_labels)
     assert found.count() == edges.count() and all(0 <= r[2] <= 1 for r in rows(found))

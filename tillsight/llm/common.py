@@ -58,11 +58,21 @@ def label_sample(
     picked = None
     for y in (0, 1):
         rows = usable.where(F.col("y") == y)
-        total = rows.agg(F.count(F.lit(1)).alias("total"))
+        total = rows.agg(F.count(F.lit(1))).scalar()
         few = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        size = F.least(F.col("total"), F.lit(most))
-        part = few.join(total, F.lit(True)).select(
-            "doc_id", "y", (F.col("total") / size).alias("weight")
-        )
+        part = few.select("doc_id", "y", (total / F.least(total, F.lit(most))).alias("weight"))
         picked = part if picked is None else picked.unionByName(part)
     return picked
+
+
+def sampled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """``doc_id, y, weight, text`` of the sampled ids that are in ``docs``, a row for each id.
+
+    Of rows that share an id, the smallest text; a null one only if there is no other.
+    """
+    return (
+        docs.select("doc_id", "text")
+        .join(F.broadcast(sample), "doc_id")
+        .groupBy("doc_id")
+        .agg(F.first("y").alias("y"), F.first("weight").alias("weight"), F.min("text").alias("text"))
+    )

@@ -2,7 +2,8 @@
 
 Bytes become short learned vectors; filters of six bytes, moved by two, run over the whole
 document. Their largest responses are taken per chunk of 512 bytes, chunks overlapping by
-half; the mean and the maximum over all chunks go into one logistic unit.
+half; the mean and the maximum over all chunks go into one logistic unit. Documents are
+fitted on as they are scored: whole, by all their chunks.
 """
 
 from __future__ import annotations
@@ -15,14 +16,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import label_sample, remainder
+from tillsight.llm.common import label_sample, remainder, sampled_texts
 
 DIM, FILTERS, TAPS = 5, 20, 3
 HALF = 256
 #: Bytes looked at in one go; bounds the memory for long documents.
 SEGMENT = 1 << 16
-#: Documents of each class, and chunks of each document, that the network is fitted on.
-SAMPLE_DOCS, SAMPLE_CHUNKS = 1000, 6
+#: Documents of each class that the network is fitted on.
+SAMPLE_DOCS = 1000
+#: Chunks whose gradients are summed together.
+SLICE = 4096
 THRESHOLD = 0.7
 
 
@@ -55,19 +58,32 @@ class Network:
             total += taps[..., k : k + n, k * FILTERS : (k + 1) * FILTERS]
         return total
 
-    def pooled(self, data: bytes) -> np.ndarray:
-        """Largest responses, at least 0, in each overlapping chunk of a whole document."""
+    def peaks(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Largest responses in each overlapping chunk of a whole document.
+
+        Returns them, the first byte of the window that gave each, and the padded bytes.
+        """
         reach = 2 * TAPS
         codes = np.frombuffer(data, np.uint8)
         size = max(HALF, -(-len(codes) // HALF) * HALF) + reach - 2
         codes = np.concatenate([codes, np.zeros(size - len(codes), np.uint8)])
-        halves = []
+        tops, places = [], []
         for at in range(0, size - reach + 2, SEGMENT):
             part = codes[at : min(at + SEGMENT, size - reach + 2) + reach - 2]
-            found = self.responses(part)
-            halves.append(found.reshape(-1, HALF // 2, FILTERS).max(axis=1))
-        tops = np.maximum(np.concatenate(halves), 0)
-        return np.maximum(tops[1:], tops[:-1]) if len(tops) > 1 else tops
+            found = self.responses(part).reshape(-1, HALF // 2, FILTERS)
+            best = found.argmax(axis=1)
+            tops.append(np.take_along_axis(found, best[:, None], 1)[:, 0])
+            places.append(at + HALF * np.arange(len(best))[:, None] + 2 * best)
+        top, place = np.concatenate(tops), np.concatenate(places)
+        if len(top) > 1:
+            later = top[1:] > top[:-1]
+            top = np.where(later, top[1:], top[:-1])
+            place = np.where(later, place[1:], place[:-1])
+        return top, place, codes
+
+    def pooled(self, data: bytes) -> np.ndarray:
+        """Largest responses, at least 0, in each overlapping chunk of a whole document."""
+        return np.maximum(self.peaks(data)[0], 0)
 
     def margin(self, data: bytes) -> float:
         chunks = self.pooled(data)
@@ -79,38 +95,44 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _gradients(net: Network, codes, first, y, weight):
-    """Loss gradients of a batch; ``first[d]`` is the first chunk of document ``d``."""
-    found = net.responses(codes)
-    at = found.argmax(axis=1)
-    raw = np.take_along_axis(found, at[:, None], 1)[:, 0]
-    tops = np.maximum(raw, 0)
-    number = np.diff(np.append(first, len(codes)))
-    owner = np.repeat(np.arange(len(first)), number)
-    mean = np.add.reduceat(tops, first) / number[:, None]
-    most = np.maximum.reduceat(tops, first)
-    both = np.concatenate([mean, most], axis=1)
+def _gradients(net: Network, docs: list[bytes], y, weight) -> dict[str, np.ndarray]:
+    """Loss gradients of a batch of whole documents."""
+    raw, seen, both, shares = [], [], [], []
+    for data in docs:
+        top, place, codes = net.peaks(data)
+        tops = np.maximum(top, 0)
+        most = tops.max(axis=0)
+        winner = tops == most
+        raw.append(top)
+        seen.append(codes[place[..., None] + np.arange(2 * TAPS)])
+        both.append(np.concatenate([tops.mean(axis=0), most]))
+        shares.append(winner / winner.sum(axis=0))
+    number = np.array([len(top) for top in raw])
+    owner = np.repeat(np.arange(len(docs)), number)
+    both = np.stack(both)
     error = ((sigmoid(both @ net.out + net.shift) - y) * weight / weight.sum()).astype("f4")
     back = error[:, None] * net.out
-    winner = tops == most[owner]
-    share = winner / np.maximum(np.add.reduceat(winner, first), 1)[owner]
-    pool = back[owner, :FILTERS] / number[owner, None] + back[owner, FILTERS:] * share
-    pool = (pool * (raw > 0)).astype("f4")
-    reach = 2 * TAPS
-    seen = codes[np.arange(len(codes))[:, None, None], 2 * at[..., None] + np.arange(reach)]
-    vectors = net.embed[seen].reshape(len(codes), FILTERS, TAPS, 2 * DIM)
-    filters = np.einsum("bf,bfkd->dkf", pool, vectors).reshape(2 * DIM, TAPS * FILTERS)
-    toward = np.einsum("bf,dkf->bfkd", pool, net.filters.reshape(2 * DIM, TAPS, FILTERS))
+    pool = back[owner, :FILTERS] / number[owner, None] + back[owner, FILTERS:] * np.concatenate(shares)
+    pool = (pool * (np.concatenate(raw) > 0)).astype("f4")
+    seen = np.concatenate(seen)
+    filters = np.zeros((2 * DIM, TAPS, FILTERS), "f4")
     embed = np.zeros_like(net.embed)
-    np.add.at(embed, seen.ravel(), toward.reshape(-1, DIM))
+    kernels = net.filters.reshape(2 * DIM, TAPS, FILTERS)
+    for at in range(0, len(seen), SLICE):
+        part, of = seen[at : at + SLICE], pool[at : at + SLICE]
+        vectors = net.embed[part].reshape(len(part), FILTERS, TAPS, 2 * DIM)
+        filters += np.einsum("bf,bfkd->dkf", of, vectors)
+        toward = np.einsum("bf,dkf->bfkd", of, kernels).reshape(-1, DIM)
+        for d in range(DIM):
+            embed[:, d] += np.bincount(part.ravel(), toward[:, d], 256).astype("f4")
     return {
-        "embed": embed, "filters": filters, "bias": pool.sum(axis=0),
+        "embed": embed, "filters": filters.reshape(2 * DIM, TAPS * FILTERS), "bias": pool.sum(axis=0),
         "out": both.T @ error, "shift": error.sum(),
     }
 
 
-def fit(docs: list[np.ndarray], y, weight, epochs: int = 10, batch: int = 32, seed: int = 7):
-    """A network fitted by Adam; each document is an array of chunks by ``2 * HALF`` bytes."""
+def fit(docs: list[bytes], y, weight, epochs: int = 10, batch: int = 32, seed: int = 7) -> Network:
+    """A network fitted by Adam to whole documents."""
     net, rng = Network.start(seed), np.random.default_rng(seed)
     names = ("embed", "filters", "bias", "out", "shift")
     slow = {k: np.zeros_like(np.asarray(getattr(net, k), "f4")) for k in names}
@@ -121,11 +143,7 @@ def fit(docs: list[np.ndarray], y, weight, epochs: int = 10, batch: int = 32, se
         order = rng.permutation(len(docs))
         for at in range(0, len(order), batch):
             pick, step = order[at : at + batch], step + 1
-            chunks = [docs[i] for i in pick]
-            first = np.cumsum([0, *map(len, chunks[:-1])])
-            for k, g in _gradients(
-                net, np.concatenate(chunks), first, y[pick], weight[pick]
-            ).items():
+            for k, g in _gradients(net, [docs[i] for i in pick], y[pick], weight[pick]).items():
                 slow[k] = 0.9 * slow[k] + 0.1 * g
                 spread[k] = 0.999 * spread[k] + 0.001 * g * g
                 move = slow[k] / (1 - 0.9**step)
@@ -135,45 +153,23 @@ def fit(docs: list[np.ndarray], y, weight, epochs: int = 10, batch: int = 32, se
     return net
 
 
-def _chunks(text: str | None, most: int) -> bytes:
-    """Up to ``most`` evenly spaced chunks of a text, end to end, the last one padded."""
-    data = (text or "").encode("utf-8", "replace")
-    size = 2 * HALF
-    total = max(1, -(-len(data) // size))
-    picked = sorted({int(i) for i in np.linspace(0, total - 1, min(most, total))})
-    return b"".join(data[i * size : (i + 1) * size].ljust(size, b"\0") for i in picked)
-
-
 def train(
     docs: DataFrame,
     labels: DataFrame,
     most: int = SAMPLE_DOCS,
-    chunks: int = SAMPLE_CHUNKS,
     divisor: int = 4,
     held_out: int = 2,
 ) -> Network:
-    """Fit on a bounded sample: ``most`` documents of each class, ``chunks`` chunks of each.
+    """Fit on a bounded sample: ``most`` whole documents of each class.
 
-    Only rows outside the held-out fold are used. Without any label the network gives the
-    score of its start.
+    Only rows outside the held-out fold are used; of rows with one id, the smallest text. The
+    driver gets the sampled texts. Without any label the network gives the score of its start.
     """
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["data"] = [_chunks(t, chunks) for t in batch.pop("text")]
-            yield batch
-
     sample = label_sample(labels, "quality", divisor, held_out, most)
-    rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(sample), "doc_id")
-        .select("doc_id", "y", "weight", "text")
-        .mapInPandas(cut, "doc_id long, y int, weight double, data binary")
-        .collect()
-    )
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.data)))
-    arrays = [np.frombuffer(bytes(r.data), np.uint8).reshape(-1, 2 * HALF) for r in rows]
-    return fit(arrays, [r.y for r in rows], [r.weight for r in rows])
+    rows = sampled_texts(docs, sample).collect()
+    rows.sort(key=lambda r: r.doc_id)
+    texts = [(r.text or "").encode("utf-8", "replace") for r in rows]
+    return fit(texts, [r.y for r in rows], [r.weight for r in rows])
 
 
 def score(text: Column, net: Network) -> Column:
@@ -203,6 +199,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the network accepts, with all their columns."""
+    """The rows of ``docs`` that the network accepts, with all their columns.
+
+    Null and empty texts are scored as empty ones and stay or go by that score; repeated rows
+    stay or go together.
+    """
     net = train(docs, labels)
     return docs.where(score(docs["text"], net) >= threshold)
