@@ -9,17 +9,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import label_sample, remainder, stored
+from tillsight.llm.common import label_sample, remainder, sampled_texts, stored
 from tillsight.llm.near_dedup import BANDS, HASHES, shingle_hashes, signature
 
-#: Documents of each class in the labelled sample, words learned from it, and its folds.
-SAMPLE_DOCS, LEARNED_WORDS, FOLDS = 3000, 5000, 4
+#: Documents of each class in the labelled sample, and its folds.
+SAMPLE_DOCS, FOLDS = 3000, 4
+#: A learned word stands in so many toxic texts, and its log odds are above this.
+LEAST_TEXTS, LEAST_ODDS = 3, 2.3
 THRESHOLD = 0.5
 #: Share of MinHash values in which near copies agree.
 ALIKE = 0.8
@@ -242,13 +245,14 @@ def fit(words: dict[str, float], x, y, weight, fold) -> Model:
 
 
 def word_lists(
-    sample: DataFrame, folds: int = FOLDS, most: int = LEARNED_WORDS
+    sample: DataFrame, folds: int = FOLDS
 ) -> tuple[dict[str, float], list[dict[str, float]]]:
     """Words of toxic documents by log odds: from all folds, and without each fold.
 
     ``sample`` has ``text``, ``y``, ``fold`` and ``head``, which is equal for copies: of these,
-    the one of the smallest ``doc_id``, where there are ids, counts, so copies prove nothing. A word must stand in at least three toxic texts and ten times
-    as often as in others. The driver gets at most ``most`` words.
+    the one of the smallest ``doc_id``, where there are ids, counts, so copies prove nothing. A
+    word must stand in at least three toxic texts and ten times as often as in others. The
+    driver gets all words of which that holds with or without one of the folds, and no more.
     """
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     order = [F.col(name) for name in ("doc_id", "text") if name in sample.columns]
@@ -259,27 +263,34 @@ def word_lists(
         return F.sum(((F.col("y") == y) & (F.col("fold") == k)).cast("int")).alias(f"n{y}_{k}")
 
     total = once.agg(*[F.coalesce(counted(y, k), F.lit(0)).alias(f"n{y}_{k}") for y, k in each]).first()
-    bad = sum(F.col(f"n1_{k}") for k in range(folds))
-    good = sum(F.col(f"n0_{k}") for k in range(folds))
+    choices: list[int | None] = [None, *range(folds)]
+
+    def seen(n, y: int, left_out: int | None):
+        return sum(n(f"n{y}_{k}") for k in range(folds) if k != left_out)
+
+    def odds(n, left_out: int | None, log):
+        of = [max(1, seen(total.__getitem__, y, left_out)) for y in (0, 1)]
+        share = [(seen(n, y, left_out) + 0.5) / (of[y] + 1) for y in (0, 1)]
+        return log(share[1] / share[0])
+
+    telling = [
+        (seen(F.col, 1, k) >= LEAST_TEXTS) & (odds(F.col, k, F.log) > LEAST_ODDS) for k in choices
+    ]
     rows = (
         once.select("y", "fold", F.explode(words).alias("word"))
         .groupBy("word")
         .agg(*[counted(y, k) for y, k in each])
-        .where(bad >= 3)
-        .orderBy((F.log((bad + 0.5) / (good + 0.5)) * bad).desc(), "word")
-        .limit(most)
+        .where(reduce(Column.__or__, telling))
+        .orderBy("word")
         .collect()
     )
 
     def listed(left_out: int | None) -> dict[str, float]:
-        seen = [k for k in range(folds) if k != left_out]
-        of = [max(1, sum(total[f"n{y}_{k}"] for k in seen)) for y in (0, 1)]
         found = dict.fromkeys(INSULTS, 3.0)
         for r in rows:
-            n = [sum(r[f"n{y}_{k}"] for k in seen) for y in (0, 1)]
-            odds = float(np.log((n[1] + 0.5) / (of[1] + 1) / ((n[0] + 0.5) / (of[0] + 1))))
-            if n[1] >= 3 and odds > 2.3:
-                found[r["word"]] = odds
+            weight = float(odds(r.__getitem__, left_out, np.log))
+            if seen(r.__getitem__, 1, left_out) >= LEAST_TEXTS and weight > LEAST_ODDS:
+                found[r["word"]] = weight
         return found
 
     return listed(None), [listed(k) for k in range(folds)]
@@ -344,11 +355,13 @@ def train(
 ) -> Model:
     """Fit on at most ``most`` labelled documents of each class outside the held-out fold.
 
+    Of rows with one id the smallest text counts.
+
     Each training document is measured with the word list of the other folds, so the list does
     not look better to the trees than it is on new documents.
     """
     sample = label_sample(labels, "toxic", divisor, held_out, most)
-    joined = grouped(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
+    joined = grouped(sampled_texts(docs, sample))
     words, others = word_lists(joined)
 
     @F.pandas_udf("array<double>")
@@ -391,6 +404,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    """The rows of ``docs`` that score below the threshold, with all their columns.
+
+    Null and empty texts are scored as empty ones; repeated rows stay or go together.
+    """
     model = train(docs, labels)
     return docs.where(score(docs["text"], model) < threshold)
