@@ -37,7 +37,7 @@ def test_ids_of_words_are_those_of_the_whole_text(tokenizer):
 
 
 def test_forgetting_words_changes_nothing(tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "WORDS_KEPT", 3)
+    monkeypatch.setattr(packing, "BYTES_KEPT", 800)
     encoder = packing.WordIds(packing.vocabulary())
     for text in ("one two three four five", "Five, four three", "one two"):
         want = tokenizer.encode(text, add_special_tokens=False).ids

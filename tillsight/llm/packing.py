@@ -36,8 +36,10 @@ MERGE = 16
 SLACK = 0.002
 #: The share is doubled when a round leaves more than this share of its pieces to the next.
 FALLS = 0.7
-#: Words whose ids a worker remembers; beyond, it starts anew.
-WORDS_KEPT = 800_000
+#: Bytes of what a worker remembers of words and their parts, about; beyond, it starts anew.
+BYTES_KEPT = 32 << 20
+#: Bytes of an entry besides its letters and ids: two objects and a place in a dictionary.
+ENTRY_BYTES = 200
 
 LOG = logging.getLogger(__name__)
 
@@ -72,6 +74,7 @@ class WordIds:
         self.special = re.compile("|".join([*added, r"[\x1c-\x1f]"]))
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.size = 0
 
     def get(self, text: str) -> bytes:
         if self.special.search(text):
@@ -82,10 +85,8 @@ class WordIds:
         except KeyError:
             self._learn(words)
             found = b"".join(map(self.words.__getitem__, words))
-        if len(self.words) > WORDS_KEPT:
-            self.words = {}
-        if len(self.parts) > WORDS_KEPT:
-            self.parts = {}
+        if self.size > BYTES_KEPT:
+            self.words, self.parts, self.size = {}, {}, 0
         return found
 
     @staticmethod
@@ -101,19 +102,22 @@ class WordIds:
         wanted = dict.fromkeys(p for parts in split.values() for p in parts)
         wanted = [p for p in wanted if p not in self.parts]
         for part, coded in zip(wanted, self.part.encode_batch_fast(wanted, add_special_tokens=False)):
-            self.parts[part] = self._bytes(coded.ids)
+            self.parts[part] = found = self._bytes(coded.ids)
+            self.size += ENTRY_BYTES + len(part) + len(found)
         for word, parts in split.items():
-            self.words[word] = b"".join([self.parts[p] for p in parts])
+            self.words[word] = found = b"".join([self.parts[p] for p in parts])
+            self.size += ENTRY_BYTES + len(word) + len(found)
         others = [w for w in new if w not in split]
         for word, coded in zip(others, self.whole.encode_batch_fast(others, add_special_tokens=False)):
-            self.words[word] = self._bytes(coded.ids)
+            self.words[word] = found = self._bytes(coded.ids)
+            self.size += ENTRY_BYTES + len(word) + len(found)
 
 
 _ENCODERS: dict[str, WordIds] = {}
 
 
 def encoder(path: str) -> WordIds:
-    """The encoder of this worker process; it keeps what it learned between tasks."""
+    """The encoder of this worker process; it keeps some of what it learned between tasks."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordIds(path)
     return _ENCODERS[path]
