@@ -21,8 +21,8 @@ from tillsight.llm.common import remainder
 DIM, ORDER = 512, 3
 #: Documents of each language that its profile is made of.
 SAMPLE_DOCS = 400
-#: N-gram vectors a worker remembers; others are made when needed.
-GRAMS_KEPT = 40_000
+#: N-gram vectors a worker remembers, 20 MB; others are made when needed.
+GRAMS_KEPT = 10_000
 UNKNOWN = "und"
 
 
@@ -113,22 +113,48 @@ class Profiles:
         return self.names[best], float(min(1.0, max(0.0, near[best])))
 
 
+def _order() -> Column:
+    return F.struct(F.xxhash64("doc_id").alias("hash"), F.col("doc_id").alias("doc_id"))
+
+
+def last_picked(ids: DataFrame, most: int) -> DataFrame:
+    """For each ``lang`` the ``most``-th of its ids by hash, or the last one: ``lang, bound``.
+
+    The ids of a language are counted by the first sixteen bits of the hash; only those up to
+    the bits that reach ``most`` are put in order.
+    """
+    bits = F.shiftright(F.xxhash64("doc_id"), 48)
+    upto = Window.partitionBy("lang").orderBy("bits")
+    reached = (
+        ids.groupBy("lang", bits.alias("bits"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("upto", F.sum("n").over(upto))
+        .groupBy("lang")
+        .agg(
+            F.coalesce(F.min(F.when(F.col("upto") >= most, F.col("bits"))), F.max("bits")).alias("edge")
+        )
+    )
+    first = Window.partitionBy("lang").orderBy(_order())
+    return (
+        ids.join(reached, "lang")
+        .where(bits <= F.col("edge"))
+        .withColumn("rank", F.row_number().over(first))
+        .where(F.col("rank") <= most)
+        .groupBy("lang")
+        .agg(F.max(_order()).alias("bound"))
+    )
+
+
 def train(docs: DataFrame, most: int = SAMPLE_DOCS, divisor: int = 5, held_out: int = 0) -> Profiles:
     """Profiles from at most ``most`` documents of each language outside the held-out fold.
 
     The pick is by hash of the id. Partial sums are made by the tasks; the driver gets one
     vector for each language.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = (
-        docs.select("doc_id", "lang")
-        .where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-        .where(remainder(F.col("doc_id"), divisor) != held_out)
-        .distinct()
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= most)
-        .drop("rank")
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(
+        remainder(F.col("doc_id"), divisor) != held_out
     )
+    bounds = last_picked(usable.select("doc_id", "lang").distinct(), most)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -141,8 +167,10 @@ def train(docs: DataFrame, most: int = SAMPLE_DOCS, divisor: int = 5, held_out:
         )
 
     rows = (
-        docs.select("doc_id", "lang", "text")
-        .join(F.broadcast(picked), ["doc_id", "lang"])
+        usable.select("doc_id", "lang", "text")
+        .join(bounds, "lang")
+        .where(_order() <= F.col("bound"))
+        .select("lang", "text")
         .mapInPandas(sums, "lang string, i int, v double")
         .groupBy("lang", "i")
         .agg(F.sum(F.col("v").cast("decimal(20,9)")).cast("double").alias("v"))
