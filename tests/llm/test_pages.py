@@ -119,3 +119,70 @@ def test_fixed_boxes_inside_the_article_are_template(spark):
     assert "Great offers" in pages.main_text(story(1), frozenset())
     template = frozenset(pages.templates(frame).first().template)
     assert pages.main_text(f"<html><body><article>{fixed}</article>", template) == "Great offers\nOnly today\nOrder"
+
+
+def test_hints_inside_the_article_need_the_template(spark):
+    """A name with a listed word among others decides only if the element recurs on the host."""
+    advert = "<div class='promo-teaser-7'><p>Offer {0} of today</p></div>"
+
+    def story(i):
+        own = "<div id='search-history'><p>How search began.</p></div>" if i == 3 else ""
+        return page(i, f"<article><h1>Story {i}</h1><p>Text {i}.</p>{own}{advert.format(i)}</article>")
+
+    data = [(i, "http://h.example.org/x", story(i)) for i in range(8)]
+    frame = spark.createDataFrame(data, SCHEMA)
+    found = {r.page_id: r.text for r in pages.extract(frame).collect()}
+    more = {3: "\nHow search began."}
+    assert found == {i: f"Story {i}\nText {i}.{more.get(i, '')}" for i in range(8)}
+    # Without a template the adverts would stay.
+    assert pages.main_text(story(1), frozenset()) == "Story 1\nText 1.\nOffer 1 of today"
+
+
+def test_names_that_say_nothing_else_decide_alone():
+    def text(body):
+        return pages.main_text(f"<article><p>Story</p>{body}</article>", frozenset())
+
+    assert text("<p class='advert'>Buy now</p>") == "Story"
+    assert text("<div class='comment-list'><p>Me too</p></div>") == "Story"
+    assert text("<section id='comments'>Me too</section>") == "Story"
+    assert text("<div id='search-history'>Real text</div>") == "Story\nReal text"
+    assert text("<p id='notice'>N</p><h2 id='search'>S</h2>") == "Story\nN\nS"
+    assert text("<math><mi>x</mi><mo>=</mo><mn>2</mn></math>") == "Story\nx=2"
+
+
+def test_articles_within_an_article_are_comments():
+    comments = "".join(f"<article{c}><p>Me {i}</p></article>" for i, c in enumerate([" class='comment'", ""]))
+    assert pages.main_text(f"<article><h1>Story</h1><p>Told</p>{comments}</article>", frozenset()) == "Story\nTold"
+    boxed = f"<article><p>Told</p><section>{comments}</section><p>End</p></article>"
+    assert pages.main_text(boxed, frozenset()) == "Told\nEnd"
+    # Where nothing else is in it, they are what the page is about.
+    assert pages.main_text("<article><article>One</article><article>Two</article></article>", frozenset()) == "One\nTwo"
+
+
+def plain_template(markup, support=pages.SUPPORT, size=pages.CLASS_SIZE):
+    """Valid classes by whole occurrence vectors over the distinct pages of one host."""
+    contents = sorted(set(markup))
+    counts = [pages.page_tokens(m) for m in contents]
+    vectors = {t: tuple(c.get(t, 0) for c in counts) for c in counts for t in c}
+    least = max(2, min(pages.LEAST, len(contents)))
+    classes = {}
+    for token, vector in vectors.items():
+        on = sum(n > 0 for n in vector)
+        if on >= least and on >= support * len(contents):
+            classes.setdefault(vector, []).append(token)
+    return sorted(t for members in classes.values() if len(members) >= size for t in members)
+
+
+def test_templates_and_texts_equal_whole_vectors(spark):
+    """The query on a given table against templates by brute force, host by host."""
+    table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    hosts = {}
+    for r in table.select("page_id", "html", pages.host_of(table.url).alias("host")).collect():
+        hosts.setdefault(r.host, []).append(r)
+    learned = {r.host: r.template for r in pages.templates(table).collect()}
+    found = {r.page_id: r.text for r in pages.extract(table).collect()}
+    for host, group in hosts.items():
+        template = plain_template([r.html for r in group])
+        assert learned.get(host, []) == template
+        for r in group:
+            assert found[r.page_id] == pages.main_text(r.html, frozenset(template))

@@ -5,9 +5,14 @@ that leads to it. Over the pages of a host, a token has an occurrence vector: ho
 stands on each page. Tokens with equal vectors form a class; classes that are large and occur
 on many pages are valid. Valid classes nest by the paths of their tokens, and together they
 are the template of the host. What is left of a page lies in slots: each run of text belongs to
-the innermost template element around it. Slots of the article are its main text, without
-boxes in it that hold nothing but text of the template; in pages without an article element,
-slots outside of menus, adverts and the like that are not mostly links.
+the innermost template element around it.
+
+The slots of the article are its main text. Inside it the template decides what goes: boxes that
+hold nothing but text of the template, and elements that are of the template and whose names
+have a word for menus, adverts or comments among others. Names decide alone
+only where they say nothing else; articles within an article are comments on it. In pages without
+an article element, slots outside of menus, adverts and the like that are not mostly links are
+the main text.
 
 An occurrence vector is kept as an order-free checksum over pages, so a host may have any
 number of pages, and what reaches the shuffle is one row for each token, host and task.
@@ -35,7 +40,7 @@ LEAST = 3
 
 # Names of elements and of their classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select".split())
+RAW = frozenset("script style noscript template textarea title iframe svg object select".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main "
@@ -52,6 +57,11 @@ ASIDE_NAMES = frozenset(
     "recommendations share sharing social pagination pager widget widgets toolbar search".split()
 )
 HEADER_NAMES = frozenset("header topbar".split())
+#: Words that say nothing of what an element holds.
+SHAPE_NAMES = frozenset(
+    "area block body bottom box container inner item items left list outer panel right section slot "
+    "top unit wrap wrapper zone".split()
+)
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 MAIN_TAGS = frozenset("article main".split())
 #: A start of one of these ends an open element of the same group.
@@ -65,22 +75,32 @@ NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _aside(tag: str, attributes: str, in_main: bool) -> bool:
-    """Whether the name or role of an element says that it holds what is not main text."""
+def _aside(tag: str, attributes: str, in_main: bool) -> tuple[bool, str]:
+    """Whether the name or role of an element says that it holds what is not main text.
+
+    Inside an article a name does so that has no other words but for shapes, an id only on a box. Otherwise
+    the names with a listed word are returned, which say so if the element is of the template.
+    """
     if tag == "form":
-        return True
-    if "=" not in attributes or tag in ("html", "body", "article", "main") or in_main and tag not in BOXES:
-        return False
+        return True, ""
+    if "=" not in attributes or tag in ("html", "body") or not in_main and tag in MAIN_TAGS:
+        return False, ""
+    hints = []
     for name, *values in NAMED.findall(attributes):
-        value = next(filter(None, values), "")
-        if name.lower() == "role":
+        name, value = name.lower(), next(filter(None, values), "")
+        if name == "role":
             if value.strip().lower() in ASIDE_ROLES:
-                return True
+                return True, ""
             continue
-        words = {w.lower() for w in PARTS.findall(value)}
-        if words & ASIDE_NAMES or not in_main and words & HEADER_NAMES:
-            return True
-    return False
+        for part in value.split():
+            words = {w.lower() for w in PARTS.findall(part)}
+            if not in_main and words & (ASIDE_NAMES | HEADER_NAMES):
+                return True, ""
+            if words & ASIDE_NAMES and words <= ASIDE_NAMES | SHAPE_NAMES and (name == "class" or tag in BOXES):
+                return True, ""
+            if words & ASIDE_NAMES:
+                hints.append(f"{name}={part}")
+    return False, " ".join(sorted(hints))
 
 
 @dataclass
@@ -88,7 +108,8 @@ class Run:
     """A run of text: its path, block number, and the elements around it.
 
     ``main`` is the innermost main element, ``outside`` and ``inside`` count the elements around
-    and within it that are not main text by their names; ``boxes`` numbers the boxes within it.
+    and within it that are not main text by their names; ``boxes`` numbers the boxes within it,
+    and ``hinted`` the elements there whose names are a hint.
     """
 
     path: str
@@ -100,19 +121,23 @@ class Run:
     outside: int
     inside: int
     boxes: tuple[int, ...]
+    hinted: tuple[int, ...]
 
 
-def parse(page: str | None) -> tuple[list[str], list[Run]]:
+def parse(page: str | None) -> tuple[list[str], list[Run], list[int]]:
     """Tag paths in order of opening, and runs of text with character references decoded.
 
+    The numbers of elements in articles whose names are a hint come last.
+
     Elements may be left open; comments, scripts, styles and other raw elements are passed
     over. A page that breaks off inside a tag ends before it.
     """
     page = page or ""
     paths: list[str] = []
     runs: list[Run] = []
-    stack: list[tuple[str, str, str, bool, bool, int, int, tuple[int, ...]]] = [
-        ("", "", "", False, False, 0, 0, ())
+    hints: list[int] = []
+    stack: list[tuple[str, str, str, bool, bool, int, int, tuple[int, ...], tuple[int, ...]]] = [
+        ("", "", "", False, False, 0, 0, (), ())
     ]
     block = at = 0
 
@@ -126,7 +151,7 @@ def parse(page: str | None) -> tuple[list[str], list[Run]]:
         mark = MARK.search(page, at)
         if not mark:
             text(page[at:])
-            return paths, runs
+            return paths, runs, hints
         text(page[at : mark.start()])
         start = mark.start()
         if page.startswith("<!--", start):
@@ -141,7 +166,7 @@ def parse(page: str | None) -> tuple[list[str], list[Run]]:
         closing, tag, attributes = found.group(1), found.group(2).lower(), found.group(3)
         at = found.end()
         if page[at - 1] != ">":
-            return paths, runs
+            return paths, runs, hints
         if tag in BLOCKS:
             block += 1
         elif tag == "br" and runs and runs[-1].block == block:
@@ -173,19 +198,23 @@ def parse(page: str | None) -> tuple[list[str], list[Run]]:
                     break
                 if stack[depth][0] in ("ul", "ol", "dl", "table", "select"):
                     break
-        _, path, main, aside, link, outside, inside, boxes = stack[-1]
+        _, path, main, aside, link, outside, inside, boxes, hinted = stack[-1]
         path = f"{path}/{tag}"
         paths.append(path)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
         aside = aside or tag in ASIDE_TAGS or tag == "header" and not main
-        inside += _aside(tag, attributes, bool(main))
-        if tag in MAIN_TAGS and not aside:
-            main = "article" if main == "article" else tag
-            outside, inside, boxes = outside + inside, 0, ()
-        elif main and tag in BOXES:
+        named, hint = _aside(tag, attributes, bool(main))
+        inside += named
+        if hint:
+            hints.append(number("hint", path, hint))
+            hinted = (*hinted, hints[-1])
+        if tag in MAIN_TAGS and not aside and main != "article":
+            main, outside, inside, boxes, hinted = tag, outside + inside, 0, (), ()
+        elif main and tag in BOXES or tag == "article" and not aside:
+            inside += tag == "article"
             boxes = (*boxes, len(paths))
-        stack.append((tag, path, main, aside, link or tag == "a", outside, inside, boxes))
+        stack.append((tag, path, main, aside, link or tag == "a", outside, inside, boxes, hinted))
 
 
 def number(kind: str, path: str, text: str = "") -> int:
@@ -199,7 +228,9 @@ def squeezed(text: str) -> str:
 def page_tokens(page: str | None) -> dict[int, int]:
     """How often each token stands on a page."""
     counts: dict[int, int] = {}
-    paths, runs = parse(page)
+    paths, runs, hints = parse(page)
+    for key in hints:
+        counts[key] = counts.get(key, 0) + 1
     for path in paths:
         key = number("tag", path)
         counts[key] = counts.get(key, 0) + 1
@@ -293,20 +324,18 @@ def main_text(page: str | None, template: frozenset[int]) -> str:
     """The slots of a page that are main text, a line for each block.
 
     Text of the template is dropped outside of the article. Inside, a box goes if all its text
-    is of the template, as with fixed adverts and notices; text of the template that stands
-    beside what varies is kept, and so is an article that would lose all its text.
+    is of the template, as with fixed adverts and notices, and an element if its name hints at it
+    and it is of the template. Text of the template that stands beside what varies is kept, and so
+    is an article that would lose all its text.
     """
-    _, runs = parse(page)
+    _, runs, _ = parse(page)
     runs = [run for run in runs if not run.aside]
     if any(run.main for run in runs):
         kept = _main_runs(runs)
-        varied = {
-            box
-            for r in kept
-            if r.boxes and number("text", r.path, squeezed(r.text)) not in template
-            for box in r.boxes
-        }
+        token = {id(r): number("text", r.path, squeezed(r.text)) for r in kept}
+        varied = {box for r in kept if r.boxes and token[id(r)] not in template for box in r.boxes}
         kept = [r for r in kept if varied.issuperset(r.boxes)] or kept
+        kept = [r for r in kept if template.isdisjoint(r.hinted)] or kept
     else:
         inside = min((run.inside for run in runs), default=0)
         runs = [run for run in runs if run.inside == inside]
