@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillsight.functions.columns import named
 from tillsight.llm.common import stored
 from tillsight.llm.graph import components
 
@@ -360,10 +361,23 @@ def near_duplicates(
 def keep_one(
     docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, miss: float = MISS
 ) -> DataFrame:
-    """One document of each component, with all columns; of repeated rows with one id, one."""
+    """One document of each component, with all columns.
+
+    Of repeated rows with one id, that of the smallest text stays, and of equal texts the first
+    by the other columns as JSON. Null and empty texts are alike to nothing and stay, and so do
+    rows without an id.
+    """
     kept = near_duplicates(docs, words, threshold, miss).where("kept AND doc_id IS NOT NULL")
     kept = kept.select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    others = [named(c) for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.struct("text", *([F.to_json(F.struct(*others))] if others else []))
+    first = (
+        docs.join(kept, "doc_id", "left_semi")
+        .select(F.col("doc_id").alias("of"), F.struct("*").alias("row"), order.alias("order"))
+        .groupBy("of")
+        .agg(F.min_by("row", "order").alias("row"))
+        .select("row.*")
+    )
     return first.unionByName(docs.where("doc_id IS NULL"))
 
 
