@@ -9,6 +9,7 @@ share of the block is verified, so every block of every size gives its own neare
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 NEAREST = 5
 #: Vectors of an index block, and queries that meet it in one task.
 BLOCK, QUERY_BLOCK = 8192, 8192
+#: Queries of a block whose windows grow together.
+GROUP = 128
 #: Vectors from which the first window is fitted.
 SAMPLE = 2000
 
@@ -41,33 +44,45 @@ class Search:
         return np.concatenate(sets, axis=1)[:, : self.directions].astype(np.float32)
 
 
-def candidates(index: np.ndarray, queries: np.ndarray, search: Search, width: float, least: int):
+def candidates(
+    index: np.ndarray, queries: np.ndarray, search: Search, width: float, least: int
+) -> Iterator[np.ndarray]:
     """For each query, the numbers of the vectors of the block that collide often enough.
 
     ``index`` and ``queries`` are projections, a row for each vector. ``least`` is how many
-    vectors must reach the collision threshold before a query stops.
+    vectors must reach the collision threshold before a query stops. All queries of a group grow
+    their windows by the same steps, so the ends of the windows are found for all at once.
     """
     n, m = index.shape
     order = np.argsort(index, axis=0, kind="stable").T.copy()
     ranked = np.take_along_axis(index.T, order, axis=1)
     needed = max(1, int(np.ceil(search.collide * m)))
     least = min(least, n)
-    for q in queries:
-        counts = np.zeros(n, np.int64)
-        low = high = np.array([np.searchsorted(row, v) for row, v in zip(ranked, q)])
+    for at in range(0, len(queries), GROUP):
+        group = queries[at : at + GROUP].T
+        counts = np.zeros((group.shape[1], n), np.int32)
+        found: list[np.ndarray | None] = [None] * len(counts)
+        open_ = np.arange(len(counts))
+        low = high = _ends(ranked, group, "left")
         half = width
-        while True:
-            new_low = np.array([np.searchsorted(row, v) for row, v in zip(ranked, q - half)])
-            new_high = np.array([np.searchsorted(row, v, "right") for row, v in zip(ranked, q + half)])
-            ring = [order[i, new_low[i] : low[i]] for i in range(m)]
-            ring += [order[i, high[i] : new_high[i]] for i in range(m)]
-            counts += np.bincount(np.concatenate(ring), minlength=n)
-            low, high = new_low, new_high
-            found = np.flatnonzero(counts >= needed)
-            if len(found) >= least or (low == 0).all() and (high == n).all():
-                yield found
-                break
+        while len(open_):
+            new_low = _ends(ranked, group[:, open_] - half, "left")
+            new_high = _ends(ranked, group[:, open_] + half, "right")
+            for j, q in enumerate(open_):
+                ring = [order[i, new_low[i, j] : low[i, j]] for i in range(m)]
+                ring += [order[i, high[i, j] : new_high[i, j]] for i in range(m)]
+                counts[q] += np.bincount(np.concatenate(ring), minlength=n)
+            enough = (counts[open_] >= needed).sum(axis=1) >= least
+            done = enough | (new_low == 0).all(axis=0) & (new_high == n).all(axis=0)
+            for q in open_[done]:
+                found[q] = np.flatnonzero(counts[q] >= needed)
+            open_, low, high = open_[~done], new_low[:, ~done], new_high[:, ~done]
             half *= search.grow
+        yield from found
+
+
+def _ends(ranked: np.ndarray, places: np.ndarray, side: str) -> np.ndarray:
+    return np.stack([np.searchsorted(row, at, side) for row, at in zip(ranked, places)])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
