@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NEAREST = 5
-#: Vectors of an index block, and queries that meet it in one task.
-BLOCK, QUERY_BLOCK = 8192, 8192
+#: Vectors of an index block, or eight times as many where there would be more blocks than this.
+BLOCK, BLOCKS = 8192, 64
+#: Queries that meet a block in one task.
+QUERY_BLOCK = 1 << 16
 #: Queries of a block whose windows grow together.
 GROUP = 128
 #: Vectors from which the first window is fitted.
@@ -140,7 +142,9 @@ def nearest(
     units, asked = usable(vectors), usable(queries)
     sizes = units.groupBy("dim").count().collect()
     widths = first_width(units, search)
-    blocks = max([1, *(-(-r["count"] // BLOCK) for r in sizes)])
+    # Every block meets all queries, so of many vectors the blocks are larger.
+    most = max([1, *(r["count"] for r in sizes)])
+    blocks = -(-most // min(max(BLOCK, -(-most // BLOCKS)), 8 * BLOCK))
     parts = max(1, -(-asked.count() // QUERY_BLOCK))
     left = units.select(
         "vec_id", "dim", "values",
