@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,26 @@ from tillsight.sources.shared import delete_at_exit, shared_folder
 GAP = r"[\x20\x09-\x0D]+"
 
 
+_WORKING: list[str] = []
+
+
+def working(operator: str, forget: Callable[[], object] | None = None) -> None:
+    """Tell that a task of ``operator`` runs in this Python worker.
+
+    Spark uses its workers again, also for other stages. What an operator remembers between
+    tasks, and drops by ``forget``, goes when a task of another one begins.
+    """
+    if _WORKING != [operator]:
+        while _FORGET:
+            _FORGET.pop()()
+        _WORKING[:] = [operator]
+        if forget is not None:
+            _FORGET.append(forget)
+
+
+_FORGET: list[Callable[[], object]] = []
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 

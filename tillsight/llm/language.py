@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import remainder
+from tillsight.llm.common import remainder, working
 
 DIM, ORDER = 512, 3
 #: Documents of each language that its profile is made of.
@@ -68,6 +68,9 @@ class Vectors:
     """N-gram vectors, remembered up to a number of them."""
 
     def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
         self.known = np.empty(0, np.uint64)
         self.rows = np.empty((0, DIM), np.float32)
 
@@ -92,6 +95,11 @@ class Vectors:
 _VECTORS = Vectors()
 
 
+def forget() -> None:
+    """Drop the vectors of this worker."""
+    _VECTORS.forget()
+
+
 def text_vector(text: str | None) -> np.ndarray:
     """The vector of a text, of length one; zero without letters."""
     total = _VECTORS.total(*grams(text))
@@ -157,6 +165,7 @@ def train(docs: DataFrame, most: int = SAMPLE_DOCS, divisor: int = 5, held_out:
     bounds = last_picked(usable.select("doc_id", "lang").distinct(), most)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working("language", forget)
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"]):
@@ -190,6 +199,7 @@ def predicted(text: Column, profiles: Profiles) -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        working("language", forget)
         for batch in texts:
             rows = [profiles.predict(t) for t in batch]
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])

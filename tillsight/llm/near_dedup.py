@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillsight.functions.columns import named
-from tillsight.llm.common import stored
+from tillsight.llm.common import stored, working
 from tillsight.llm.graph import components
 
 BANDS, ROWS = 32, 5
@@ -114,6 +114,7 @@ def sketched(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id, n, key1, key2, signature``: size and identity of each set, and its MinHash."""
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working("near_dedup")
         for batch in batches:
             n, one, two, signatures = [], [], [], []
             for text in batch["text"]:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import stored
+from tillsight.llm.common import stored, working
 
 CAPACITY = 4096
 END_ID = 1
@@ -36,10 +36,11 @@ MERGE = 16
 SLACK = 0.002
 #: The share is doubled when a round leaves more than this share of its pieces to the next.
 FALLS = 0.7
-#: Bytes of what a worker remembers of words and their parts, about; beyond, it starts anew.
-BYTES_KEPT = 32 << 20
-#: Bytes of an entry besides its letters and ids: two objects and a place in a dictionary.
-ENTRY_BYTES = 200
+#: Bytes of what a worker remembers of words and their parts while documents are packed; beyond,
+#: it starts anew.
+BYTES_KEPT = 128 << 20
+#: Bytes of an entry besides its letters: two objects, ids, and a place in a dictionary.
+ENTRY_BYTES = 220
 
 LOG = logging.getLogger(__name__)
 
@@ -68,6 +69,7 @@ class WordIds:
         self.part = Tokenizer.from_file(path)
         self.part.normalizer = normalizers.Sequence([])
         self.part.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.line = re.compile(f"{self.simple.pattern}| ")
         # Texts with these are encoded whole: special tokens, and characters that Python takes
         # for white space and the tokenizer does not.
         added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
@@ -98,19 +100,26 @@ class WordIds:
 
     def _learn(self, words: list[str]) -> None:
         new = [w for w in dict.fromkeys(words) if w not in self.words]
-        split = {w: self.simple.findall(w.lower()) for w in new if self.plain.fullmatch(w)}
-        wanted = dict.fromkeys(p for parts in split.values() for p in parts)
-        wanted = [p for p in wanted if p not in self.parts]
+        line, others = " ".join(new), []
+        if not self.plain.fullmatch(line):
+            others = [w for w in new if not self.plain.fullmatch(w)]
+            odd = set(others)
+            new = [w for w in new if w not in odd]
+            line = " ".join(new)
+        # The parts of all words at once; blanks stand between words.
+        split = self.line.findall(line.lower())
+        wanted = [p for p in dict.fromkeys(split) if p not in self.parts]
         for part, coded in zip(wanted, self.part.encode_batch_fast(wanted, add_special_tokens=False)):
-            self.parts[part] = found = self._bytes(coded.ids)
-            self.size += ENTRY_BYTES + len(part) + len(found)
-        for word, parts in split.items():
-            self.words[word] = found = b"".join([self.parts[p] for p in parts])
-            self.size += ENTRY_BYTES + len(word) + len(found)
-        others = [w for w in new if w not in split]
+            self.parts[part] = self._bytes(coded.ids)
+        ids, at = list(map(self.parts.__getitem__, split)), 0
+        ends = [i for i, part in enumerate(split) if part == " "]
+        for word, end in zip(new, [*ends, len(split)]):
+            self.words[word] = ids[at] if end == at + 1 else b"".join(ids[at:end])
+            at = end + 1
         for word, coded in zip(others, self.whole.encode_batch_fast(others, add_special_tokens=False)):
-            self.words[word] = found = self._bytes(coded.ids)
-            self.size += ENTRY_BYTES + len(word) + len(found)
+            self.words[word] = self._bytes(coded.ids)
+        letters = sum(map(len, wanted)) + len(line) + sum(map(len, others))
+        self.size += ENTRY_BYTES * (len(wanted) + len(new) + len(others)) + letters
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -123,6 +132,11 @@ def encoder(path: str) -> WordIds:
     return _ENCODERS[path]
 
 
+def forget() -> None:
+    """Drop the encoders of this worker. Tasks refer to it by name, as they do to the encoders."""
+    _ENCODERS.clear()
+
+
 def vocabulary() -> str:
     """Default tokenizer file, looked up where the task runs."""
     import public_tokenizers
@@ -144,6 +158,7 @@ def tokenized(
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        working("packing", forget)
         ids = encoder(path or vocabulary())
         for batch in batches:
             rows = [

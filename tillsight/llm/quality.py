@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import label_sample, remainder, sampled_texts
+from tillsight.llm.common import label_sample, remainder, sampled_texts, working
 
 DIM, FILTERS, TAPS = 5, 20, 3
 HALF = 256
@@ -177,6 +177,7 @@ def score(text: Column, net: Network) -> Column:
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        working("quality")
         for batch in batches:
             margins = [net.margin((t or "").encode("utf-8", "replace")) for t in batch]
             yield pd.Series(sigmoid(np.array(margins, "f8")))

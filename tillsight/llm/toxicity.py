@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import label_sample, remainder, sampled_texts, stored
+from tillsight.llm.common import label_sample, remainder, sampled_texts, stored, working
 from tillsight.llm.near_dedup import BANDS, HASHES, shingle_hashes, signature
 
 #: Documents of each class in the labelled sample, and its folds.
@@ -383,6 +383,7 @@ def score(text: Column, model: Model) -> Column:
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        working("toxicity")
         for batch in batches:
             yield pd.Series(model.scores(batch), dtype="f8")
 
