@@ -70,15 +70,6 @@ def test_round_trip_and_number_of_sequences(spark, tokenizer):
     assert check(tokenizer, data, found) == -(-total // packing.CAPACITY)
 
 
-def test_groups_exchange_what_leaves_gaps(spark, tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "GROUP_PIECES", 30)
-    monkeypatch.setattr(packing, "MERGE", 4)
-    data = [(i, prose(i, 3 + 17 * i % 300)) for i in range(400)]
-    found = packing.pack(spark.createDataFrame(data, "doc_id long, text string").repartition(4), capacity=1000).collect()
-    total = sum(r.length for r in found)
-    assert check(tokenizer, data, found, 1000) <= -(-total // 1000) * 1.08
-
-
 def test_best_fit_takes_the_tightest_room():
     bins, offsets = packing.best_fit(np.array([6, 5, 4, 3, 2]), 10)
     assert bins.tolist() == [0, 1, 0, 1, 1] and offsets.tolist() == [0, 0, 6, 5, 8]
