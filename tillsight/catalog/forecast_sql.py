@@ -153,3 +153,104 @@ SELECT {k}n, CASE WHEN n = 1 THEN 'fallback' ELSE model END AS model,
        CASE WHEN trend >= 0 THEN 'up' ELSE 'down' END AS trend_class
 FROM nexts
 """
+
+
+def boosted_ctes(keys: list[str]) -> str:
+    """CTEs after those of :func:`forecast_ctes`, which must be recursive: ``boosted``.
+
+    A step of the recursion is one level of all trees, or their leaves: every month is ranked by
+    each feature within its node, sums over the ranks give the gain of each split, and the best
+    split of a node sends its months on.
+    """
+    k = "".join(f'"{key}", ' for key in keys)
+    g = "concat_ws('|', " + "".join(f"coalesce(CAST(\"{key}\" AS VARCHAR), '?'), " for key in keys) + "fold)"
+    both = "".join(f'a."{key}" IS NOT DISTINCT FROM b."{key}" AND ' for key in keys)
+    ka = "".join(f'a."{key}", ' for key in keys)
+    best = "".join(
+        f", max(CASE WHEN f = {f} THEN best END) OVER node AS g{f}"
+        f", max(CASE WHEN f = {f} THEN cut END) OVER node AS c{f}"
+        for f in range(3)
+    )
+    return f"""
+, pts AS (
+  SELECT {k}{g} AS g, fold, size, n, t, first AS m, y, CAST(t AS DOUBLE) AS x0, s AS x1, c AS x2
+  FROM fold_rows WHERE n > 1
+  UNION ALL
+  SELECT {k}{g}, fold, n, n, n - 1 + step, n, NULL, n - 1 + step,
+         sin(future_month * 2 * pi() / 12.0), cos(future_month * 2 * pi() / 12.0)
+  FROM (SELECT *, 0 AS fold FROM steps) WHERE n > 1
+),
+grow AS (
+  SELECT 0 AS step, g, t, m, y, x0, x1, x2, 0 AS node, avg(y) FILTER (t < m) OVER (PARTITION BY g) AS p,
+         1e-24 * sum(y * y) FILTER (t < m) OVER (PARTITION BY g) AS least
+  FROM pts
+  UNION ALL
+  SELECT step + 1, g, t, m, y, x0, x1, x2,
+         CASE WHEN step % 4 = 3 THEN 0
+              WHEN g2 > b1 + 1e-9 * abs(b1) THEN 2 * node + CAST(x2 > c2 AS INTEGER)
+              WHEN g1 > b0 + 1e-9 * abs(b0) THEN 2 * node + CAST(x1 > c1 AS INTEGER)
+              WHEN g0 > least + 1e-9 * abs(least) THEN 2 * node + CAST(x0 > c0 AS INTEGER)
+              ELSE 2 * node END,
+         CASE WHEN step % 4 = 3 THEN p + 0.08::DOUBLE * leaf ELSE p END, least
+  FROM (
+    SELECT *, CASE WHEN g1 > b0 + 1e-9 * abs(b0) THEN g1 ELSE b0 END AS b1
+    FROM (
+      SELECT *, CASE WHEN g0 > least + 1e-9 * abs(least) THEN g0 ELSE least END AS b0
+      FROM (
+        SELECT *{best}
+        FROM (
+          SELECT *, min(CASE WHEN gain = best THEN (v + later) / 2 END) OVER (PARTITION BY g, node, f) AS cut
+          FROM (
+            SELECT *, max(gain) OVER (PARTITION BY g, node, f) AS best
+            FROM (
+              SELECT *, CASE WHEN seen AND later > v + 1e-7 THEN
+                          ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) - ts * ts / tn END AS gain
+              FROM (
+                SELECT *, count(*) FILTER (seen) OVER upto AS ln, sum(rest) FILTER (seen) OVER upto AS ls,
+                       count(*) FILTER (seen) OVER every AS tn, sum(rest) FILTER (seen) OVER every AS ts,
+                       coalesce(avg(rest) FILTER (seen) OVER every, 0) AS leaf,
+                       min(v) FILTER (seen) OVER onward AS later
+                FROM (
+                  SELECT *, unnest([0, 1, 2]) AS f, unnest([x0, x1, x2]) AS v
+                  FROM (
+                    SELECT *, y - p AS rest, t < m AND rank() OVER (
+                             PARTITION BY g ORDER BY t >= m, (t + 1) * ((42 * 7919 + (step // 4 + 1) * 104729) % 1000003)
+                                                     % 1000003) <= greatest(1, floor(0.9::DOUBLE * m)) AS seen
+                    FROM grow WHERE step < 140))
+                WINDOW upto AS (PARTITION BY g, node, f ORDER BY v, t ROWS UNBOUNDED PRECEDING),
+                       every AS (PARTITION BY g, node, f),
+                       onward AS (PARTITION BY g, node, f ORDER BY v, t
+                                  ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)))))
+        WINDOW node AS (PARTITION BY g, node)))) WHERE f = 0
+),
+grown AS (
+  SELECT a.*, b.p FROM pts a JOIN grow b ON a.g = b.g AND a.t = b.t AND b.step = 140
+),
+boosted_fits AS (
+  SELECT {k}fold, CASE WHEN var_pop(y) > 1e-20 * avg(y) * avg(y)
+              THEN 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))
+              WHEN sum((y - p) * (y - p)) <= 1e-20 * count(*) * avg(y) * avg(y) THEN 1.0
+              ELSE 0.0 END AS r2
+  FROM grown WHERE t < n AND (fold = 0 OR t >= m AND t < m + size) GROUP BY ALL
+),
+boosted_scores AS (
+  SELECT {k}coalesce(avg(r2) FILTER (fold > 0), max(r2) FILTER (fold = 0)) AS score,
+         max(r2) FILTER (fold = 0) AS r2
+  FROM boosted_fits {'GROUP BY ALL' if keys else ''}
+),
+boosted AS (
+  SELECT {ka}a.step, a.future_month, a.n, a.last_period, a.last_y, b.score, b.r2, c.p AS forecast,
+         a.model AS linear, a.score AS linear_score, a.r2 AS linear_r2, l.forecast AS linear_forecast
+  FROM steps a JOIN boosted_scores b ON {both}true
+  JOIN points l ON {both.replace('b.', 'l.')}a.step = l.step
+  JOIN grown c ON {both.replace('b.', 'c.')}c.fold = 0 AND c.t = a.n - 1 + a.step
+),
+three AS (
+  SELECT {k}step, future_month, n, last_period, last_y,
+         CASE WHEN score > linear_score THEN 'gbr_seasonal' ELSE linear END AS model,
+         greatest(score, linear_score) AS score,
+         CASE WHEN score > linear_score THEN r2 ELSE linear_r2 END AS r2,
+         CASE WHEN score > linear_score THEN greatest(0, forecast) ELSE linear_forecast END AS forecast
+  FROM boosted
+)
+"""

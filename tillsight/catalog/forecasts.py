@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillsight.catalog.forecast_sql import forecast_ctes, points_select, summary_select
+from tillsight.catalog.forecast_sql import boosted_ctes, forecast_ctes, points_select, summary_select
 from tillsight.catalog.registry import SALES, SALES_BODY, Catalog, table
 from tillsight.functions import dates
 from tillsight.operators import adaptive as ad
@@ -100,9 +100,22 @@ def fc_ridge(spark, root):
     return _coefficients(spark, root, fc.RIDGE)
 
 
-@CATALOG.query()
+_FUTURE = """CAST(step AS INTEGER) AS step,
+       strftime(last_period + to_months(CAST(step AS INTEGER)), '%b %Y') AS label,
+       CAST(future_month AS INTEGER) AS month_num"""
+
+
+@CATALOG.query(
+    "WITH RECURSIVE "
+    + forecast_ctes(_sales_series_sql([]), [])
+    + boosted_ctes([])
+    + f"""
+SELECT {_FUTURE}, round(greatest(0, forecast), 2) AS forecast, round(score, 6) AS score, round(r2, 6) AS r2
+FROM boosted
+"""
+)
 def fc_gbt(spark, root):
-    return boosted_forecast(total_series(spark, root))
+    return _rounded(boosted_forecast(total_series(spark, root)), 6, "score", "r2")
 
 
 @CATALOG.query(
@@ -139,7 +152,16 @@ def forecast_monthly(spark, root):
     return fc.forecast(total_series(spark, root))
 
 
-@CATALOG.query()
+@CATALOG.query(
+    "WITH RECURSIVE "
+    + forecast_ctes(_sales_series_sql(_REGION), _REGION)
+    + boosted_ctes(_REGION)
+    + f"""
+SELECT "Region", {_FUTURE}, round(forecast, 2) AS forecast, model, round(score, 6) AS score,
+       round(r2, 6) AS r2
+FROM three
+"""
+)
 def forecast_best_of_three(spark, root):
     """Every region by the best of ridge, least squares and boosted trees."""
     picked = pick_of_three(region_series(spark, root), _REGION)
@@ -209,31 +231,33 @@ def future_months(spark, root):
     )
 
 
-@CATALOG.query(
-    "WITH "
-    + forecast_ctes(
-        """SELECT label AS period, CAST(substring(label, 6, 2) AS INTEGER) AS month_num, y
+_PERIODS = """SELECT label AS period, CAST(substring(label, 6, 2) AS INTEGER) AS month_num, y
         FROM (SELECT strftime(o_orderdate, '%Y-%m') AS label, sum(o_totalprice) AS y
-              FROM orders GROUP BY ALL)""",
-        [],
-    )
-    + """
+              FROM orders GROUP BY ALL)"""
+
+
+def _compact_sql(points: str) -> str:
+    return f"""
 , f AS (SELECT round(forecast, 2) AS value, round(greatest(0.0, least(99.0, r2 * 100)), 1) AS acc,
                round(CASE WHEN last_y > 0 THEN (forecast - last_y) / last_y * 100 ELSE 0 END, 1) AS trend
-        FROM points WHERE step = 1)
-SELECT 'Next Period o_totalprice' AS label, value, format('{:,.2f}', value) AS value_text,
-       CASE WHEN trend >= 0 THEN '+' ELSE '' END || format('{:.1f}', trend) || '%' AS trend,
+        FROM {points} WHERE step = 1)
+SELECT 'Next Period o_totalprice' AS label, value, format('{{:,.2f}}', value) AS value_text,
+       CASE WHEN trend >= 0 THEN '+' ELSE '' END || format('{{:.1f}}', trend) || '%' AS trend,
        CASE WHEN trend >= 0 THEN 'up' ELSE 'down' END AS trend_class,
-       format('{:.1f}', acc) || '%' AS accuracy
+       format('{{:.1f}}', acc) || '%' AS accuracy
 FROM f
 """
-)
+
+
+@CATALOG.query("WITH " + forecast_ctes(_PERIODS, []) + _compact_sql("points"))
 def dyn_forecast(spark, root):
     orders = table(spark, root, "orders")
     return ad.dyn_forecast(orders, classify(orders, "o_totalprice"))
 
 
-@CATALOG.query()
+@CATALOG.query(
+    "WITH RECURSIVE " + forecast_ctes(_PERIODS, []) + boosted_ctes([]) + _compact_sql("three")
+)
 def dyn_forecast_of_three(spark, root):
     """The compact forecast with boosted trees among the candidates."""
     orders = table(spark, root, "orders")

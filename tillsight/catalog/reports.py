@@ -168,7 +168,7 @@ def report_trends(spark, root):
     return _rounded(trends, "value")
 
 
-@CATALOG.query(
+_BREAKDOWN_SQL = (
     SALES
     + f"""
 , r AS (SELECT row_number() OVER (ORDER BY v DESC, region NULLS LAST) AS pos, region,
@@ -181,12 +181,15 @@ SELECT coalesce(r.pos, s.pos) AS pos, region, region_sales, segment, segment_sal
 FROM r FULL JOIN s ON r.pos = s.pos
 """
 )
+
+
+@CATALOG.query(_BREAKDOWN_SQL)
 def report_breakdown(spark, root):
     totals = sales_totals(spark, root, ("Region", "Segment", "Sales"))
     return reports.report_breakdown(Dashboard(totals, sections=(bd.REGION, bd.SEGMENT), hold=NOT))
 
 
-@CATALOG.query(
+_PRODUCTS_SQL = (
     SALES
     + f"""
 , t AS (SELECT "Product Name" AS product_name, sum("Sales") AS s, sum("Profit") AS p
@@ -197,6 +200,9 @@ SELECT CAST(row_number() OVER (ORDER BY s DESC, product_name) AS INTEGER) AS pos
 FROM t
 """
 )
+
+
+@CATALOG.query(_PRODUCTS_SQL)
 def report_products(spark, root):
     totals = sales_totals(spark, root, ("Product Name", "Sales", "Profit"))
     return reports.report_products(Dashboard(totals, sections=(bd.PRODUCT,), hold=NOT))
@@ -205,9 +211,8 @@ def report_products(spark, root):
 _TOTAL = "WITH " + forecast_ctes(_sales_series_sql([]), [])
 
 
-@CATALOG.query(
-    _TOTAL
-    + f", table_rows AS ({points_select([])})"
+_FORECAST_SELECT = (
+    f", table_rows AS ({points_select([])})"
     + f"""
 SELECT step, label AS period, forecast, {compact_sql('forecast', '₹', report=True)} AS forecast_text,
        CASE step WHEN 1 THEN 'Normal operation. Review inventory limits.'
@@ -217,6 +222,9 @@ SELECT step, label AS period, forecast, {compact_sql('forecast', '₹', report=T
 FROM table_rows
 """
 )
+
+
+@CATALOG.query(_TOTAL + _FORECAST_SELECT)
 def report_forecast(spark, root):
     return reports.report_forecast(forecast_board(spark, root))
 
@@ -239,6 +247,37 @@ def forecast_overlay(spark, root):
     return reports.forecast_overlay(forecast_board(spark, root))
 
 
+_FILTERED = f"WITH sales AS ({_FILTERED_BODY})"
+
+
+def _asked(spark, root, *sections) -> Dashboard:
+    return Dashboard(sales_view(spark, root), **_ASKED, sections=sections, hold=PLAN)
+
+
+@CATALOG.query(_SUMMARY_SQL.replace(SALES, _FILTERED))
+def report_summary_filtered(spark, root):
+    sheet = reports.report_summary(_asked(spark, root, bd.TOTAL, bd.PRODUCT))
+    digits = F.when(F.col("label") == "Average Discount", F.round("value", 4))
+    return _rounded(sheet.withColumn("value", digits.otherwise(F.round("value", 2))), "profit")
+
+
+@CATALOG.query(_BREAKDOWN_SQL.replace(SALES, _FILTERED))
+def report_breakdown_filtered(spark, root):
+    return reports.report_breakdown(_asked(spark, root, bd.REGION, bd.SEGMENT))
+
+
+@CATALOG.query(_PRODUCTS_SQL.replace(SALES, _FILTERED))
+def report_products_filtered(spark, root):
+    return reports.report_products(_asked(spark, root, bd.PRODUCT))
+
+
+@CATALOG.query(
+    "WITH " + forecast_ctes(_sales_series_sql([], _FILTERED_BODY), []) + _FORECAST_SELECT
+)
+def report_forecast_filtered(spark, root):
+    return reports.report_forecast(_asked(spark, root, bd.PERIOD))
+
+
 @CATALOG.query(
     f"""
 SELECT 'summary' AS sheet, block, label, value FROM ({_SUMMARY_SQL})
