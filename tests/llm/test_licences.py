@@ -15,6 +15,8 @@ def brute(text):
     base, labels, best, starts = set(), set(), 0.0, []
     for t in licences.TEMPLATES:
         for p in places(words, t.phrase):
+            if not all(words[p + at : p + at + len(of)] == of for at, of in t.phrases):
+                continue
             labels.add(t.label)
             if t.base:
                 base.add(t.label)
@@ -48,6 +50,40 @@ def test_scan_equals_brute_force(spark, edges):
         assert sorted(map(str, rows(licences.scan(docs)))) == want
 
 
+WHOLE = {i: t for i, t in enumerate(licences.TEMPLATES) if len(t.words) > 15}
+
+
+def test_whole_notices_are_found_and_broken_ones_are_not(spark):
+    data = []
+    for i, t in WHOLE.items():
+        body = "Copyright 2020 Someone. " + ", ".join(w.capitalize() for w in t.words) + "."
+        data.append((i, body))
+        # The last word of the last key phrase is another one.
+        at, phrase = t.phrases[-1]
+        words = t.words
+        words[t.offset + at + len(phrase) - 1] = "other"
+        data.append((100 + i, " ".join(words)))
+    found = {r.doc_id: r for r in licences.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    texts = dict(data)
+    for i, t in WHOLE.items():
+        assert t.label in found[i].labels.split(",") and found[i].score == 1.0
+        for k in (i, 100 + i):
+            assert tuple(found[k])[1:] == brute(texts[k])
+        if t.label in ("isc", "zlib", "unlicense", "bsd-2-clause", "mpl-2.0", "gpl-2.0", "gpl-3.0"):
+            assert t.label not in found[100 + i].labels.split(",")
+    assert {t.label for t in WHOLE.values()} >= {"gpl-2.0", "gpl-3.0", "mit", "isc", "apache-2.0", "bsd-2-clause", "zlib"}
+
+
+def test_the_index_points_from_words_to_templates():
+    counts = {"mit": 50, "license": 3, "x": 1}
+    templates = (licences.Template("a", "[mit license]"), licences.Template("b", "y [x]"))
+    assert licences.index_of(templates, counts) == {
+        "license": [(0, 1, 0)], "mit": [(0, 0, 1)], "x": [(1, 0, 0), (1, 0, 1)],
+    }
+    two = licences.Template("c", "a b [c d] e f [g] h")
+    assert two.phrases == [(0, ["c", "d"]), (4, ["g"])] and two.offset == 2 and len(two.words) == 8
+
+
 def test_an_anchor_is_the_rarest_word():
     counts = {"mit": 50, "license": 3}
     template = licences.Template("mit", "[mit license]")
