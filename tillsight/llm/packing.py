@@ -38,7 +38,7 @@ SLACK = 0.002
 FALLS = 0.7
 #: Bytes of what a worker remembers of words and their parts while documents are packed; beyond,
 #: it starts anew.
-BYTES_KEPT = 128 << 20
+BYTES_KEPT = 192 << 20
 #: Bytes of an entry besides its letters: two objects, ids, and a place in a dictionary.
 ENTRY_BYTES = 220
 
