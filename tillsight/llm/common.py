@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +28,7 @@ def working(operator: str, forget: Callable[[], object] | None = None) -> None:
     if _WORKING != [operator]:
         while _FORGET:
             _FORGET.pop()()
+        _returned()
         _WORKING[:] = [operator]
         if forget is not None:
             _FORGET.append(forget)
@@ -33,6 +37,13 @@ def working(operator: str, forget: Callable[[], object] | None = None) -> None:
 _FORGET: list[Callable[[], object]] = []
 
 
+def _returned() -> None:
+    """Give memory that the worker has freed back to the system, where its C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
