@@ -28,7 +28,8 @@ def working(operator: str, forget: Callable[[], object] | None = None) -> None:
     if _WORKING != [operator]:
         while _FORGET:
             _FORGET.pop()()
-        _returned()
+        gc.collect()
+        returned()
         _WORKING[:] = [operator]
         if forget is not None:
             _FORGET.append(forget)
@@ -37,9 +38,8 @@ def working(operator: str, forget: Callable[[], object] | None = None) -> None:
 _FORGET: list[Callable[[], object]] = []
 
 
-def _returned() -> None:
+def returned() -> None:
     """Give memory that the worker has freed back to the system, where its C library can."""
-    gc.collect()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import remainder, stored
+from tillsight.llm.common import remainder, returned, stored
 
 ORDER = 2
 #: Counts above this are not discounted.
@@ -196,6 +196,7 @@ def coded(docs: DataFrame, learn: Column, order: int) -> DataFrame:
                         if batch.size and batch.size + len(part) + order > BATCH_TOKENS:
                             yield batch.rows(number)
                             number, batch = number + 1, Batch(order)
+                            returned()
                         before, tokens = (
                             np.fromiter(map(batch.numbers.__getitem__, of), np.int64, len(of)) for of in (last, part)
                         )
@@ -387,6 +388,7 @@ def _answered(level: int, model: Model):
     """The function of a bucket: sums of counts, numbers of n-grams, answers to the batches."""
 
     def answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        returned()
         bucket, rows = int(key[0]), rows.sort_values("batch")
         asked = [unpack(d) for d in rows["data"]]
         sizes = [len(a[-1]) for a in asked]
@@ -446,6 +448,7 @@ def _weighted(level: int, model: Model):
     """The function of a bucket of contexts: totals and backoff weights, answers to the batches."""
 
     def weigh(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        returned()
         bucket, rows = int(key[0]), rows.sort_values("batch")
         sums = [unpack(d) for d in rows.loc[rows["batch"] < 0, "data"]]
         empty = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)]
@@ -474,6 +477,7 @@ SCORED = "uid long, doc_id long, learned boolean, tokens long, known long, base
 
 def _scored(model: Model):
     def score(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        returned()
         view = View(rows, model)
         use = view.predicted
         piece, known = view.piece[use], view.known[use]
@@ -496,6 +500,7 @@ def _scored(model: Model):
 
 def _asked(level: int, model: Model):
     def ask(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        returned()
         batch = int(key[0])
         return frame_of([(lv, b, batch, data, None) for lv, b, data in View(rows, model).questions(level)])
 
