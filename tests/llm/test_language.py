@@ -30,6 +30,17 @@ def test_profiles_are_the_same_on_every_run(spark):
     assert one.names == two.names == ["aa", "bb"] and np.allclose(one.vectors, two.vectors, atol=1e-6)
 
 
+def test_first_ids_of_each_language(spark):
+    ids = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 < 2 THEN 'hot' ELSE concat('l', id % 9) END AS lang")
+    order = {r.doc_id: r.hash for r in ids.selectExpr("doc_id", "xxhash64(doc_id) AS hash").collect()}
+    groups = {}
+    for r in ids.collect():
+        groups.setdefault(r.lang, []).append(r.doc_id)
+    for most in (1, 40, 500):
+        found = {(r.lang, r.doc_id) for r in language.first_ids(ids, most).collect()}
+        assert found == {(k, i) for k, v in groups.items() for i in sorted(v, key=order.get)[:most]}
+
+
 def test_a_text_is_the_sum_of_its_grams():
     text = "Äb c-ab"
     padded = " äb c ab "

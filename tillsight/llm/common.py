@@ -61,6 +61,12 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def small(frame: DataFrame, name: str, most: int = 100_000) -> DataFrame:
+    """The stored frame, to be sent to all tasks if it has no more than ``most`` rows."""
+    kept = stored(frame, name)
+    return F.broadcast(kept) if kept.count() <= most else kept
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of anything but white space; 0 for null and empty texts."""
     parts = F.split(F.coalesce(text, F.lit("")), GAP)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import remainder, working
+from tillsight.llm.common import remainder, small, working
 
 DIM, ORDER = 512, 3
 #: Documents of each language that its profile is made of.
@@ -121,35 +121,30 @@ class Profiles:
         return self.names[best], float(min(1.0, max(0.0, near[best])))
 
 
-def _order() -> Column:
-    return F.struct(F.xxhash64("doc_id").alias("hash"), F.col("doc_id").alias("doc_id"))
-
-
-def last_picked(ids: DataFrame, most: int) -> DataFrame:
-    """For each ``lang`` the ``most``-th of its ids by hash, or the last one: ``lang, bound``.
+def first_ids(ids: DataFrame, most: int) -> DataFrame:
+    """For each ``lang`` the first ``most`` of its ids by hash: ``doc_id, lang``.
 
     The ids of a language are counted by the first sixteen bits of the hash; only those up to
     the bits that reach ``most`` are put in order.
     """
     bits = F.shiftright(F.xxhash64("doc_id"), 48)
-    upto = Window.partitionBy("lang").orderBy("bits")
+    upto = Window.partitionBy("of").orderBy("bits")
     reached = (
-        ids.groupBy("lang", bits.alias("bits"))
+        ids.groupBy(F.col("lang").alias("of"), bits.alias("bits"))
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("upto", F.sum("n").over(upto))
-        .groupBy("lang")
+        .groupBy("of")
         .agg(
             F.coalesce(F.min(F.when(F.col("upto") >= most, F.col("bits"))), F.max("bits")).alias("edge")
         )
     )
-    first = Window.partitionBy("lang").orderBy(_order())
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     return (
-        ids.join(reached, "lang")
+        ids.join(small(reached, "reached"), F.col("lang") == F.col("of"))
         .where(bits <= F.col("edge"))
         .withColumn("rank", F.row_number().over(first))
         .where(F.col("rank") <= most)
-        .groupBy("lang")
-        .agg(F.max(_order()).alias("bound"))
+        .select("doc_id", "lang")
     )
 
 
@@ -162,7 +157,7 @@ def train(docs: DataFrame, most: int = SAMPLE_DOCS, divisor: int = 5, held_out:
     usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(
         remainder(F.col("doc_id"), divisor) != held_out
     )
-    bounds = last_picked(usable.select("doc_id", "lang").distinct(), most)
+    picked = small(first_ids(usable.select("doc_id", "lang").distinct(), most), "picked")
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         working("language", forget)
@@ -177,8 +172,7 @@ def train(docs: DataFrame, most: int = SAMPLE_DOCS, divisor: int = 5, held_out:
 
     rows = (
         usable.select("doc_id", "lang", "text")
-        .join(bounds, "lang")
-        .where(_order() <= F.col("bound"))
+        .join(picked, ["doc_id", "lang"])
         .select("lang", "text")
         .mapInPandas(sums, "lang string, i int, v double")
         .groupBy("lang", "i")
