@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -44,6 +45,57 @@ def test_forgetting_words_changes_nothing(tokenizer, monkeypatch):
         assert np.frombuffer(encoder.get(text), "<u4").tolist() == want
 
 
+def test_ids_of_many_texts_at_once(tokenizer):
+    encoder = packing.WordIds(packing.vocabulary())
+    texts = [None, *ODD, None, "one two", "one  two", *ODD[::-1]]
+    want = [tokenizer.encode(text or "", add_special_tokens=False).ids for text in texts]
+    for kind in (pa.string(), pa.large_string()):
+        found = encoder.many(pa.array(texts, kind))
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in found] == want
+        cut = encoder.many(pa.array(texts, kind).slice(3, 9))
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in cut] == want[3:12]
+    assert encoder.many(pa.array([], pa.string())) == []
+
+
+def test_words_of_many_texts_are_cut_and_encoded_once():
+    # Occurrences are numbered by Arrow; Python cuts and encodes what differs.
+    class Line:
+        def __init__(self, line):
+            self.line, self.letters = line, 0
+
+        def findall(self, text):
+            self.letters += len(text)
+            return self.line.findall(text)
+
+    encoder = packing.WordIds(packing.vocabulary())
+    encoder.line, asked = Line(encoder.line), []
+    encode = encoder.parts.encode
+    encoder.parts.encode = lambda part: asked.append(part) or encode(part)
+    words = [f"{a}{b}re" for a in "bcdfgh" for b in "aeiou"]
+    texts = pa.array([" ".join(words[i % 7 :: 3]) for i in range(500)])
+    first, again = encoder.many(texts), encoder.many(texts)
+    assert first == again
+    assert sorted(asked) == sorted(words)
+    assert encoder.line.letters <= 2 * len(" ".join(words))
+
+
+def test_texts_are_taken_together_up_to_a_size():
+    sizes = [3, 4, 50, 0, 9, 1, 1]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(8), "text": [*("x" * n for n in sizes), None]})
+    parts = [part["doc_id"].to_pylist() for part in packing.together(batch, 10)]
+    assert parts == [[0, 1], [2], [3, 4, 5], [6, 7]]
+    assert [p.num_rows for p in packing.together(batch.slice(0, 0), 10)] == [0]
+
+
+def test_pieces_do_not_depend_on_what_is_taken_together(tokenizer, monkeypatch, spark):
+    data = [(i, prose(i, 40)) for i in range(60)] + [(61, None), (62, ""), (None, "x y")]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
+    want = sorted(map(str, packing.tokenized(frame, capacity=30).collect()))
+    monkeypatch.setattr(packing, "BYTES_TOGETHER", 300)
+    assert sorted(map(str, packing.tokenized(frame, capacity=30).collect())) == want
+    assert check(tokenizer, data, packing.pack(frame, capacity=30).collect(), 30)
+
+
 def check(tokenizer, data, found, capacity=packing.CAPACITY):
     """Every document comes back whole, and the sequences have neither gaps nor overlaps."""
     want = []
